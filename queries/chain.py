@@ -192,8 +192,9 @@ def rows(spark: SparkSession, sf: str) -> DataFrame:
 def graded_rows(spark: SparkSession, sf: str) -> DataFrame:
     """The same rows with the computed course grade in place of the stored one."""
     dated = reconcile.with_deadline(canonical(spark, sf), tz=V.TZ)
-    final = grades.course_grades(rows(spark, sf), now=V.NOW)
-    return reconcile.attach_courses(dated, V.courses(spark, sf), final)
+    courses = V.courses(spark, sf)
+    final = grades.course_grades(reconcile.attach_courses(dated, courses), now=V.NOW)
+    return reconcile.attach_courses(dated, courses, final)
 
 
 def scored_rows(spark: SparkSession, sf: str) -> DataFrame:
