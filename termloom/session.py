@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+import termloom
+
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
 def configure(spark: SparkSession) -> SparkSession:
     """Settings the operators rely on: UTC clock, adaptive plans, skewed joins split at run time."""
+    # functions for Python workers travel by value, so executors need no copy of the package
+    cloudpickle.register_pickle_by_value(termloom)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
