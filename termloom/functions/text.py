@@ -70,19 +70,18 @@ def name_key(c: Column) -> Column:
 
 def without_due(c: Column) -> Column:
     """Text without a trailing 'due' or 'in class'."""
-    low = F.lower(c)
-    return F.when(low.endswith("due") | low.endswith("in class"), F.regexp_replace(c, TRAILING_DUE, "")).otherwise(c)
+    return F.regexp_replace(c, TRAILING_DUE, "")
 
 
 def display_title(title: Column) -> Column:
-    """Readable title: status tail, unit context and trailing 'due' removed."""
+    """Readable title: status tail, unit context and trailing 'due' removed.
+
+    Every step mentions the one before it once, so the expression stays small however often it is reused.
+    """
     spaced = squash(F.regexp_replace(title, r"([a-z0-9])([A-Z])", "$1 $2"))
-    tailed = any_word(F.lower(spaced), "submitted", "not started", "in progress", "counts towards grade")
-    bare = F.btrim(F.when(tailed, F.regexp_replace(spaced, STATUS_TAIL, "")).otherwise(spaced), F.lit(" :-|"))
-    headed = F.regexp_replace(F.regexp_replace(bare, UNIT_CONTEXT, "$1"), PREREQUISITE, "$1: $2")
-    short = F.when(bare.contains(":"), headed).otherwise(bare)
-    cut = F.btrim(without_due(short), F.lit(" :-"))
-    return F.coalesce(blank_to_null(cut), title)
+    bare = F.btrim(F.regexp_replace(spaced, STATUS_TAIL, ""), F.lit(" :-|"))
+    short = F.regexp_replace(F.regexp_replace(bare, UNIT_CONTEXT, "$1"), PREREQUISITE, "$1: $2")
+    return F.coalesce(blank_to_null(F.btrim(without_due(short), F.lit(" :-"))), title)
 
 
 def exercise_key(title: Column) -> Column:
