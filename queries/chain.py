@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from queries import views as V
 from termloom.operators import grades, overview, priority, reconcile
+from termloom.session import stage
 
 # half-up rounding of the decimal value
 MEAN = """cast(round(cast(cast(sum(cast(eff * units as decimal(28, 8))) as double)
@@ -191,7 +192,8 @@ def rows(spark: SparkSession, sf: str) -> DataFrame:
 
 def graded_rows(spark: SparkSession, sf: str) -> DataFrame:
     """The same rows with the computed course grade in place of the stored one."""
-    dated = reconcile.with_deadline(canonical(spark, sf), tz=V.TZ)
+    # grades and rows both start from the canonical rows
+    dated = stage(reconcile.with_deadline(canonical(spark, sf), tz=V.TZ))
     courses = V.courses(spark, sf)
     final = grades.course_grades(reconcile.attach_courses(dated, courses), now=V.NOW)
     return reconcile.attach_courses(dated, courses, final)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 STATUS_TAIL = r"(?i)(submitted|not started|in progress|grading in progress|counts towards grade).*$"
 TRAILING_DUE = r"(?i)\b(?:due|in class)\b$"
 # 'Title: Unit n … Code: …' keeps the title; 'Pre-requisite: a: b: c' keeps the first two parts
-UNIT_CONTEXT = r"(?i)^([^:]*?)\s*:\s*unit\b[^:]*\b(?:code|apply)\b.*$"
+UNIT_CONTEXT = r"(?i)^([^:]*+):\s*unit\b[^:]*\b(?:code|apply)\b.*$"
 PREREQUISITE = r"(?i)^(pre-requisite)\s*:\s*([^:]*?)\s*:[^:]*:.*$"
 PROGRAMMING_EXERCISE = r"(?i)programming\s+exercise\s+(\d+(?:\.\d+)?)"
 ROLLUP_TITLE = (
@@ -80,7 +80,7 @@ def display_title(title: Column) -> Column:
     """
     spaced = squash(F.regexp_replace(title, r"([a-z0-9])([A-Z])", "$1 $2"))
     bare = F.btrim(F.regexp_replace(spaced, STATUS_TAIL, ""), F.lit(" :-|"))
-    short = F.regexp_replace(F.regexp_replace(bare, UNIT_CONTEXT, "$1"), PREREQUISITE, "$1: $2")
+    short = F.regexp_replace(F.rtrim(F.regexp_replace(bare, UNIT_CONTEXT, "$1")), PREREQUISITE, "$1: $2")
     return F.coalesce(blank_to_null(F.btrim(without_due(short), F.lit(" :-"))), title)
 
 

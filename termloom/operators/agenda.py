@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from termloom.functions import text as X
 from termloom.operators.priority import lookup
 from termloom.operators.reconcile import DONE
+from termloom.session import stage
 
 MIN_MINUTES = 15
 # Minutes planned per assignment type when nothing better is known.
@@ -114,7 +115,10 @@ def plan_agenda(
     spec = "student_id bigint, assignment_id string, agenda_date date, planned_minutes int, priority_score double, notes string, overflow boolean"
     if horizon_days <= 0:
         return rows.sparkSession.createDataFrame([], spec)
-    candidates = work_window(plan_candidates(rows, today=today, horizon_days=horizon_days), today=today)
+    picked = work_window(plan_candidates(rows, today=today, horizon_days=horizon_days), today=today)
+    # read twice below: for the sequential pass over the head, and for the entries of every candidate
+    needed = ("student_id", "course_id", "match_key", "id", "title", "due_at", "due_day", "priority_score", "minutes", "first_day", "last_day")
+    candidates = stage(picked.select(*needed))
     head_size = horizon_days * (max(daily_minutes, 0) // MIN_MINUTES + 1)
     same_window = Window.partitionBy("student_id", "first_day", "last_day").orderBy(*candidate_order())
     head = candidates.withColumn("_n", F.row_number().over(same_window)).where(F.col("_n") <= head_size)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from termloom.functions import text as X
 from termloom.functions import urls as U
-from termloom.session import cut_lineage
+from termloom.session import stage
 
 COURSE = ["student_id", "course_id"]
 
@@ -264,7 +264,7 @@ def expand_frontier(seeds: DataFrame, links: DataFrame, *, page_budget: int = 12
         )
 
     level = admitted(start, F.lit(0)).withColumn("level", F.lit(0))
-    visited = level = cut_lineage(level)
+    visited = level = stage(level)
     depth = 0
     while not level.isEmpty():
         depth += 1
@@ -277,8 +277,8 @@ def expand_frontier(seeds: DataFrame, links: DataFrame, *, page_budget: int = 12
             .join(used.where(F.col("_so_far") < page_budget), COURSE)
             .withColumn("at", F.struct(F.col("_parent").alias("parent"), F.col("position").cast("long").alias("at")))
         )
-        level = cut_lineage(admitted(found, F.col("_so_far")).withColumn("level", F.lit(depth)))
-        visited = cut_lineage(visited.unionByName(level)) if depth % 8 == 0 else visited.unionByName(level)
+        level = stage(admitted(found, F.col("_so_far")).withColumn("level", F.lit(depth)))
+        visited = visited.unionByName(level)
     return visited
 
 

@@ -1,0 +1 @@
+"""Whole jobs composed from the operators."""

@@ -1,8 +1,10 @@
-"""Session settings and lineage cuts that survive the loss of executors."""
+"""Session settings, and stages on shared storage that survive the loss of executors."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
+from functools import cache
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -32,13 +34,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return named
     if not sc.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_DIR} to a folder every executor can reach")
+    return _local_dir()
+
+
+@cache
+def _local_dir() -> str:
     return tempfile.mkdtemp(prefix="run-", dir="/tmp")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of an iteration step."""
+def stage(df: DataFrame) -> DataFrame:
+    """Write a result that several later steps read, once, to the shared checkpoint folder, and read it back.
+
+    Later steps start from the files, so a lost executor repeats a read and not the work before it, and one side of a
+    self-join is not computed twice.
+    """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(checkpoint_dir(spark))
-    return df.checkpoint(eager=True)
+    path = f"{checkpoint_dir(spark)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

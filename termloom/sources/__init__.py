@@ -1,0 +1 @@
+"""Readers of captured documents, and the tables."""

@@ -1,0 +1 @@
+"""Structured Streaming entry points: continuous snapshot synchronisation and the audit log."""
