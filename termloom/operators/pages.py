@@ -125,7 +125,7 @@ def course_links(links: DataFrame) -> DataFrame:
     """Course cards: 'CODE - NAME, offering, term, end' with the id of their link; first link per id."""
     text = X.squash(F.col("text"))
     cards = links.where(text.contains(" - ")).withColumns(
-        {"lms_course_id": F.regexp_extract("href", r"/d2l/home/(\d+)", 1), "_p": F.transform(F.split(text, ","), F.trim)}
+        {"lms_course_id": F.regexp_extract("href", r"/d2l/home/(\d+)", 1), "_p": F.transform(F.split(text, ","), lambda p: F.trim(p))}
     ).where("lms_course_id <> ''")
     first = cards.groupBy("student_id", "lms_course_id").agg(F.min(F.struct("position", "_p", "home_url")).alias("f"))
     p = lambda i: F.get("f._p", F.lit(i))
