@@ -92,9 +92,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows of a table kept in fewer files than there are cores, over all cores; larger tables stay as they are."""
-    files, cores = len(df.inputFiles()), df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if files < cores else df
+    """Rows of a table read in fewer splits than there are cores, over all cores; larger tables stay as they are."""
+    splits, cores = df.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if splits < cores else df
 
 
 def _spark_sql(expression: str) -> str:

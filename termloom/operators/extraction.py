@@ -105,7 +105,7 @@ def _assign(limit: int):
     return run
 
 
-def pack_chunks(artifacts: DataFrame, *, max_chars: int, block: int = 4096) -> DataFrame:
+def pack_chunks(artifacts: DataFrame, *, max_chars: int, block: int = 1 << 14) -> DataFrame:
     """Chunk number (from 1) of every artifact: in order, a new chunk where the sum would exceed `max_chars`.
 
     artifacts: course keys, position (unique integer per course), size. The greedy scan is cut into blocks of positions: each

@@ -136,28 +136,36 @@ def graded(rows: DataFrame, *, now: datetime) -> DataFrame:
     )
 
 
-def _category_sums(g: DataFrame) -> DataFrame:
+def _listed_weight() -> Column:
+    """Weight of the row's category in the course list; null when it has none. A key listed twice counts twice."""
+    fitting = F.filter(
+        "course.grade_categories",
+        lambda c: (X.name_key(c["name"]) == F.col("category_key")) & (category_weight(c["weight"]) > 0),
+    )
+    total = F.aggregate(fitting, F.lit(0.0), lambda a, c: a + category_weight(c["weight"]))
+    return F.when(total > 0, total)
+
+
+def _category_sums(g: DataFrame, *more: Column) -> DataFrame:
     """Per (student, course, category): points-weighted mean and the list weight of the category.
 
-    Rows of courses without category weights meet under a null category and carry row-weight sums instead.
+    Rows of courses without category weights meet under a null category and carry row-weight sums instead. All
+    buffers are numbers, so both sides of the shuffle aggregate in hash tables.
     """
     key = F.when(F.col("blended"), F.col("category_key"))
     has = F.col("effective_pct").isNotNull()
     row_weight = F.when(has & ~F.col("blended"), X.positive_or_missing(F.col("grade_weight_pct")))
-    sums = g.groupBy(*COURSE, "blended", key.alias("category_key")).agg(
+    weighted = g.withColumns({"_key": key, "_listed": F.when(F.col("blended"), _listed_weight()), "_row_weight": row_weight})
+    sums = weighted.groupBy(*COURSE, "blended", F.col("_key").alias("category_key")).agg(
         F.sum(exact(F.col("effective_pct") * F.col("units"))).alias("num"),
         F.sum(F.when(has, exact(F.col("units")))).alias("den"),
-        F.sum(exact(row_weight * (F.col("effective_pct") / 100))).alias("row_num"),
-        F.sum(exact(row_weight)).alias("row_den"),
-        # the same value on every row of the course
-        F.any_value("course.grade_categories").alias("cats"),
-    )
-    weights = F.filter(
-        F.col("cats"), lambda c: (X.name_key(c["name"]) == F.col("category_key")) & (category_weight(c["weight"]) > 0)
+        F.sum(exact(F.col("_row_weight") * (F.col("effective_pct") / 100))).alias("row_num"),
+        F.sum(exact(F.col("_row_weight"))).alias("row_den"),
+        F.max("_listed").alias("weight_pct"),  # the same value on every row of the category
+        *more,
     )
-    listed = F.aggregate(weights, F.lit(0.0), lambda a, c: a + category_weight(c["weight"]))
     mean = X.rounded(F.col("num").cast("double") / X.positive_or_missing(F.col("den").cast("double")), 2)
-    return sums.withColumns({"category_grade_pct": mean, "weight_pct": F.when(listed > 0, listed)})
+    return sums.withColumn("category_grade_pct", mean)
 
 
 def category_grades(rows: DataFrame, *, now: datetime) -> DataFrame:
@@ -193,7 +201,8 @@ def course_grades(rows: DataFrame, *, now: datetime) -> DataFrame:
 def grade_components(rows: DataFrame, *, now: datetime) -> DataFrame:
     """What the final grade is made of: one row per weighted category, or per weighted row."""
     g = graded(rows, now=now)
-    sums = _category_sums(g.where("blended and category_key is not null")).where("category_grade_pct is not null")
+    weighted = g.where("blended and category_key is not null")
+    sums = _category_sums(weighted, F.any_value("course.grade_categories").alias("cats")).where("category_grade_pct is not null")
     per_category = sums.select(
         *COURSE,
         "category_grade_pct",
