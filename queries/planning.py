@@ -301,7 +301,6 @@ QUERIES = {
           timezone('America/Chicago', timezone('UTC', due_date))), '%m/%d/%y %-I:%M %p') as due_label,
           coalesce(raw_due_at, strftime(due_at, '%Y-%m-%dT%H:%M:%SZ')) as due_iso from j"""),
     ),
-    "course_health": (course_health, None),
     "summary": (
         summary,
         C.sql(*FULL, body=f"""select student_id, course_count, coalesce(assignment_count, 0) as assignment_count, coalesce(upcoming_count, 0) as upcoming_count,
