@@ -214,6 +214,22 @@ REASONS = [
       lambda x: x.l) else [] end as labels from reas"""),
 ]
 
+# the greedy pass, one (candidate, day) pair per step, all students side by side
+PLANNED = C.sql(*FULL, CAND, body=f"""select * from (with recursive picked as (select student_id, course_id, match_key, id, title, due_at, due_day, priority_score, minutes, cast(first_day as int) as first_day,
+      cast(greatest(off, first_day) as int) as last_day from wcand where {RELEVANT}),
+    steps as (select *, row_number() over (partition by student_id order by priority_score desc, due_at nulls last, lower(title), course_id, match_key, day) as n
+      from (select *, unnest(range(first_day, last_day + 1)) as day from picked)),
+    walk as (select student_id, cast(0 as bigint) as n, [{", ".join([str(DAILY)] * HORIZON)}] as free, 0 as rest, 0 as share, cast(null as varchar) as id, cast(null as bigint) as day, false as done from (select distinct student_id from steps)
+      union all select student_id, n, free[:day] || [free[day + 1] - share] || free[day + 2:], rest - share, share, id, day, day = last_day from (select w.student_id, s.n, w.free, s.id, s.day, s.last_day,
+        case when s.day = s.first_day then s.minutes else w.rest end as rest, cast(case when (case when s.day = s.first_day then s.minutes else w.rest end) <= 0 or w.free[s.day + 1] <= 0 then 0 else least(
+          greatest(15, ceil(ceil((case when s.day = s.first_day then s.minutes else w.rest end) / (s.last_day - s.day + 1)::double) / 15.0) * 15), w.free[s.day + 1], case when s.day = s.first_day then s.minutes else w.rest end) end as int) as share
+        from walk w join steps s on s.student_id = w.student_id and s.n = w.n + 1))
+    select p.student_id, p.id as assignment_id, cast(case when e.overflow then greatest(due_day, {V.TODAY_SQL}) else {V.TODAY_SQL} + cast(e.day as int) end as varchar) as agenda_date, e.minutes as planned_minutes,
+      priority_score + case when e.overflow then 0.5 else 0.0 end as priority_score, 'Auto-planned for due ' || cast(due_day as varchar) || case when not e.overflow then ''
+        when due_day < {V.TODAY_SQL} then '; overflow scheduled today (overdue)' else '; overflow on due date' end as notes, e.overflow
+    from picked p join (select student_id, id, day, share as minutes, false as overflow from walk where share > 0 union all select student_id, id, day, rest, true from walk where done and rest > 0) e
+      on e.student_id = p.student_id and e.id = p.id)""")
+
 QUERIES = {
     "priority_scores": (
         priority_scores,
@@ -251,7 +267,7 @@ QUERIES = {
         C.sql(*FULL, CAND, body=f"""select student_id, id, minutes, cast({V.TODAY_SQL} + cast(first_day as int) as varchar) as window_start,
           cast(greatest(due_day, {V.TODAY_SQL} + cast(first_day as int)) as varchar) as window_end from wcand"""),
     ),
-    "plan_agenda": (plan_agenda, None),
+    "plan_agenda": (plan_agenda, PLANNED),
     "agenda_with_reasons": (agenda_full, None),
     "agenda_items": (agenda_items, C.sql(*FULL, CAND, body="select * from items")),
     "agenda_days": (

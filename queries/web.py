@@ -189,7 +189,13 @@ QUERIES = {
           from ({NAMED_SQL}) where regexp_matches(url, '^https?:') and lower(regexp_extract(url, '://([^/?#]*)', 1)) = lower(regexp_extract(page_url, '://([^/?#]*)', 1))
           and {PUBLISHER_SQL} and url <> page_url) where step <= 3""",
     ),
-    "expand_frontier": (frontier, None),
+    "expand_frontier": (
+        frontier,
+        """with recursive top as (select max(page_id) as last from pages), walk as (select page_id % 10 as site, 1 as i, [min(page_id)] as q, [0] as lv, (select last from top) as last from pages group by 1 union all
+          select site, i + 1, q || c, lv || list_transform(c, lambda x: lv[i] + 1), last from (select *, list_filter([q[i] + 20, q[i] + 10, q[i] + 50], lambda x: x <= last and not list_contains(q, x)) as c
+            from walk where i <= len(q) and i < 15))
+          select 's' || site as course_id, 'http://x.example.com/' || q[i] as url, i as visit, lv[i] as level from walk where i <= len(q)""",
+    ),
     "classify_modules": (
         modules,
         rf"""select page_id, case when regexp_matches(lower(t), '{P.SYLLABUS_WORDS}') then 'syllabus' when regexp_matches(lower(t), '{P.EXTERNAL_WORDS}') then 'external' end as kind,
