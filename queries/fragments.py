@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -20,6 +21,7 @@ from termloom.plans import refresh
 from termloom.session import checkpoint_dir
 from termloom.sources.snapshots import publisher_worklist as worklist
 from termloom.sources.tables import TableStore
+from termloom.streaming import jobs
 
 BASE = {"student_id": "cast(1 as bigint)", "course_id": "'c' || cast(user_id % 20 as {s})", "position": "event_id"}
 CHAPTER = "'Chapter ' || cast(event_id % 40 as {s}) || '.' || cast(event_id % 7 as {s})"
@@ -112,6 +114,31 @@ def upcoming_events(spark, sf):
     return P.upcoming_events(blocks).select("position", "title", "due_text", "details_url")
 
 
+def announcements(spark, sf):
+    e = V.table(spark, sf, "events")
+    n = F.col("event_id")
+    key = [F.lit(1).cast("bigint").alias("student_id"), F.concat(F.lit("c"), (F.col("user_id") % 20).cast("string")).alias("course_id")]
+    url = F.concat(F.lit("https://l.example.edu/news/"), (n % 300).cast("string"))
+    links = e.select(*key, n.alias("position"), url.alias("url"), F.when(n % 9 == 0, " ").otherwise(F.concat(F.lit(" News  "), n.cast("string"))).alias("text"))
+    item = lambda t, u: F.struct(F.lit(t).alias("title"), F.lit(u).alias("url"))
+    pages = e.select(*key, url.alias("url"), (n % 300).alias("m")).distinct().select(
+        "student_id", "course_id", "url", F.concat(F.lit("Posted on Mar "), (F.col("m") % 28 + 1).cast("string"), F.lit(", 2026 9:05 AM by staff")).alias("text"),
+        F.array(item("Quiz", "q1"), item("QUIZ", "q2"), item("Lab", "q1"), item(" ", "q3"), item("Essay", None)).alias("items"),
+    )
+    out = P.announcements(links, pages)
+    return out.select("course_id", "position", "title", "url", "posted_at_text", F.array_join(F.transform("items", lambda i: i["title"]), ",").alias("items"))
+
+
+def stream_log(spark, sf):
+    """Events arriving twice, appended once: the streaming job run to the end of its input."""
+    base = f"{checkpoint_dir(spark)}/log-{uuid.uuid4().hex}"
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    arriving = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    twice = arriving.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
+    jobs.stream_log(twice, f"{base}/out", f"{base}/state").awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("event_id", stamp("ts").alias("ts"), "user_id", "event_type", "value", "props")
+
+
 def course_links(spark, sf):
     c = V.table(spark, sf, "customer")
     links = c.select(
@@ -323,6 +350,12 @@ QUERIES = {
         """select event_id as position, case when event_id % 3 = 0 then 'Quiz ' || event_id when event_id % 2 = 0 then '11:59 PM' else cast(event_id % 28 + 1 as varchar) end as title,
           'MAR ' || (event_id % 28 + 1) || case when event_id % 2 = 0 then ' 11:59 PM' else '' end as due_text, '/e/' || event_id as details_url from events where event_id % 5 <> 0""",
     ),
+    "announcements": (
+        announcements,
+        """select course_id, position, 'News ' || position as title, 'https://l.example.edu/news/' || m as url, 'Mar ' || (m % 28 + 1) || ', 2026 9:05 AM' as posted_at_text, 'Quiz,Essay' as items from (
+          select 'c' || user_id % 20 as course_id, event_id % 300 as m, min(event_id) as position from events where event_id % 9 <> 0 group by all)""",
+    ),
+    "stream_log": (stream_log, "select event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') as ts, user_id, event_type, value, props from events"),
     "course_links": (
         course_links,
         """select cast(k as varchar) as lms_course_id, arg_min(c_mktsegment, c_custkey) as code, arg_min(c_name, c_custkey) as name, 'off' as offering_code, 'Spring' as semester, 'Ends May 1, 2026' as end_date_text

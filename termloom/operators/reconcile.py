@@ -95,15 +95,19 @@ def _grade_order() -> Column:
     )
 
 
-STATUS_RANK = {"overdue": 5, "in_progress": 4, "upcoming": 3, "completed": 2, "graded": 2, "submitted": 2, "available": 1}
+STATUS_RANK = {"completed": 2, "graded": 2, "submitted": 2, "available": 1}
+LADDER = ("in_progress", "overdue", "upcoming")
 
 
 def _status() -> Column:
-    rank = F.coalesce(*[F.when(F.col("status") == s, r) for s, r in STATUS_RANK.items()], F.lit(0))
-    best = F.min(F.struct((-rank).alias("rank"), "_at", F.col("status").alias("status")))["status"]
     has = lambda c: F.bool_or(F.coalesce(c, F.lit(False)))
-    ladder = F.when(has(F.col("status").isin(*DONE) & ~F.col("_lms")), "completed")
-    for s in ("in_progress", "overdue", "upcoming"):
+    published = F.col("status").isin(*DONE) & ~F.col("_lms")
+    # the best-ranked status decides only in groups without any status of the ladder
+    rank = F.coalesce(*[F.when(F.col("status") == s, r) for s, r in STATUS_RANK.items()], F.lit(0))
+    other = ~published & ~F.col("status").isin(*LADDER)
+    best = F.min(F.when(other, F.struct((-rank).alias("rank"), "_at", F.col("status").alias("status"))))["status"]
+    ladder = F.when(has(published), "completed")
+    for s in LADDER:
         ladder = ladder.when(has(F.col("status") == s), s)
     return ladder.otherwise(best)
 
@@ -118,19 +122,21 @@ def _raw_field(name: str) -> Column:
 def canonical_assignments(rows: DataFrame, *, now: datetime) -> DataFrame:
     """One row per (student, course, key)."""
     c = F.col
-    kept = ("id", "type", "source_platform", "description", "grade_category", "grade_weight_pct", "late_policy",
+    kept = ("due_date", "type", "source_platform", "description", "grade_category", "grade_weight_pct", "late_policy",
             "estimated_minutes")
     present = lambda n: c(n).isNotNull()
     nonzero = lambda n: F.coalesce(c(n) != 0, F.lit(False))
     some_policy = c("late_policy").isNotNull()
     usable_url = X.truthy(c("external_url")) & (c("external_url") != "#/#")
 
+    # a row feeds either the LMS or the publisher candidates, which keeps the partial rows of the shuffle narrow
+    best = lambda rows: F.min(F.when(rows, F.struct("_signals", "_at", *kept)))
     merged = scored(rows).groupBy(*KEYS).agg(
-        F.min(F.struct(_flag(c("_lms")).alias("lms"), "_signals", "_at", *kept)).alias("_pref"),
-        F.min(F.struct(_flag(~c("_lms")).alias("pub"), "_signals", "_at", "due_date"))["due_date"].alias("_any_due"),
-        F.min(F.struct(_grade_order().alias("o"), "id", "grade", "points_possible", "points_earned")).alias("_gsrc"),
+        best(c("_lms")).alias("_lms_best"),
+        best(~c("_lms")).alias("_pub_best"),
+        F.min(F.struct(_grade_order().alias("o"), "grade", "points_possible", "points_earned")).alias("_gsrc"),
         _first(c("due_date"), c("_lms") & present("due_date"), "d").alias("_lms_due"),
-        _first(c("due_date"), present("due_date"), "d").alias("_first_due"),
+        _first(c("due_date"), ~c("_lms") & present("due_date"), "d").alias("_pub_due"),
         _first(c("points_possible"), present("points_possible"), "p").alias("_pp"),
         _first(c("points_earned"), present("points_earned"), "p").alias("_pe"),
         _first(c("description"), X.truthy(c("description")), "v").alias("_desc"),
@@ -139,13 +145,13 @@ def canonical_assignments(rows: DataFrame, *, now: datetime) -> DataFrame:
         _first(c("estimated_minutes"), nonzero("estimated_minutes"), "v").alias("_minutes"),
         _first(c("late_policy"), some_policy, "v").alias("_policy"),
         _first(c("external_url"), usable_url, "v").alias("external_url"),
-        F.min(F.struct(F.length("shown").alias("n"), F.lower("shown").alias("l"), "_at", "shown"))["shown"].alias("title"),
+        F.min(F.struct(F.length("shown").alias("n"), F.lower("shown").alias("l"), "title", "shown"))["shown"].alias("title"),
         _status().alias("_status"),
         F.bool_or(c("_lms") & c("due_date").isNull()).alias("_lms_undated"),
         F.bool_or(c("_lms") & present("due_date")).alias("_lms_dated"),
         F.count(F.lit(1)).alias("source_count"),
         *[_raw_field(f).alias("raw_" + f) for f in RAW_FIELDS],
-    )
+    ).withColumn("_pref", F.coalesce("_lms_best", "_pub_best"))
 
     pref, src = (lambda n: c("_pref")[n]), (lambda n: c("_gsrc")[n])
     or_first = lambda n, other: F.coalesce(X.blank_to_null(pref(n)), c(other))
@@ -153,13 +159,13 @@ def canonical_assignments(rows: DataFrame, *, now: datetime) -> DataFrame:
         "student_id",
         "course_id",
         "match_key",
-        pref("id").alias("id"),
+        c("_pref._at.id").alias("id"),
         "title",
         or_first("description", "_desc").alias("description"),
         pref("type").alias("type"),
         pref("source_platform").alias("source_platform"),
         "external_url",
-        F.coalesce("_lms_due", "_any_due", "_first_due").alias("due_date"),
+        F.coalesce("_lms_due", "_pub_best.due_date", "_pub_due").alias("due_date"),
         or_first("grade_category", "_cat").alias("grade_category"),
         F.coalesce(X.positive_or_missing(pref("grade_weight_pct")), c("_weight")).alias("grade_weight_pct"),
         src("grade").alias("grade_pct"),
@@ -170,9 +176,9 @@ def canonical_assignments(rows: DataFrame, *, now: datetime) -> DataFrame:
         F.coalesce(F.nullif(pref("estimated_minutes"), F.lit(0)), c("_minutes")).alias("estimated_minutes"),
         *["raw_" + f for f in RAW_FIELDS],
         "source_count",
-        src("id").alias("grade_source_id"),
+        c("_gsrc.o._at.id").alias("grade_source_id"),
         # an undated LMS row explains a missing due date as well as a dated one explains a given date
-        F.when(c("_lms_dated") | (c("_lms_undated") & c("_first_due").isNull()), LMS)
+        F.when(c("_lms_dated") | (c("_lms_undated") & c("_pub_due").isNull()), LMS)
         .otherwise("best_available")
         .alias("due_source"),
     )
