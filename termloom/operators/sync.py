@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -296,8 +297,9 @@ def touch_courses(courses: DataFrame, publisher_courses: DataFrame, *, sequence:
 
 def sync_summary(courses: DataFrame, assignments: DataFrame, deleted: DataFrame) -> DataFrame:
     """One row: courses and assignments upserted, assignments deleted."""
-    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    return n(courses, "courses_upserted").crossJoin(n(assignments, "assignments_upserted")).crossJoin(n(deleted, "assignments_deleted"))
+    parts = {"courses_upserted": courses, "assignments_upserted": assignments, "assignments_deleted": deleted}
+    tagged = reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("part")) for name, df in parts.items()])
+    return tagged.agg(*[F.count_if(F.col("part") == name).alias(name) for name in parts])
 
 
 def _fitted(batch: DataFrame, table: DataFrame) -> DataFrame:
