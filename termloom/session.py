@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import cache
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -27,19 +25,9 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is set (local tests)."""
-    sc = spark.sparkContext
-    named = sc.getConf().get(CHECKPOINT_DIR) or spark.conf.get(CHECKPOINT_DIR, None)
-    if named:
-        return named
-    if not sc.master.startswith("local"):
-        raise ValueError(f"set {CHECKPOINT_DIR} to a folder every executor can reach")
-    return _local_dir()
-
-
-@cache
-def _local_dir() -> str:
-    return tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    """The shared folder the cluster names in spark.checkpoint.dir; where none is set, a folder in the warehouse, which is shared too."""
+    named = spark.sparkContext.getConf().get(CHECKPOINT_DIR) or spark.conf.get(CHECKPOINT_DIR, None)
+    return named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
 
 
 def stage(df: DataFrame) -> DataFrame:
