@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import arrow_map, components, stage, utf8
+from termloom.llm.common import arrow_map, components, maybe_in, stage, utf8
 
 WORDS = 4
 BITS = 4
@@ -53,12 +53,16 @@ def fingerprint(text: bytes | None, words: int = WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, fp) of each row; fp is the fingerprint as a signed long. Null and empty texts have fingerprint 0."""
+    """(doc_id, row, fp) of each row; fp is the fingerprint as a signed long, row a hash of doc_id and text.
+
+    Null and empty texts have fingerprint 0.
+    """
 
     def work(batch: pa.RecordBatch) -> dict:
-        return {"doc_id": batch.column(0), "fp": [fingerprint(t, words) for t in utf8(batch.column(1))]}
+        return {"doc_id": batch.column(0), "row": batch.column(1), "fp": [fingerprint(t, words) for t in utf8(batch.column(2))]}
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), {"doc_id": "long", "fp": "long"}, work)
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row"), F.col("text").cast("string").alias("text"))
+    return arrow_map(picked, {"doc_id": "long", "row": "long", "fp": "long"}, work)
 
 
 def golay_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -161,7 +165,7 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """One row per document: doc_id, fp, component_id (smallest doc_id of the component of linked fingerprints).
+    """One row per document: doc_id, row, fp, component_id (smallest doc_id of the component of linked fingerprints).
 
     Null texts count as empty; documents without words have fingerprint 0 and are linked like any other. Equal fingerprints
     are one node, so groups of copies cost one aggregated row. Null doc_ids never become a component id unless the
@@ -174,7 +178,31 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     least = named.groupBy("root").agg(F.min("first").alias("least"))
     linked = named.join(least, "root").select("fp", "least")
     ids = nodes.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return marked.join(ids, "fp").select("doc_id", "fp", "component_id")
+    return marked.join(ids, "fp").select("doc_id", "row", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The columns of `docs`, one row of each component: the smallest doc_id (nulls last), of that the smallest row hash.
+
+    Rows are told apart by the hash of doc_id and text; of rows that repeat both, one stays.
+    """
+    found = stage(near_duplicates(docs))
+    key = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
+    grouped = found.groupBy("component_id").agg(F.min(key).alias("best"), F.count("*").alias("n"))
+    several = stage(grouped.where("n > 1").select(F.col("component_id").alias("c"), F.col("best.row").alias("best")))
+    members = found.join(several, F.expr("component_id <=> c"))
+    away = stage(members.where("row <> best").select(F.col("row").alias("gone")).distinct())
+    repeats = stage(members.where("row = best").groupBy("row").agg(F.count("*").alias("n")).where("n > 1").select(F.col("row").alias("twice")))
+    row = F.xxhash64("doc_id", "text")
+    # most rows surely stay; only the others are shuffled
+    marked = maybe_in(docs.select(F.struct("*").alias("doc"), row.alias("row")), "row", away.withColumnRenamed("gone", "id"))
+    unsure = marked.where("maybe").join(away, F.expr("row = gone"), "left_anti")
+    kept = marked.where("not maybe").select("doc.*").unionByName(unsure.select("doc.*"))
+    if repeats.isEmpty():
+        return kept
+    alone = kept.join(repeats, row == F.col("twice"), "left_anti")
+    again = kept.join(repeats, row == F.col("twice"), "left_semi").dropDuplicates(["doc_id", "text"])
+    return alone.unionByName(again)
 
 
 def op2(docs: DataFrame) -> DataFrame:
