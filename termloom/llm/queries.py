@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from termloom.llm import decontam, line_dedup, mixing, pii_crf, quality, secret_ledger, simhash_golay
+from termloom.llm import decontam, hnsw, line_dedup, mixing, pii_crf, quality, secret_ledger, simhash_golay
 from termloom.llm.common import read
 
 
@@ -22,6 +22,10 @@ def quality_query(spark, sf_dir):
     return quality.op10(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def nearest_query(spark, sf_dir):
+    return hnsw.op3(read(spark, sf_dir, "embeddings"))
+
+
 def pii_query(spark, sf_dir):
     return pii_crf.op6(read(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ from raw left join texts t on t.doc_id = raw.doc_id
 
 QUERIES = {
     "op2_simhash_golay": (simhash_query, None),
+    "op3_hnsw": (nearest_query, None),
     "op5_mix_sources": (mixing_query, None),
     "op6_pii_crf": (pii_query, None),
     "op7_line_dedup": (line_query, LINES_SQL),
