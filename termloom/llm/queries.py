@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from termloom.llm import decontam, hnsw, line_dedup, mixing, pii_crf, quality, secret_ledger, simhash_golay
+from termloom.llm import decontam, hnsw, html_extract, license_scan, line_dedup, mixing, pii_crf, quality, secret_ledger, simhash_golay
 from termloom.llm.common import read
 
 
@@ -22,6 +22,14 @@ def quality_query(spark, sf_dir):
     return quality.op10(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def html_query(spark, sf_dir):
+    return html_extract.op1(read(spark, sf_dir, "pages"))
+
+
+def license_query(spark, sf_dir):
+    return license_scan.op4(read(spark, sf_dir, "documents"))
+
+
 def nearest_query(spark, sf_dir):
     return hnsw.op3(read(spark, sf_dir, "embeddings"))
 
@@ -59,8 +67,10 @@ from raw left join texts t on t.doc_id = raw.doc_id
 """
 
 QUERIES = {
+    "op1_html": (html_query, None),
     "op2_simhash_golay": (simhash_query, None),
     "op3_hnsw": (nearest_query, None),
+    "op4_licenses": (license_query, None),
     "op5_mix_sources": (mixing_query, None),
     "op6_pii_crf": (pii_query, None),
     "op7_line_dedup": (line_query, LINES_SQL),
