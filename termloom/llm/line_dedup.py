@@ -4,7 +4,7 @@ Equal lines are one class. Lines of MIN_CHARS or more also join the class of a l
 each line is cut into THRESHOLD + 1 segments, so a line within the threshold holds one of them unchanged, shifted by no more than the
 edits before it. Segments are indexed by (length, number, text); each line probes, for its own length and those up to THRESHOLD
 shorter, the few places where such a segment can lie (position windows from both ends, intersected). Candidates that
-share a key are cut down by a signature of letter counts inside the join and verified by banded edit distance. Linked lines
+share a key are cut down by signatures of letter counts inside the join and verified by banded edit distance. Linked lines
 form classes by connected components.
 
 Of each class the first occurrence stays, in order of (doc_id, line number); all others are removed. Blank lines always stay.
@@ -19,8 +19,9 @@ from termloom.llm.common import components, maybe_in, stage
 
 THRESHOLD = 2
 MIN_CHARS = 30
-# letters whose counts, modulo 16, make the signature
-LETTERS = "entaoirs"
+# letters whose counts make the signature, in so many classes
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+CLASSES = 16
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -51,15 +52,17 @@ def probes(threshold: int) -> list[str]:
 
 
 def signature() -> Column:
+    """16 counts of letters, modulo 16, in one long; letter k of the alphabet counts in class k modulo 16."""
     total = F.lit(0).cast("long")
-    for k, letter in enumerate(LETTERS):
-        total = total + F.shiftleft((F.length("line") - F.length(F.replace("line", F.lit(letter), F.lit("")))).bitwiseAND(F.lit(15)).cast("long"), 4 * k)
-    return total.cast("long")
+    for k in range(CLASSES):
+        count = sum((F.length("line") - F.length(F.replace("line", F.lit(c), F.lit(""))) for c in LETTERS[k::CLASSES]), F.lit(0))
+        total = total.bitwiseOR(F.shiftleft(count.bitwiseAND(F.lit(15)).cast("long"), 4 * k))
+    return total
 
 
 def apart(threshold: int) -> str:
-    """Whether two signatures allow for `threshold` edits: each edit moves two letter counts by one at most."""
-    nibble = [f"((shiftright(sig_a, {4 * k}) - shiftright(sig_b, {4 * k})) & 15)" for k in range(len(LETTERS))]
+    """Whether two signatures allow for `threshold` edits: each edit moves two counts by one at most."""
+    nibble = [f"(((shiftright(sig_a, {4 * k}) & 15) - (shiftright(sig_b, {4 * k}) & 15)) & 15)" for k in range(CLASSES)]
     return " + ".join(f"least({d}, 16 - {d})" for d in nibble) + f" <= {2 * threshold}"
 
 
