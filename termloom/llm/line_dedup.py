@@ -55,7 +55,7 @@ def signature() -> Column:
     """16 counts of letters, modulo 16, in one long; letter k of the alphabet counts in class k modulo 16."""
     total = F.lit(0).cast("long")
     for k in range(CLASSES):
-        count = sum((F.length("line") - F.length(F.replace("line", F.lit(c), F.lit(""))) for c in LETTERS[k::CLASSES]), F.lit(0))
+        count = sum((F.octet_length("line") - F.octet_length(F.replace("line", F.lit(c), F.lit(""))) for c in LETTERS[k::CLASSES]), F.lit(0))
         total = total.bitwiseOR(F.shiftleft(count.bitwiseAND(F.lit(15)).cast("long"), 4 * k))
     return total
 
