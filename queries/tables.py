@@ -102,7 +102,7 @@ def query_log(spark, sf):
 
 GEN = f"with prior as ({OLD_SQL}), fresh as ({NEW_SQL}), scope as ({SCOPE_SQL})\n"
 LOG_SQL = """select 1099511627776 + event_id as log_id, 'c' || user_id as course_id, event_type as stage,
-  substr(case when event_id % 50 = 1 then repeat(event_type, 2000) else event_type end, 1, 8000) as text_preview,
+  case when event_id % 50 = 1 then repeat(event_type, 2000) else event_type end as text_preview,
   case when event_id % 4 = 0 then '{"payload":{"d":"' || event_type || '"}}' else props end as detail from events where event_id % 9 <> 0"""
 
 QUERIES = {

@@ -498,8 +498,7 @@ QUERIES = {
             from ({DOC_SQL}) where not outline or regexp_matches(title || ' ' || module_title, 'late\s*work|syllabus|grading|attendance', 'i')),
           u as (select course_id, min(position) as position, arg_min(heading || body, position) as part from t where body <> '' group by course_id, sha256(body)),
           j as (select course_id, string_agg(part, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by position) as txt from u group by all)
-          select course_id, length(o) as n_chars, md5(o) as text_md5 from (select course_id, case when length(txt) > 96000 then regexp_replace(substr(txt, 1, 96000), '\s+$', '') || chr(10) || chr(10)
-            || '[... syllabus text truncated for parsing ...]' else txt end as o from j)""",
+          select course_id, length(txt) as n_chars, md5(txt) as text_md5 from j""",
     ),
     "pack_chunks": (pack_chunks, f"with {PACKED} select course_id, position, chunk from w"),
     "build_prompts": (

@@ -88,13 +88,7 @@ POLICIES = {0: (True, 0.1, 3, None), 1: (False, None, None, "No late exams")}
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     stamps = {f.name: F.col(f.name).cast("timestamp") for f in df.schema if f.dataType.typeName() == "timestamp_ntz"}
-    return spread(df.withColumns(stamps) if stamps else df)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rows of a table read in fewer splits than there are cores, over all cores; larger tables stay as they are."""
-    splits, cores = df.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if splits < cores else df
+    return df.withColumns(stamps) if stamps else df
 
 
 def _spark_sql(expression: str) -> str:

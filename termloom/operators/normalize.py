@@ -13,7 +13,6 @@ from termloom.functions import scan
 from termloom.functions import text as X
 
 COURSE = ["student_id", "course_id"]
-SYLLABUS_CAP = 96_000
 SYLLABUS_GAP = "\n\n---\n\n"
 SYLLABUS_CUT = "\n\n[... syllabus text truncated for parsing ...]"
 # Outline titles that belong to the syllabus, keywords and noise of outline lines.
@@ -37,7 +36,7 @@ def outline_assignments(topics: DataFrame, *, keys: list[str], text: str = "extr
     """Lines of a text that name an assignment and its due date: title, due_text, line position."""
     breaks = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
     lines = F.split(F.replace(F.col(text), F.lit("\t"), F.lit(" ")), breaks)
-    dated = lambda raw: F.upper(raw).rlike(r"\d{1,2}:\d{2}\s*(?:AM|PM)")
+    dated = lambda raw: F.upper(raw).rlike(r"\d{1,2}:\d{2}" + X.SPACE + "*(?:AM|PM)")
     # most lines carry no clock time: drop them before the line is unnested
     kept = F.filter(F.transform(lines, lambda raw, i: F.struct(i.alias("line"), raw.alias("raw"))), lambda s: dated(s["raw"]))
     each = topics.select(*keys, F.explode(kept).alias("s")).select(*keys, "s.line", X.squash(F.col("s.raw")).alias("one"))
@@ -57,10 +56,10 @@ def outline_assignments(topics: DataFrame, *, keys: list[str], text: str = "extr
     return titled.where(keep).select(*keys, "line", "title", F.col("_hit").alias("due_text"))
 
 
-def compose_syllabus(topics: DataFrame, *, cap: int = SYLLABUS_CAP) -> DataFrame:
-    """Syllabus text per course: syllabus topics, then policy-like outline topics, repeats dropped, cut at `cap`.
+def compose_syllabus(topics: DataFrame, *, cap: int | None = None) -> DataFrame:
+    """Syllabus text per course: syllabus topics, then policy-like outline topics, repeats dropped; cut only if `cap` is given.
 
-    `topics` has kind ('syllabus' | 'outline') and an integer `position` in report order.
+    `topics` has kind ('syllabus' | 'outline'; others are no syllabus) and an integer `position` in report order.
     """
     body = F.trim(F.regexp_replace("extracted_text", f"^{X.SPACE}+|{X.SPACE}+$", ""))
     outline = F.col("kind") == "outline"
@@ -69,7 +68,7 @@ def compose_syllabus(topics: DataFrame, *, cap: int = SYLLABUS_CAP) -> DataFrame
         outline, F.concat(F.lit("["), F.coalesce(X.blank_to_null(F.col("module_title")), F.lit("Content")), F.lit(": "), F.col("title"), F.lit("]\n"))
     ).when(X.truthy(F.col("title")), F.concat(F.lit("["), F.col("title"), F.lit("]\n")))
     texts = (
-        topics.where(~outline | hay.rlike(POLICY_TITLE))
+        topics.where((F.col("kind") == "syllabus") | (outline & hay.rlike(POLICY_TITLE)))
         .withColumns({"body": body, "heading": F.coalesce(heading, F.lit(""))})
         .where("body <> ''")
     )
@@ -77,6 +76,9 @@ def compose_syllabus(topics: DataFrame, *, cap: int = SYLLABUS_CAP) -> DataFrame
         F.min(F.struct("position", "heading", "body")).alias("s")
     )
     parts = first.select(*COURSE, F.col("s.position").alias("position"), F.concat("s.heading", "s.body").alias("part"))
+    if cap is None:
+        every = parts.groupBy(*COURSE).agg(F.array_sort(F.collect_list(F.struct("position", "part"))).alias("ps"))
+        return every.select(*COURSE, F.array_join(F.transform("ps", lambda p: p["part"]), SYLLABUS_GAP).alias("syllabus_raw_text"))
     gap = len(SYLLABUS_GAP)
     placed = scan.sum_before(parts, COURSE, "position", (F.length("part") + gap).cast("long"), "start")
     size = placed.groupBy(*COURSE).agg((F.sum(F.length("part") + gap) - gap).alias("size"))

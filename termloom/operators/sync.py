@@ -21,7 +21,6 @@ COURSE = ["student_id", "course_id"]
 PUBLISHERS = ("pearson_mylab", "cengage_mindtap")
 STATUSES = ("graded", "completed", "submitted", "in_progress", "overdue", "upcoming", "available")
 TYPES = ("homework", "exam", "lab", "discussion", "project", "reading")
-PREVIEW = 8000
 LOG_SHIFT = 1 << 40
 
 
@@ -32,6 +31,11 @@ def last_write(batch: DataFrame, keys: Sequence[str], sequence: Sequence[str]) -
     return latest.select(*keys, "_row.*").select(*batch.columns)
 
 
+def one_per_key(batch: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per key of a batch without an order of its own: the greatest as text, so a repeat gives the same row."""
+    return last_write(batch.withColumn("_text", F.to_json(F.struct(*batch.columns))), keys, ["_text"]).drop("_text")
+
+
 def upsert(
     target: DataFrame, source: DataFrame, keys: Sequence[str], *, sequence: Sequence[str] = (), preserve: Sequence[str] = ()
 ) -> DataFrame:
@@ -310,7 +314,7 @@ def _fitted(batch: DataFrame, table: DataFrame) -> DataFrame:
 
 def sync_lms(courses: DataFrame, assignments: DataFrame, new_courses: DataFrame, new_assignments: DataFrame, *, now: datetime):
     """Tables after a normalised snapshot, and the summary."""
-    batch_c, batch_a = _fitted(normalized_to_courses(new_courses), courses), normalized_to_assignments(new_assignments, now=now)
+    batch_c, batch_a = one_per_key(_fitted(normalized_to_courses(new_courses), courses), COURSE), one_per_key(normalized_to_assignments(new_assignments, now=now), KEY)
     kept = ("last_scraped_external", "last_syllabus_parse")
     merged = upsert(assignments, batch_a, KEY)
     doomed = missing_lms(merged, batch_c, batch_a)
@@ -319,7 +323,7 @@ def sync_lms(courses: DataFrame, assignments: DataFrame, new_courses: DataFrame,
 
 def sync_publisher(courses: DataFrame, assignments: DataFrame, seen: DataFrame, rows: DataFrame, *, now: datetime):
     """Tables after a publisher snapshot, and the summary; courses that are not known are ignored."""
-    batch = publisher_to_assignments(rows, now=now)
+    batch = one_per_key(publisher_to_assignments(rows, now=now), KEY)
     known = seen.join(courses.select(*COURSE), COURSE, "left_semi")
     merged = upsert(assignments, batch, KEY)
     doomed = missing_publisher(merged, seen, batch)
@@ -332,9 +336,10 @@ def sync_extraction(
 ):
     """Tables after an extraction, and the summary. `mode='additive'` keeps rows the extraction does not have."""
     homes = lms_home(new_courses, artifacts)
-    batch_c = _fitted(extraction_to_courses(new_courses, facts, homes, courses), courses)
+    batch_c = one_per_key(_fitted(extraction_to_courses(new_courses, facts, homes, courses), courses), COURSE)
     stamped = facts if "extracted_at" in facts.columns else facts.join(new_courses.select(*COURSE, "extracted_at"), COURSE)
-    batch_a = extraction_to_assignments(stamped, resolve_urls(facts, artifacts), now=now)
+    # two facts may name one assignment
+    batch_a = one_per_key(extraction_to_assignments(stamped, resolve_urls(facts, artifacts), now=now), KEY)
     merged = upsert(assignments, batch_a, KEY)
     doomed = missing_extraction(merged, batch_c, batch_a)
     if mode == "additive":
@@ -349,15 +354,15 @@ def sync_extraction(
 # ---------------------------------------------------------------- audit log
 
 
-def append_log(events: DataFrame, *, batch: int, sequence: str = "position") -> DataFrame:
-    """Events as log rows: known stage, detail an object, preview cut. Ids grow with the batch and the sequence."""
+def append_log(events: DataFrame, *, batch: int, sequence: str = "position", preview: int | None = None) -> DataFrame:
+    """Events as log rows: known stage, detail an object, preview cut if asked for. Ids grow with the batch and the sequence."""
     detail = F.trim("detail")
     is_object = detail.startswith("{") & F.try_parse_json(detail).isNotNull()
     payload = F.concat(F.lit('{"payload":'), F.coalesce(F.to_json(F.struct(F.col("detail").alias("d"))), F.lit("null")), F.lit("}"))
     return events.where(F.trim(F.coalesce("stage", F.lit(""))) != "").select(
         (F.lit(batch * LOG_SHIFT) + F.col(sequence)).cast("long").alias("log_id"),
         *[c for c in ("created_at", "student_id", "course_id", "assignment_id", "stage", "source_url", "artifact_ref") if c in events.columns],
-        F.substring("text_preview", 1, PREVIEW).alias("text_preview"),
+        (F.col("text_preview") if preview is None else F.substring("text_preview", 1, preview)).alias("text_preview"),
         F.when(is_object, F.col("detail")).otherwise(payload).alias("detail"),
     )
 

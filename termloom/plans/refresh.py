@@ -26,7 +26,9 @@ def newest_courses(frames: dict[str, DataFrame], known: DataFrame | None = None)
     if known is not None:
         seen = known.select(*COURSE, F.col("last_scraped_d2l").alias("_seen"))
         newest = newest.join(seen, COURSE, "left").where("_seen is null or fetched_at >= _seen").drop("_seen")
-    return {name: df.join(newest, [*COURSE, "fetched_at"], "left_semi") for name, df in frames.items()}
+    picked = {name: df.join(newest, [*COURSE, "fetched_at"], "left_semi") for name, df in frames.items()}
+    # a document that was delivered twice counts once
+    return {name: df if any(t.startswith("map") or "map<" in t for _, t in df.dtypes) else df.distinct() for name, df in picked.items()}
 
 
 def sync_lms_frames(store: TableStore, frames: dict[str, DataFrame], *, tz: str, now: datetime, version: int | None = None) -> DataFrame:

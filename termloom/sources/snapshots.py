@@ -72,7 +72,7 @@ def read_artifact_bodies(spark: SparkSession, artifacts: DataFrame, bodies_path:
     The folder is scanned once and joined by path, so no file is opened from the driver.
     """
     files = spark.read.option("recursiveFileLookup", True).text(bodies_path, wholetext=True).select(
-        F.regexp_replace("_metadata.file_path", r"^file:/+", "/").alias("path"), F.col("value")
+        F.url_decode(F.replace(F.regexp_replace("_metadata.file_path", r"^file:/+", "/"), F.lit("+"), F.lit("%2B"))).alias("path"), F.col("value")
     )
     local = lambda c: F.regexp_replace(c, r"^file:/+", "/")
     text = files.select(F.col("path").alias("_text_path"), F.col("value").alias("body"))

@@ -21,8 +21,8 @@ def stream_sync(
 ) -> StreamingQuery:
     """Synchronise every arriving LMS snapshot once; an older snapshot never replaces a newer one.
 
-    A micro-batch is one generation of the tables, numbered by its batch id, so a batch that is repeated after a
-    failure rewrites its own generation or finds it complete.
+    A micro-batch writes the next generation of the tables, whatever wrote the ones before. A batch that is repeated after a
+    failure merges the same rows again, which changes nothing.
     """
     configure(spark)
     store = TableStore(spark, root)
@@ -33,11 +33,8 @@ def stream_sync(
         .json(snapshot_dir)
     )
 
-    def one_batch(batch: DataFrame, batch_id: int) -> None:
-        number = batch_id + 1
-        if (store.version("courses") or 0) >= number:
-            return
-        sync_lms_frames(store, explode_lms_snapshot(batch), tz=tz, now=clock(), version=number)
+    def one_batch(batch: DataFrame, _: int) -> None:
+        sync_lms_frames(store, explode_lms_snapshot(batch), tz=tz, now=clock())
 
     return (
         arriving.writeStream.foreachBatch(one_batch)

@@ -244,7 +244,32 @@ def test_log_wraps_details_and_lists_newest_first(spark):
     log = sync.append_log(events, batch=2)
     rows = sync.query_log(log, course_id="c", limit=0).collect()
     assert [r["detail"] for r in rows] == ['{"payload":{"d":"plain"}}']
-    assert sorted(len(r["text_preview"] or "") for r in log.collect()) == [0, 8000]
+    assert sorted(len(r["text_preview"] or "") for r in log.collect()) == [0, 9000]
+    assert sorted(len(r["text_preview"] or "") for r in sync.append_log(events, batch=2, preview=8000).collect()) == [0, 8000]
+
+
+def test_a_batch_is_reduced_to_one_row_per_key(spark):
+    target = spark.createDataFrame([(1, "x", 1.0)], "student_id bigint, id string, points double")
+    batch = spark.createDataFrame([(1, "x", 2.0), (1, "x", 3.0), (2, "y", 1.0)], "student_id bigint, id string, points double")
+    once = sync.upsert(target, sync.one_per_key(batch, ["student_id", "id"]), ["student_id", "id"])
+    twice = sync.upsert(once, sync.one_per_key(batch, ["student_id", "id"]), ["student_id", "id"])
+    assert sorted(map(tuple, once.collect())) == sorted(map(tuple, twice.collect())) == [(1, "x", 3.0), (2, "y", 1.0)]
+
+
+def test_outline_lines_may_hold_no_break_spaces(spark):
+    from termloom.operators.normalize import outline_assignments
+
+    df = spark.createDataFrame([(1, "Homework 3 due Mar 29, 2026 11:59\u00a0PM")], "k int, extracted_text string")
+    assert outline_assignments(df, keys=["k"]).count() == 1
+
+
+def test_external_tools_are_no_syllabus(spark):
+    from termloom.operators.normalize import compose_syllabus
+
+    rows = [(1, "c", "syllabus", 1, "Late work", "m", "a" * 100_000), (1, "c", "external", 2, "Tool", "m", "tool text")]
+    df = spark.createDataFrame(rows, "student_id bigint, course_id string, kind string, position int, title string, module_title string, extracted_text string")
+    text = compose_syllabus(df).first()["syllabus_raw_text"]
+    assert "tool text" not in text and len(text) > 100_000
 
 
 def test_empty_tables_have_their_schema(spark):
