@@ -44,6 +44,13 @@ def arrow_map(df: DataFrame, out: dict[str, str], work: Callable[[pa.RecordBatch
     return df.mapInArrow(run, ", ".join(f"{name} {kind}" for name, kind in out.items()))
 
 
+def sample_texts(df: DataFrame, column: str, size: int) -> DataFrame:
+    """The `size` distinct texts of smallest hash. Only hashes are ranked, so no task gathers texts from all over the table."""
+    hashed = df.select(F.col(column), F.xxhash64(column).alias("h"))
+    least = hashed.select("h").distinct().orderBy("h").limit(size).agg(F.max("h").alias("h")).first()["h"]
+    return hashed.where(F.lit(False) if least is None else F.col("h") <= least).dropDuplicates(["h"]).select(column)
+
+
 def utf8(column: pa.Array) -> list:
     """The UTF-8 bytes of each string; None for null."""
     return column.cast(pa.binary()).to_pylist()

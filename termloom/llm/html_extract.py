@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import arrow_map
+from termloom.llm.common import arrow_map, sample_texts
 
 # pages the model is fitted on: those with the smallest hash of their html
 SAMPLE = 300
@@ -328,7 +328,7 @@ def fit(pages: DataFrame, sample: int = SAMPLE) -> dict:
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"model": [pickle.dumps(learn(sorted(pdf["html"])))]})
 
-    picked = pages.select(F.col("html").cast("string").alias("html")).where("html <> ''").orderBy(F.xxhash64("html")).limit(sample)
+    picked = sample_texts(pages.select(F.col("html").cast("string").alias("html")).where("html <> ''"), "html", sample)
     got = picked.withColumn("every", F.lit(0)).groupBy("every").applyInPandas(work, "model binary").collect()
     return pickle.loads(bytes(got[0]["model"])) if got else {"scores": {}, "trees": None}
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import arrow_map, stage
+from termloom.llm.common import arrow_map, sample_texts
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = 1 + len(KINDS)
@@ -213,7 +213,7 @@ def all_spans(text: str, model: dict) -> tuple[list[tuple[int, int, int]], list[
 def fit(docs: DataFrame, sample: int = SAMPLE) -> dict:
     """The model, learned in one task from at most `sample` documents that hold a digit or an @."""
     texts = docs.select(F.col("text").cast("string").alias("text")).where(F.col("text").rlike("[0-9@]"))
-    picked = texts.orderBy(F.xxhash64("text")).limit(sample)
+    picked = sample_texts(texts, "text", sample)
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         import pickle
