@@ -24,6 +24,8 @@ BUILD_WIDTH = 64
 SEARCH_WIDTH = 96
 SHRINK = 16
 BATCH = 512
+# queries that visit a shard's graph in one task; more queries mean more tasks, each with a copy of the graph
+QUERY_BLOCK = 1 << 15
 # fan-ins of the tree that keeps the smallest ids of a group of equal vectors
 FAN = (64, 8, 1)
 
@@ -198,10 +200,16 @@ def build_index(distinct: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     return stage(dealt.groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, ids array<long>, vectors binary, lists binary, sizes array<int>"))
 
 
-def search(index: DataFrame, queries: DataFrame, k: int, width: int = SEARCH_WIDTH) -> DataFrame:
-    """(query, query_id, rep, score): per query row (query, query_id, v, dim) the k nearest found in each shard."""
+def search(index: DataFrame, queries: DataFrame, k: int, width: int = SEARCH_WIDTH, query_block: int = QUERY_BLOCK) -> DataFrame:
+    """(query, query_id, rep, score): per query row (query, query_id, v, dim) the k nearest found in each shard.
+
+    Queries are dealt to blocks of about `query_block` by hash; a task holds one shard's graph and one block.
+    """
+    blocks = max(1, -(-queries.count() // query_block))
     shards = index.select(F.col("dim").alias("of_dim"), F.col("shard").alias("at"))
-    asked = queries.join(shards, F.expr("dim = of_dim")).select("query", "query_id", "v", F.col("of_dim").alias("dim_q"), F.col("at").alias("shard_q"))
+    dealt = queries.withColumn("block_q", F.pmod(F.xxhash64(F.lit(9), "query"), F.lit(blocks)).cast("int"))
+    asked = dealt.join(shards, F.expr("dim = of_dim")).select("query", "query_id", "v", F.col("of_dim").alias("dim_q"), F.col("at").alias("shard_q"), "block_q")
+    copied = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def run(graphs: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(graphs) or not len(asked):
@@ -223,7 +231,7 @@ def search(index: DataFrame, queries: DataFrame, k: int, width: int = SEARCH_WID
         rep = np.repeat(np.arange(len(q)), found.shape[1]).reshape(found.shape)[ok]
         return pd.DataFrame({"query": asked["query"].to_numpy()[rep], "query_id": asked["query_id"].to_numpy()[rep], "rep": ids[found[ok]], "score": score[ok]})
 
-    grouped = index.groupBy("dim", "shard").cogroup(asked.groupBy("dim_q", "shard_q"))
+    grouped = copied.groupBy("dim", "shard", "block").cogroup(asked.groupBy("dim_q", "shard_q", "block_q"))
     return grouped.applyInPandas(run, "query long, query_id long, rep long, score double")
 
 
