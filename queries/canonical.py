@@ -105,7 +105,7 @@ def grade_exclusions(spark, sf):
 
 
 def exclusion_counts(spark, sf):
-    return G.exclusion_counts(C.rows(spark, sf), now=V.NOW)
+    return G.exclusion_counts(C.rows(spark, sf), now=V.NOW, shown=40)
 
 
 EXCLUDED = """select student_id, course_id, match_key, title, case when counted then 1 else 0 end as stage, case
@@ -192,7 +192,7 @@ QUERIES = {
     "grade_exclusions": (
         grade_exclusions,
         C.sql(*GRADED, body=f"""select student_id, course_id, position, title, reason from (select *, cast(row_number() over (
-          partition by student_id, course_id order by stage, match_key) as int) as position from ({EXCLUDED}) where reason is not null) where position <= 40"""),
+          partition by student_id, course_id order by stage, match_key) as int) as position from ({EXCLUDED}) where reason is not null)"""),
     ),
     "exclusion_counts": (
         exclusion_counts,

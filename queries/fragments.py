@@ -85,7 +85,7 @@ def html_due_facts(spark, sf):
 
 
 def artifact_text(spark, sf):
-    docs = V.table(spark, sf, "documents").where("doc_id % 2 = 0")
+    docs = V.table(spark, sf, "documents")
     art = docs.select(
         "doc_id", F.when(F.col("doc_id") % 4 == 0, "course_home").otherwise("other").alias("page_kind"), F.col("text").alias("body"),
         F.concat(F.lit("<p>Page "), F.col("doc_id").cast("string"), F.lit(" <b>bold</b></p>")).alias("html"),
@@ -181,7 +181,7 @@ def detail_urls(spark, sf):
         F.when(n % 3 == 0, F.concat(n.cast("string"), F.lit("-focus"))).alias("focus_tag"), F.when(n % 3 == 1, F.concat(F.lit("activity-heading-h"), n.cast("string"))).alias("heading_id"),
         F.concat(F.lit("https://m.example.com/app?snapshotId="), (n % 9).cast("string"), F.lit("&deploymentId=d1"), F.when(n % 5 != 0, "&eISBN=978").otherwise("")).alias("course_url"),
     )
-    return L.detail_urls(rows, max_details=20).select("course_id", "position", "activity_id", "detail_url")
+    return L.detail_urls(rows).select("course_id", "position", "activity_id", "detail_url")
 
 
 def distinct_surfaces(spark, sf):
@@ -337,11 +337,11 @@ QUERIES = {
     "artifact_text": (
         artifact_text,
         r"""select doc_id, md5(t) as text_md5, length(t) as n_chars from (select doc_id, concat_ws(chr(10) || chr(10), nullif(regexp_replace(text, '^\s+|\s+$', '', 'g'), ''),
-          case when doc_id % 4 = 0 then 'Page ' || doc_id || ' bold' end) as t from documents where doc_id % 2 = 0)""",
+          case when doc_id % 4 = 0 then 'Page ' || doc_id || ' bold' end) as t from documents)""",
     ),
     "best_document_text": (
         best_document_text,
-        r"""select topic_url, length(t) as n_chars, substr(t, 1, 6) as start from (select source as topic_url, substr(arg_min(t, (-length(t), doc_id)), 1, 20000) as t from (select source, doc_id,
+        r"""select topic_url, length(t) as n_chars, substr(t, 1, 6) as start from (select source as topic_url, arg_min(t, (-length(t), doc_id)) as t from (select source, doc_id,
           case when doc_id % 3 = 0 then substr(t, 7) else t end as t from (select *, trim(regexp_replace(case when doc_id % 3 = 0 then 'intro Course Syllabus ' else 'intro ' end || text, '\s+', ' ', 'g')) as t from documents
           where doc_id % 6 <> 0 and doc_id % 7 <> 0) where length(t) >= 200) group by source)""",
     ),
@@ -380,9 +380,8 @@ QUERIES = {
     ),
     "detail_urls": (
         detail_urls,
-        """select course_id, position, activity_id, 'https://m.example.com/app?deploymentId=d1&eISBN=978&id=' || activity_id || '&snapshotId=' || position % 9 || '&' as detail_url from (select *,
-          row_number() over (partition by course_id order by position) as n from (select p_brand as course_id, p_partkey as position, case p_partkey % 3 when 0 then cast(p_partkey as varchar) when 1 then 'h' || p_partkey end as activity_id
-          from part where p_partkey % 5 <> 0 and p_partkey % 3 <> 2)) where n <= 20""",
+        """select course_id, position, activity_id, 'https://m.example.com/app?deploymentId=d1&eISBN=978&id=' || activity_id || '&snapshotId=' || position % 9 || '&' as detail_url from (select p_brand as course_id, p_partkey as position, case p_partkey % 3 when 0 then cast(p_partkey as varchar) when 1 then 'h' || p_partkey end as activity_id
+          from part where p_partkey % 5 <> 0 and p_partkey % 3 <> 2)""",
     ),
     "distinct_surfaces": (
         distinct_surfaces,

@@ -344,7 +344,7 @@ def pending_syllabi(spark, sf):
 DOC_SQL = r"""select source as course_id, doc_id as position, text, doc_id % 3 = 0 as outline, 'Topic ' || doc_id % 4 as title,
   case when doc_id % 2 = 0 then 'Late work' else 'Other' end as module_title, case when doc_id % 3 = 0 then 'Quiz ' || doc_id || ' due MAR ' || (doc_id % 28 + 1) || ' 11:59 PM' || chr(10) else '' end
   || text || case doc_id % 4 when 0 then chr(10) || 'Section 3.' || doc_id % 7 || ' notes: - Mar 3, 2026 10:00 AM' when 1 then chr(10) || 'Nothing here Apr 4, 2026 9:00 AM' else '' end as long_text, lang from documents"""
-PACKED = r"""recursive d as (select source as course_id, doc_id as position, text, lang, least(length(text), 4000) + 400 as size,
+PACKED = r"""recursive d as (select source as course_id, doc_id as position, text, lang, coalesce(length(text), 0) + 400 as size,
   row_number() over (partition by source order by doc_id) as n from documents),
   w as (select course_id, n, position, size as filled, cast(1 as bigint) as chunk from d where n = 1 union all
     select d.course_id, d.n, d.position, case when w.filled + d.size > 12000 then d.size else w.filled + d.size end,
@@ -507,7 +507,7 @@ QUERIES = {
           'Find the assignments.' || chr(10) || chr(10) || 'COURSE: ' || course_id || ' - Course' || chr(10) || chr(10) || 'ARTIFACTS:' || chr(10)
           || string_agg(body, chr(10) || chr(10) order by position) as prompt from (select w.course_id, w.chunk, w.position, regexp_replace('artifact_id: ' || w.position || chr(10)
           || 'source_platform: d2l' || chr(10) || 'page_kind: ' || lang || chr(10) || 'title: Topic ' || w.position % 4 || chr(10) || 'url: u' || chr(10) || 'parent_url: ' || chr(10)
-          || 'text:' || chr(10) || substr(text, 1, 4000), '\s+$', '') as body from w join d using (course_id, position)) group by course_id, chunk)""",
+          || 'text:' || chr(10) || text, '\s+$', '') as body from w join d using (course_id, position)) group by course_id, chunk)""",
     ),
     "select_artifacts": (
         select_artifacts,

@@ -24,8 +24,7 @@ def normalize_urls(spark, sf):
 
 
 def html_text(spark, sf):
-    pages = V.table(spark, sf, "pages").where("html not like '%d2l-html-block%'")
-    return P.html_to_text(pages, decode=False).select("page_id", F.md5(F.encode("text", "UTF-8")).alias("text_md5"), F.length("text").alias("n_chars"))
+    return P.html_to_text(V.table(spark, sf, "pages"), decode=False).select("page_id", F.md5(F.encode("text", "UTF-8")).alias("text_md5"), F.length("text").alias("n_chars"))
 
 
 def html_text_decoded(spark, sf):
@@ -92,7 +91,7 @@ def artifact_ids(spark, sf):
 
 def nav_plan(spark, sf):
     links = _named(spark, sf).select("student_id", F.col("page_id").cast("string").alias("course_id"), "position", "page_url", "url", "text", F.lit(True).alias("has_href"))
-    return L.publisher_nav_plan(links, platform="cengage_mindtap", budget=3).select("course_id", "step", "position", "text")
+    return L.publisher_nav_plan(links, platform="cengage_mindtap").select("course_id", "step", "position", "text")
 
 
 def frontier(spark, sf):
@@ -106,7 +105,7 @@ def frontier(spark, sf):
     links = base.select(*key, "page_id", F.posexplode(steps).alias("position", "step")).join(
         base.select(*key, F.col("page_id").alias("to")), list(key)
     ).where("`to` = page_id + step").select(*key, url(F.col("page_id")).alias("from_url"), url(F.col("to")).alias("url"), "position")
-    return L.expand_frontier(seeds, links, page_budget=15).select("course_id", "url", "visit", "level")
+    return L.expand_frontier(seeds, links).select("course_id", "url", "visit", "level")
 
 
 def modules(spark, sf):
@@ -127,8 +126,8 @@ LINKS_SQL = rf"""select page_id, page_url, row_number() over (partition by page_
       else page_url || h end as url, trim(regexp_replace(regexp_replace(inn, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) as inn
     from (select page_id, url as page_url, unnest(range(1, len(hs) + 1)) as i, trim(unnest(hs)) as h, unnest(ts) as inn from (select page_id, url,
       regexp_extract_all(html, '{ANCHOR}', 1) as hs, regexp_extract_all(html, '{ANCHOR}', 2) as ts from pages))
-    where h <> '' and not regexp_matches(lower(h), '^(#|javascript:|mailto:)') and i <= 600)
-  group by page_id, page_url, url) qualify position <= 80"""
+    where h <> '' and not regexp_matches(lower(h), '^(#|javascript:|mailto:)'))
+  group by page_id, page_url, url)"""
 
 
 def _alternation(words):
@@ -157,7 +156,7 @@ QUERIES = {
         html_text,
         r"""select page_id, md5(text) as text_md5, length(text) as n_chars from (select page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
           '(?is)<script\b[^>]*>.*?</script>', ' ', 'g'), '(?is)<style\b[^>]*>.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) as text
-          from pages where html not like '%d2l-html-block%')""",
+          from pages)""",
     ),
     "html_to_text_decoded": (html_text_decoded, None),
     "page_links": (page_links, f"select page_id, position, url, text from ({LINKS_SQL})"),
@@ -187,13 +186,13 @@ QUERIES = {
         nav_plan,
         f"""select cast(page_id as varchar) as course_id, cast(step as int) as step, position, text from (select *, row_number() over (partition by page_id order by position) as step
           from ({NAMED_SQL}) where regexp_matches(url, '^https?:') and lower(regexp_extract(url, '://([^/?#]*)', 1)) = lower(regexp_extract(page_url, '://([^/?#]*)', 1))
-          and {PUBLISHER_SQL} and url <> page_url) where step <= 3""",
+          and {PUBLISHER_SQL} and url <> page_url)""",
     ),
     "expand_frontier": (
         frontier,
         """with recursive top as (select max(page_id) as last from pages), walk as (select page_id % 10 as site, 1 as i, [min(page_id)] as q, [0] as lv, (select last from top) as last from pages group by 1 union all
           select site, i + 1, q || c, lv || list_transform(c, lambda x: lv[i] + 1), last from (select *, list_filter([q[i] + 20, q[i] + 10, q[i] + 50], lambda x: x <= last and not list_contains(q, x)) as c
-            from walk where i <= len(q) and i < 15))
+            from walk where i <= len(q)))
           select 's' || site as course_id, 'http://x.example.com/' || q[i] as url, i as visit, lv[i] as level from walk where i <= len(q)""",
     ),
     "classify_modules": (

@@ -29,7 +29,7 @@ RULE_KINDS = (
     "tool_grades", "tool_calendar", "tool_calendar_full_schedule", "syllabus_topic", "content_outline_topic", "d2l_nav_page",
     "tool_content", "course_home", "announcement_detail",
 )
-ASSIGNMENT_CHUNK, RULE_CHUNK, TEXT_SHOWN, OVERHEAD = 12_000, 20_000, 4_000, 400
+ASSIGNMENT_CHUNK, RULE_CHUNK, OVERHEAD = 12_000, 20_000, 400
 SPLIT_ON = ("timed out", "timeout", "context length", "maximum context", "too large")
 STATUS_ORDER = ("graded", "completed", "submitted", "in_progress", "overdue", "upcoming", "available")
 
@@ -38,8 +38,10 @@ def select_artifacts(artifacts: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     return artifacts.where(F.col("page_kind").isin(*kinds))
 
 
-def artifact_size(text: Column) -> Column:
-    return F.least(F.length(text), F.lit(TEXT_SHOWN)) + OVERHEAD
+def artifact_size(text: Column, shown: int | None = None) -> Column:
+    """Size an artifact counts with: its whole text, or the first `shown` characters, and a fixed overhead."""
+    size = F.coalesce(F.length(text), F.lit(0))
+    return (size if shown is None else F.least(size, F.lit(shown))) + OVERHEAD
 
 
 # ---------------------------------------------------------------- chunk packing
@@ -57,8 +59,8 @@ def _summarise(limit: int, reach: int):
         opened, tail = [], []
         for first in range(starts):
             n, begin = 1, first
-            # the first row that no longer fits opens the next chunk
-            while (nxt := bisect_right(sums, sums[begin] + limit) - 1) < len(sizes):
+            # the first row that no longer fits opens the next chunk; a row beyond the limit is a chunk of its own
+            while (nxt := max(begin + 1, bisect_right(sums, sums[begin] + limit) - 1)) < len(sizes):
                 n, begin = n + 1, nxt
             opened.append(n)
             tail.append(sums[-1] - sums[begin])
@@ -107,6 +109,7 @@ def _assign(limit: int):
 
 def pack_chunks(artifacts: DataFrame, *, max_chars: int, block: int = 1 << 14) -> DataFrame:
     """Chunk number (from 1) of every artifact: in order, a new chunk where the sum would exceed `max_chars`.
+    An artifact of more than `max_chars` is a chunk of its own.
 
     artifacts: course keys, position (unique integer per course), size. The greedy scan is cut into blocks of positions: each
     block is summarised for every place its first chunk can start, the summaries are chained per course, and each block is
@@ -125,21 +128,22 @@ def pack_chunks(artifacts: DataFrame, *, max_chars: int, block: int = 1 << 14) -
     return artifacts.join(numbered.select(*COURSE, "position", "chunk"), [*COURSE, "position"])
 
 
-def artifact_block() -> Column:
-    """How one artifact appears in a prompt."""
+def artifact_block(shown: int | None = None) -> Column:
+    """How one artifact appears in a prompt; its text whole, or the first `shown` characters."""
+    text = F.coalesce(F.col("text"), F.lit(""))
     blank = lambda n: F.coalesce(F.col(n), F.lit(""))
     score = F.when(X.truthy(F.col("score_text")), F.concat(F.lit("pearson_score_text: "), "score_text", F.lit("\n"))).otherwise("")
     return F.trim(F.concat(
         F.lit("artifact_id: "), "id", F.lit("\nsource_platform: "), blank("source_platform"), F.lit("\npage_kind: "), blank("page_kind"),
         F.lit("\ntitle: "), blank("title"), F.lit("\nurl: "), blank("url"), F.lit("\nparent_url: "), blank("parent_url"), F.lit("\n"), score,
-        F.lit("text:\n"), F.regexp_replace(F.substring(blank("text"), 1, TEXT_SHOWN), f"{X.SPACE}+$", ""),
+        F.lit("text:\n"), F.regexp_replace(text if shown is None else F.substring(text, 1, shown), f"{X.SPACE}+$", ""),
     ))
 
 
-def build_prompts(chunks: DataFrame, template: str) -> DataFrame:
-    """One prompt per chunk: template, course line, formatted artifacts in order. A chunk is bounded by its size limit."""
+def build_prompts(chunks: DataFrame, template: str, *, shown: int | None = None) -> DataFrame:
+    """One prompt per chunk: template, course line, formatted artifacts in order. A chunk is bounded by its size limit or is one artifact."""
     listed = chunks.groupBy(*COURSE, "chunk").agg(
-        F.array_sort(F.collect_list(F.struct("position", "id", artifact_block().alias("body")))).alias("a"),
+        F.array_sort(F.collect_list(F.struct("position", "id", artifact_block(shown).alias("body")))).alias("a"),
         F.any_value("course_code").alias("course_code"), F.any_value("course_name").alias("course_name"),
     )
     bodies = F.array_join(F.transform("a", lambda a: a["body"]), "\n\n")
@@ -175,7 +179,7 @@ def batch_extract(prompts: DataFrame, answer: Callable[[str], str], template: st
                 yield from tries(row, ids[:half], bodies[:half], part + "1")
                 yield from tries(row, ids[half:], bodies[half:], part + "2")
             else:
-                yield (row.student_id, row.course_id, row.chunk, part, ids, None, f"{type(error).__name__}: {error}"[:800])
+                yield (row.student_id, row.course_id, row.chunk, part, ids, None, f"{type(error).__name__}: {error}")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["student_id", "course_id", "chunk", "part", "artifact_ids", "response", "error"]
@@ -412,14 +416,15 @@ def merge_extractions(saved: DataFrame, updated: DataFrame) -> DataFrame:
     return both.select(*COURSE, *[pick(n) for n in rest], events.alias("provenance_events"))
 
 
-def extraction_log(results: DataFrame, *, stage: str, samples: int = 25, spans: int = 5, quote: int = 240) -> DataFrame:
-    """One audit row per answered part of a chunk. results: course keys, chunk, part, artifact_ids, parsed struct of facts."""
+def extraction_log(results: DataFrame, *, stage: str, samples: int | None = None, spans: int | None = None, quote: int | None = None) -> DataFrame:
+    """One audit row per answered part of a chunk, with all facts, evidence and quotes unless fewer are asked for. results: course keys, chunk, part, artifact_ids, parsed struct of facts."""
     facts = F.coalesce("parsed.assignments", F.array().cast(results.schema["parsed"].dataType["assignments"].dataType))
-    shown = F.slice(facts, 1, samples)
+    first = lambda c, n: c if n is None else F.slice(c, 1, n)
+    shown = first(facts, samples)
     evidence = F.transform(shown, lambda a: F.struct(
         a["title"].alias("title"), a["rationale"].alias("rationale"),
-        F.transform(F.slice(F.coalesce(a["evidence_spans"], F.array().cast("array<struct<artifact_id:string,quote:string>>")), 1, spans), lambda s: F.struct(
-            s["artifact_id"].alias("artifact_id"), F.substring(s["quote"], 1, quote).alias("quote"))).alias("evidence_spans"),
+        F.transform(first(F.coalesce(a["evidence_spans"], F.array().cast("array<struct<artifact_id:string,quote:string>>")), spans), lambda s: F.struct(
+            s["artifact_id"].alias("artifact_id"), (s["quote"] if quote is None else F.substring(s["quote"], 1, quote)).alias("quote"))).alias("evidence_spans"),
     ))
     detail = F.struct(
         F.concat_ws("", F.lit("chunk "), F.col("chunk").cast("string"), F.when(F.col("part") != "", F.concat(F.lit(" part "), "part"))).alias("chunk"),
@@ -429,12 +434,12 @@ def extraction_log(results: DataFrame, *, stage: str, samples: int = 25, spans:
     return results.where("error is null").select(*COURSE, "chunk", "part", F.lit(stage).alias("stage"), F.to_json(detail).alias("detail"))
 
 
-def rules_log(results: DataFrame, *, stage: str, notes: int = 10) -> DataFrame:
-    """One audit row per answered rule chunk."""
+def rules_log(results: DataFrame, *, stage: str, notes: int | None = None) -> DataFrame:
+    """One audit row per answered rule chunk, with all notes or the first `notes`."""
     none = F.array().cast("array<string>")
     detail = F.struct(
         F.concat_ws("", F.lit("chunk "), F.col("chunk").cast("string"), F.when(F.col("part") != "", F.concat(F.lit(" part "), "part"))).alias("chunk"),
         "artifact_ids", F.coalesce(F.transform("parsed.grade_categories", lambda c: c["name"]), none).alias("grade_category_names"),
-        F.col("parsed.late_policy").isNotNull().alias("has_late_policy"), F.slice(F.coalesce("parsed.notes", none), 1, notes).alias("rule_notes"),
+        F.col("parsed.late_policy").isNotNull().alias("has_late_policy"), (F.coalesce("parsed.notes", none) if notes is None else F.slice(F.coalesce("parsed.notes", none), 1, notes)).alias("rule_notes"),
     )
     return results.where("error is null").select(*COURSE, "chunk", "part", F.lit(stage).alias("stage"), F.to_json(detail).alias("detail"))

@@ -16,7 +16,6 @@ from termloom.operators.reconcile import grade_of, instant
 
 EXACT = "decimal(28,8)"
 COURSE = ("student_id", "course_id")
-EXCLUDED_SHOWN = 40
 
 # Words that stand for an assignment type inside category names.
 TYPE_ALIASES = {
@@ -272,16 +271,17 @@ def all_exclusions(rows: DataFrame, *, now: datetime) -> DataFrame:
     ).where("reason is not null")
 
 
-def grade_exclusions(rows: DataFrame, *, now: datetime, shown: int = EXCLUDED_SHOWN) -> DataFrame:
-    """The first exclusions of each course, in report order."""
+def grade_exclusions(rows: DataFrame, *, now: datetime, shown: int | None = None) -> DataFrame:
+    """Exclusions of each course in report order; the first `shown` if that is given."""
     order = Window.partitionBy(*COURSE).orderBy("stage", "match_key")
     ranked = all_exclusions(rows, now=now).withColumn("position", F.row_number().over(order))
-    return ranked.where(F.col("position") <= shown).select(*COURSE, "position", "title", "reason")
+    return (ranked if shown is None else ranked.where(F.col("position") <= shown)).select(*COURSE, "position", "title", "reason")
 
 
-def exclusion_counts(rows: DataFrame, *, now: datetime, shown: int = EXCLUDED_SHOWN) -> DataFrame:
+def exclusion_counts(rows: DataFrame, *, now: datetime, shown: int | None = None) -> DataFrame:
+    """Exclusions per course, and how many of them a report of `shown` rows leaves out."""
     counted = all_exclusions(rows, now=now).groupBy(*COURSE).agg(F.count(F.lit(1)).alias("excluded_count"))
-    return counted.withColumn("excluded_truncated", F.greatest(F.lit(0), F.col("excluded_count") - shown))
+    return counted.withColumn("excluded_truncated", F.lit(0).cast("bigint") if shown is None else F.greatest(F.lit(0), F.col("excluded_count") - shown))
 
 
 def grade_band(pct: Column) -> Column:

@@ -176,11 +176,11 @@ def relevant_links(links: DataFrame, *, platform: str = "lms") -> DataFrame:
 # ---------------------------------------------------------------- links of pages
 
 
-def page_links(pages: DataFrame, *, scope: Column | None = None, max_links: int = 80, max_anchors: int = 600) -> DataFrame:
-    """Distinct followable links of each page in document order, at most `max_links` of its first `max_anchors`."""
+def page_links(pages: DataFrame, *, scope: Column | None = None, max_links: int | None = None) -> DataFrame:
+    """Distinct followable links of each page in document order; the first `max_links` of them if that is given."""
     anchor = r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']*)[\"'][^>]*>(.*?)</a>"
     hrefs, texts = (F.regexp_extract_all("html", F.lit(anchor), F.lit(g)) for g in (1, 2))
-    found = F.slice(F.arrays_zip(hrefs.alias("href"), texts.alias("inner")), 1, max_anchors)
+    found = F.arrays_zip(hrefs.alias("href"), texts.alias("inner"))
     kept = F.filter(
         F.transform(found, lambda a, i: F.struct(i.alias("pos"), F.trim(a["href"]).alias("href"), a["inner"].alias("inner"))),
         lambda a: (a["href"] != "") & ~F.lower(a["href"]).rlike("^(#|javascript:|mailto:)"),
@@ -196,9 +196,10 @@ def page_links(pages: DataFrame, *, scope: Column | None = None, max_links: int
     first = each.withColumn("normalized_url", U.normalized(F.col("url"))).groupBy(*keys, "normalized_url").agg(
         F.min(F.struct("pos", "url", "inner")).alias("s")
     )
-    order = Window.partitionBy(*keys).orderBy("s.pos")  # one page, at most max_anchors rows
+    order = Window.partitionBy(*keys).orderBy("s.pos")  # the anchors of one page
     text = X.squash(F.regexp_replace("s.inner", r"<[^>]+>", " "))
-    return first.withColumn("position", F.row_number().over(order)).where(F.col("position") <= max_links).select(
+    numbered = first.withColumn("position", F.row_number().over(order))
+    return (numbered if max_links is None else numbered.where(F.col("position") <= max_links)).select(
         *keys, "position", F.col("s.url").alias("url"), "normalized_url", text.alias("text")
     )
 
@@ -245,11 +246,11 @@ def seed_targets(courses: DataFrame, tools: DataFrame, announcements: DataFrame)
     return first.select(*COURSE, "f.at", F.lit("d2l").alias("source_platform"), "f.page_kind", "url", "f.title")
 
 
-def expand_frontier(seeds: DataFrame, links: DataFrame, *, page_budget: int = 120) -> DataFrame:
-    """Breadth-first visit order per course over captured links, each URL once, at most `page_budget` pages.
+def expand_frontier(seeds: DataFrame, links: DataFrame, *, page_budget: int | None = None) -> DataFrame:
+    """Breadth-first visit order per course over captured links, each URL once; at most `page_budget` pages if that is given.
 
-    seeds: course keys, url, position; links: course keys, from_url, url, position. Every level keeps at most the pages
-    the budget still admits, so a level holds no more than page_budget rows per course.
+    seeds: course keys, url, position; links: course keys, from_url, url, position. With a budget a level keeps at most the
+    pages it still admits. Levels are numbered in sorted order, which Spark spills to disk.
     """
     edges = links.select(*COURSE, U.normalized(F.col("from_url")).alias("from_key"), U.normalized(F.col("url")).alias("key"), "url", "position")
     start = seeds.select(*COURSE, U.normalized(F.col("url")).alias("key"), "url", F.struct(F.lit(0).cast("long").alias("parent"), F.col("position").cast("long").alias("at")).alias("at"))
@@ -258,8 +259,10 @@ def expand_frontier(seeds: DataFrame, links: DataFrame, *, page_budget: int = 12
         """First occurrence of every new URL, numbered after the pages already visited."""
         first = candidates.groupBy(*COURSE, "key").agg(F.min(F.struct("at", "url")).alias("f"), F.max(used).alias("_used"))
         order = Window.partitionBy(*COURSE).orderBy("f.at", "key")
-        ranked = first.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= page_budget)
-        return ranked.withColumn("visit", F.col("_n") + F.col("_used")).where(F.col("visit") <= page_budget).select(
+        ranked = first.withColumn("_n", F.row_number().over(order))
+        if page_budget is not None:
+            ranked = ranked.where((F.col("_n") <= page_budget) & (F.col("_n") + F.col("_used") <= page_budget))
+        return ranked.withColumn("visit", F.col("_n") + F.col("_used")).select(
             *COURSE, "key", F.col("f.url").alias("url"), F.col("visit").cast("long").alias("visit")
         )
 
@@ -270,11 +273,11 @@ def expand_frontier(seeds: DataFrame, links: DataFrame, *, page_budget: int = 12
         depth += 1
         used = visited.groupBy(*COURSE).agg(F.count(F.lit(1)).alias("_so_far"))
         frontier = level.select(*COURSE, F.col("key").alias("from_key"), F.col("visit").alias("_parent"))
-        # levels are bounded by the budget per course; the edge table is scanned once per level
+        # the edge table is scanned once per level
         found = (
             edges.join(frontier, [*COURSE, "from_key"])
             .join(visited.select(*COURSE, "key"), [*COURSE, "key"], "left_anti")
-            .join(used.where(F.col("_so_far") < page_budget), COURSE)
+            .join(used if page_budget is None else used.where(F.col("_so_far") < page_budget), COURSE)
             .withColumn("at", F.struct(F.col("_parent").alias("parent"), F.col("position").cast("long").alias("at")))
         )
         level = stage(admitted(found, F.col("_so_far")).withColumn("level", F.lit(depth)))
@@ -310,9 +313,9 @@ def artifact_ids(artifacts: DataFrame, identity: str = "url") -> DataFrame:
 
 
 def publisher_nav_plan(
-    links: DataFrame, picks: DataFrame | None = None, *, platform: str, budget: int = 40, max_links: int = 80
+    links: DataFrame, picks: DataFrame | None = None, *, platform: str, budget: int | None = None, max_links: int | None = None
 ) -> DataFrame:
-    """Publisher pages to open per course, in link order.
+    """Publisher pages to open per course, in link order; the first `max_links` links and `budget` pages where those are given.
 
     links: course keys, position, page_url, url (absolute), text, has_href. Picks (course keys, position, rank) replace the
     word test where a course has any.
@@ -321,7 +324,9 @@ def publisher_nav_plan(
     mindtap = platform == "cengage_mindtap"
     inside = in_course_scope(url, F.col("page_url")) if mindtap else (~F.col("has_href") | in_publisher_scope(url))
     order = Window.partitionBy(*COURSE).orderBy("position")
-    listed = links.where(inside).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= max_links)
+    listed = links.where(inside).withColumn("_n", F.row_number().over(order))
+    if max_links is not None:
+        listed = listed.where(F.col("_n") <= max_links)
     if picks is None:
         chosen = listed.where(publisher_relevant(text, url)).withColumn("_rank", F.col("_n"))
     else:
@@ -334,8 +339,9 @@ def publisher_nav_plan(
     if mindtap:
         keyed = keyed.where(F.col("_key") != U.normalized(F.col("page_url")))
     first = keyed.groupBy(*COURSE, "_key").agg(F.min(F.struct("_rank", "position", "url", "text")).alias("f"))
-    step = Window.partitionBy(*COURSE).orderBy("f._rank")  # at most max_links rows
-    return first.withColumn("step", F.row_number().over(step)).where(F.col("step") <= budget).select(
+    step = Window.partitionBy(*COURSE).orderBy("f._rank")
+    numbered = first.withColumn("step", F.row_number().over(step))
+    return (numbered if budget is None else numbered.where(F.col("step") <= budget)).select(
         *COURSE, "step", "f.position", "f.url", "f.text"
     )
 

@@ -44,7 +44,7 @@ IGNORED_HOSTS = ("s.brightspace.com", "service.force.com", "solve-widget.foretho
 FRAME_PREFIXES = r"^(?:Toggle Sidebar Find Previous Next of|Thumbnails Document Outline Attachments)"
 DOCUMENT_MARKERS = ("OAKTON", "Oakton", "COURSE SYLLABUS", "Course Syllabus", "SYLLABUS", "Syllabus")
 MONTH_TOKEN, DAY_TOKEN, TIME_TOKEN = r"^\p{L}{1,4}$", r"^\d{1,2}$", r"(?i)\b\d{1,2}:\d{2}\s?(?:AM|PM)\b"
-MAX_TEXT, MAX_OUTLINE, MIN_OUTLINE, MAX_EXTRACTS, MIN_FRAME = 20_000, 24_000, 120, 40, 200
+MIN_OUTLINE, MIN_FRAME = 120, 200
 
 FUZZY_DATE = r'<abbr\b[^>]*class="[^"]*d2l-fuzzydate[^"]*"[^>]*title="([^"]+)"[^>]*>\s*(.*?)\s*</abbr>'
 
@@ -133,7 +133,7 @@ def course_links(links: DataFrame) -> DataFrame:
     return first.select(
         "student_id", "lms_course_id", F.trim(F.substring_index(p(0), " - ", 1)).alias("code"),
         F.coalesce(X.blank_to_null(name), p(0)).alias("name"), p(1).alias("offering_code"), p(2).alias("semester"),
-        F.when(F.size("f._p") > 3, F.array_join(F.slice("f._p", 4, 1000), ", ")).alias("end_date_text"), "f.home_url",
+        F.when(F.size("f._p") > 3, F.array_join(F.slice("f._p", F.lit(4), F.size("f._p")), ", ")).alias("end_date_text"), "f.home_url",
     )
 
 
@@ -212,9 +212,11 @@ def lists_assignments(title: Column, content_type: Column) -> Column:
     return by_type | F.coalesce(title.rlike(LISTING_TOPIC), F.lit(False))
 
 
-def classify_content(topics: DataFrame, modules: DataFrame) -> DataFrame:
+def classify_content(topics: DataFrame, modules: DataFrame, *, max_extracts: int | None = None, max_chars: int | None = None) -> DataFrame:
     """Content topics as syllabus, external tool or outline; outline also has one view per schedule module.
 
+    Outline texts come whole and from all topics, unless `max_chars` or `max_extracts` (topics tried per course) is given.
+
     topics: course keys, module_title, module_position, position, title, url, content_type, launch_url, extracted_text;
     modules: course keys, module_title, module_position, content_url, main_text.
     """
@@ -232,9 +234,12 @@ def classify_content(topics: DataFrame, modules: DataFrame) -> DataFrame:
     # a topic that yields text is read once; one without text is tried again wherever it appears
     try_key = F.when(X.truthy(F.col("extracted_text")), F.lit("")).otherwise(F.to_json("at"))
     tries = wanted.groupBy(*COURSE, "url", try_key.alias("_try")).agg(F.min(F.struct("at", *fields)).alias("f")).select(*COURSE, "url", "f.*")
-    order = Window.partitionBy(*COURSE).orderBy("at")
-    read = tries.withColumn("_n", F.row_number().over(order)).where((F.col("_n") <= MAX_EXTRACTS) & X.truthy(F.col("extracted_text")))
-    outline = read.withColumns({"kind": F.lit("outline"), "extracted_text": F.substring("extracted_text", 1, MAX_OUTLINE)}).drop("_n")
+    if max_extracts is not None:
+        order = Window.partitionBy(*COURSE).orderBy("at")
+        tries = tries.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= max_extracts).drop("_n")
+    shown = lambda name: F.col(name) if max_chars is None else F.substring(name, 1, max_chars)
+    read = tries.where(X.truthy(F.col("extracted_text")))
+    outline = read.withColumns({"kind": F.lit("outline"), "extracted_text": shown("extracted_text")})
 
     quoted = F.replace(F.replace(F.replace(F.url_encode("module_title"), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
     main = X.squash(F.col("main_text"))
@@ -242,13 +247,13 @@ def classify_content(topics: DataFrame, modules: DataFrame) -> DataFrame:
         *COURSE, F.lit("outline").alias("kind"), F.concat("content_url", F.lit("#outline-module="), quoted).alias("url"),
         F.struct(F.col("module_position").cast("long").alias("m"), F.lit(-1).cast("long").alias("p")).alias("at"),
         F.concat("module_title", F.lit(" (module view)")).alias("title"), "module_title", F.lit("ModuleOverview").alias("content_type"),
-        F.lit(None).cast("string").alias("launch_url"), F.substring("_main", 1, MAX_OUTLINE).alias("extracted_text"),
+        F.lit(None).cast("string").alias("launch_url"), shown("_main").alias("extracted_text"),
     )
     return listed.unionByName(outline).unionByName(views)
 
 
-def best_document_text(frames: DataFrame) -> DataFrame:
-    """Longest text of the frames of one topic, without generic prefix and preamble.
+def best_document_text(frames: DataFrame, *, max_chars: int | None = None) -> DataFrame:
+    """Longest text of the frames of one topic, without generic prefix and preamble; its first `max_chars` if that is given.
 
     frames: course keys, topic_url, position, frame_url, text.
     """
@@ -260,7 +265,7 @@ def best_document_text(frames: DataFrame) -> DataFrame:
     cut = bare.withColumn("_from", starts).withColumn(
         "_t", F.when(F.col("_from") <= 501, F.trim(F.expr("substring(_t, _from)"))).otherwise(F.col("_t"))
     )
-    best = cut.groupBy(*COURSE, "topic_url").agg(F.min(F.struct((-F.length("_t")).alias("n"), "position", F.substring("_t", 1, MAX_TEXT).alias("t")))["t"].alias("extracted_text"))
+    best = cut.groupBy(*COURSE, "topic_url").agg(F.min(F.struct((-F.length("_t")).alias("n"), "position", (F.col("_t") if max_chars is None else F.substring("_t", 1, max_chars)).alias("t")))["t"].alias("extracted_text"))
     return best
 
 

@@ -242,7 +242,7 @@ def test_log_wraps_details_and_lists_newest_first(spark):
         "position long, student_id bigint, course_id string, stage string, text_preview string, detail string",
     )
     log = sync.append_log(events, batch=2)
-    rows = sync.query_log(log, course_id="c", limit=0).collect()
+    rows = sync.query_log(log, course_id="c", limit=1).collect()
     assert [r["detail"] for r in rows] == ['{"payload":{"d":"plain"}}']
     assert sorted(len(r["text_preview"] or "") for r in log.collect()) == [0, 9000]
     assert sorted(len(r["text_preview"] or "") for r in sync.append_log(events, batch=2, preview=8000).collect()) == [0, 8000]

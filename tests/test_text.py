@@ -176,7 +176,8 @@ def test_classify_content_limits_and_kinds(spark):
     topics += [(1, "c", "Week 1", 2, 90, "Quiz again", "u0", "HTML", None, "body")]
     t = spark.createDataFrame(topics, "student_id bigint, course_id string, module_title string, module_position int, position int, title string, url string, content_type string, launch_url string, extracted_text string")
     m = spark.createDataFrame([(1, "c", "Week 1", 2, "https://l/content", "m" * 130)], "student_id bigint, course_id string, module_title string, module_position int, content_url string, main_text string")
-    rows = P.classify_content(t, m).collect()
+    assert P.classify_content(t, m).where("kind = 'outline'").count() == 1 + 30  # the module view, and every topic with text
+    rows = P.classify_content(t, m, max_extracts=40).collect()
     kinds = [r["kind"] for r in rows]
     assert kinds.count("syllabus") == 1 and kinds.count("external") == 1
     assert kinds.count("outline") == 1 + 20  # the module view, and the ones with text among the first 40 tries
