@@ -3,7 +3,7 @@
 Documents are counted by (source, size). A source takes every document `copies` = floor(target / size of source) times. The rest
 of its budget is fitted from the counts: an equal share of each size first, then a bounded knapsack (subset-sum bits, counts
 split into powers of two) over one spare document or more of each size, so the words taken meet the target as nearly as sizes
-allow. Which documents of a size are taken is decided by seeded hash order: hash buckets are taken whole, and only the
+allow. Where single documents leave a gap, the knapsack is solved again with repeats up to CAP. Which documents of a size are taken is decided by seeded hash order: hash buckets are taken whole, and only the
 bucket at the border is ranked, so no group of equal sizes meets in one task.
 """
 
@@ -56,8 +56,11 @@ def targets(sized: DataFrame) -> DataFrame:
     return filled.select("source", "source_size", target.alias("target"))
 
 
-def fit(size: np.ndarray, count: np.ndarray, budget: int, knapsack: int = KNAPSACK) -> np.ndarray:
-    """How many documents of each size to take so that the words come nearest below or at `budget`. Sizes are distinct and positive."""
+def fit(size: np.ndarray, count: np.ndarray, budget: int, most: int = 1, knapsack: int = KNAPSACK) -> np.ndarray:
+    """How many documents of each size to take so that the words come nearest below or at `budget`. Sizes are distinct and positive.
+
+    A document is taken once; up to `most` times where that comes nearer.
+    """
     order = np.argsort(-size, kind="stable")
     size, count = size[order].astype(np.int64), count[order].astype(np.int64)
     total = int((size * count).sum())
@@ -72,7 +75,10 @@ def fit(size: np.ndarray, count: np.ndarray, budget: int, knapsack: int = KNAPSA
             more = min(int(count[i] - take[i]), (left - knapsack) // int(size[i]))
             take[i] += more
             left -= more * int(size[i])
-        take += _knapsack(size, count - take, left)
+        more = _knapsack(size, count - take, left)
+        if most > 1 and int((more * size).sum()) < left:
+            more = _knapsack(size, most * count - take, left)
+        take += more
     back = np.empty_like(take)
     back[order] = take
     return back
@@ -123,22 +129,25 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
         whole, target = int(pdf["source_size"].iloc[0]), float(pdf["target"].iloc[0])
         copies = min(CAP, int(target // whole))
         left = 0 if copies == CAP else int(target - copies * whole)
-        take = fit(pdf["size"].to_numpy(), pdf["n"].to_numpy(), left)
-        return pd.DataFrame({"source": pdf["source"], "size": pdf["size"], "copies": copies, "take": take})
+        n = pdf["n"].to_numpy()
+        take = fit(pdf["size"].to_numpy(), n, left, CAP - copies)
+        # `every`: extra copies of all documents of a size; `take`: how many of them are taken once more
+        return pd.DataFrame({"source": pdf["source"], "size": pdf["size"], "copies": copies, "every": take // n, "take": take % n})
 
-    chosen = stage(budgets.groupBy("source").applyInPandas(plan, "source string, size long, copies long, take long"))
+    chosen = stage(budgets.groupBy("source").applyInPandas(plan, "source string, size long, copies long, every long, take long"))
     sliced = sized.withColumn("slice", F.pmod("at", F.lit(SLICES)))
     per_slice = sliced.where("size > 0").groupBy("source", "size", "slice").agg(F.count("*").alias("n"))
-    some = chosen.where("take > 0").withColumnRenamed("source", "aim_source").withColumnRenamed("size", "aim_size").select("aim_source", "aim_size", "take")
+    some = chosen.where("every > 0 or take > 0").withColumnRenamed("source", "aim_source").withColumnRenamed("size", "aim_size").select("aim_source", "aim_size", "every", "take")
     running = Window.partitionBy("source", "size").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     slices = per_slice.withColumn("before", F.coalesce(F.sum("n").over(running), F.lit(0)))
-    border = slices.join(some, F.expr("source <=> aim_source and size = aim_size")).where("before < take").select(
-        F.col("source").alias("s_source"), F.col("size").alias("s_size"), F.col("slice").alias("s_slice"), F.least("n", F.col("take") - F.col("before")).alias("room"), "n"
+    border = slices.join(some, F.expr("source <=> aim_source and size = aim_size")).where("every > 0 or before < take").select(
+        F.col("source").alias("s_source"), F.col("size").alias("s_size"), F.col("slice").alias("s_slice"), "every",
+        F.greatest(F.lit(0), F.least("n", F.col("take") - F.col("before"))).alias("room"), "n",
     )
     joined = sliced.join(border, F.expr("source <=> s_source and size = s_size and slice = s_slice"), "left")
-    whole = joined.where("room is null or room = n").withColumn("extra", F.when(F.col("room").isNull(), 0).otherwise(1))
+    whole = joined.where("room is null or room = n or room = 0").withColumn("extra", F.expr("coalesce(every + if(room = n, 1, 0), 0)"))
     rank = F.row_number().over(Window.partitionBy("source", "size", "slice").orderBy("at", "doc_id"))
-    part = joined.where("room < n").withColumn("extra", (rank <= F.col("room")).cast("int"))
+    part = joined.where("room > 0 and room < n").withColumn("extra", F.col("every") + (rank <= F.col("room")).cast("int"))
     taken = whole.unionByName(part).select("doc_id", "source", "size", "extra")
     base = chosen.groupBy("source").agg(F.max("copies").alias("copies")).withColumnRenamed("source", "base_source")
     facts = aim.join(base, F.expr("aim_source <=> base_source"), "left").select("aim_source", "source_size", "target", F.coalesce("copies", F.lit(0)).alias("whole_copies"))
