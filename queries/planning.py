@@ -215,7 +215,7 @@ REASONS = [
 ]
 
 # the greedy pass, one (candidate, day) pair per step, all students side by side
-PLANNED = C.sql(*FULL, CAND, body=f"""select * from (with recursive picked as (select student_id, course_id, match_key, id, title, due_at, due_day, priority_score, minutes, cast(first_day as int) as first_day,
+PLANNED_ROWS = f"""(with recursive picked as (select student_id, course_id, match_key, id, title, due_at, due_day, priority_score, minutes, cast(first_day as int) as first_day,
       cast(greatest(off, first_day) as int) as last_day from wcand where {RELEVANT}),
     steps as (select *, row_number() over (partition by student_id order by priority_score desc, due_at nulls last, lower(title), course_id, match_key, day) as n
       from (select *, unnest(range(first_day, last_day + 1)) as day from picked)),
@@ -228,7 +228,8 @@ PLANNED = C.sql(*FULL, CAND, body=f"""select * from (with recursive picked as (s
       priority_score + case when e.overflow then 0.5 else 0.0 end as priority_score, 'Auto-planned for due ' || cast(due_day as varchar) || case when not e.overflow then ''
         when due_day < {V.TODAY_SQL} then '; overflow scheduled today (overdue)' else '; overflow on due date' end as notes, e.overflow
     from picked p join (select student_id, id, day, share as minutes, false as overflow from walk where share > 0 union all select student_id, id, day, rest, true from walk where done and rest > 0) e
-      on e.student_id = p.student_id and e.id = p.id)""")
+      on e.student_id = p.student_id and e.id = p.id)"""
+PLANNED = C.sql(*FULL, CAND, body="select * from " + PLANNED_ROWS)
 
 QUERIES = {
     "priority_scores": (
@@ -268,7 +269,17 @@ QUERIES = {
           cast(greatest(due_day, {V.TODAY_SQL} + cast(first_day as int)) as varchar) as window_end from wcand"""),
     ),
     "plan_agenda": (plan_agenda, PLANNED),
-    "agenda_with_reasons": (agenda_full, None),
+    "agenda_with_reasons": (
+        agenda_full,
+        C.sql(*FULL, CAND, REASONS, body=f"""select e.student_id, e.agenda_date, e.assignment_id, e.planned_minutes, e.priority_score, e.notes, p.title as assignment_title,
+          p.code as course_code, p.external_url, p.status, strftime(p.due_at, '%Y-%m-%d %H:%M:%S') as due_at, cast(p.due_day as varchar) as due_day,
+          coalesce(array_to_string(o.labels[1:3], ' | '), '') as priority_reasons, strftime(coalesce(try_cast(substr(p.raw_due_at, 1, 19) as timestamp),
+          timezone('America/Chicago', timezone('UTC', p.due_date))), '%m/%d/%y %-I:%M %p') as due_label
+          from (select student_id, agenda_date, assignment_id, cast(sum(planned_minutes) as bigint) as planned_minutes, max(priority_score) as priority_score,
+            arg_min(notes, overflow) as notes from {PLANNED_ROWS} group by all) e
+          join prio p on p.student_id = e.student_id and p.id = e.assignment_id join ordered o on o.student_id = e.student_id and o.id = e.assignment_id
+          where not contains(lower(p.title), 'practice test')"""),
+    ),
     "agenda_items": (agenda_items, C.sql(*FULL, CAND, body="select * from items")),
     "agenda_days": (
         agenda_days,

@@ -28,7 +28,7 @@ def html_text(spark, sf):
 
 
 def html_text_decoded(spark, sf):
-    return P.html_to_text(V.table(spark, sf, "pages")).select("page_id", F.length("text").alias("n_chars"))
+    return P.html_to_text(V.table(spark, sf, "pages")).select("page_id", F.md5(F.encode("text", "UTF-8")).alias("text_md5"), F.length("text").alias("n_chars"))
 
 
 def page_links(spark, sf):
@@ -158,7 +158,13 @@ QUERIES = {
           '(?is)<script\b[^>]*>.*?</script>', ' ', 'g'), '(?is)<style\b[^>]*>.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) as text
           from pages)""",
     ),
-    "html_to_text_decoded": (html_text_decoded, None),
+    # the character references that occur in the given pages; the ampersand comes last
+    "html_to_text_decoded": (
+        html_text_decoded,
+        r"""select page_id, md5(text) as text_md5, length(text) as n_chars from (select page_id, trim(regexp_replace(regexp_replace(
+          replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script>', ' ', 'g'), '(?is)<style\b[^>]*>.*?</style>', ' ', 'g'),
+          '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) as text from pages)""",
+    ),
     "page_links": (page_links, f"select page_id, position, url, text from ({LINKS_SQL})"),
     "links_in_course_scope": (
         links_in_scope,

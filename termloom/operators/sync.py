@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termloom.functions import text as X
@@ -21,7 +21,11 @@ COURSE = ["student_id", "course_id"]
 PUBLISHERS = ("pearson_mylab", "cengage_mindtap")
 STATUSES = ("graded", "completed", "submitted", "in_progress", "overdue", "upcoming", "available")
 TYPES = ("homework", "exam", "lab", "discussion", "project", "reading")
-LOG_SHIFT = 1 << 40
+LOG_BITS = 40
+LOG_SHIFT = 1 << LOG_BITS
+# groups that number the events of a batch: so many positions, so many slots of courses
+LOG_BLOCK = 1024
+LOG_SLOTS = 4096
 
 
 def last_write(batch: DataFrame, keys: Sequence[str], sequence: Sequence[str]) -> DataFrame:
@@ -354,6 +358,20 @@ def sync_extraction(
 # ---------------------------------------------------------------- audit log
 
 
+def numbered(events: DataFrame, *, sequence: str = "position", out: str = "sequence") -> DataFrame:
+    """Events with a number that no other event of the batch has; within a course it grows with `sequence`.
+
+    Events are counted per block of positions and slot of courses, the counts are chained, and each group numbers its own rows. The
+    chain has one row per group: at most LOG_SLOTS for each LOG_BLOCK positions of the longest course.
+    """
+    at = F.coalesce(F.col(sequence), F.lit(0))
+    marked = events.withColumns({"_block": F.floor(at / LOG_BLOCK), "_slot": F.pmod(F.xxhash64(*COURSE), F.lit(LOG_SLOTS)), "_text": F.to_json(F.struct(*events.columns))})
+    before = Window.orderBy("_block", "_slot").rowsBetween(Window.unboundedPreceding, -1)
+    bases = marked.groupBy("_block", "_slot").agg(F.count(F.lit(1)).alias("_n")).select("_block", "_slot", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy("_block", "_slot").orderBy(at, *COURSE, "_text")
+    return marked.join(bases, ["_block", "_slot"]).withColumn(out, F.col("_base") + F.row_number().over(inside) - 1).drop("_block", "_slot", "_text", "_base")
+
+
 def append_log(events: DataFrame, *, batch: int, sequence: str = "position", preview: int | None = None) -> DataFrame:
     """Events as log rows: known stage, detail an object, preview cut if asked for. Ids grow with the batch and the sequence."""
     detail = F.trim("detail")

@@ -6,18 +6,46 @@ keeps plans small, and means a lost executor repeats one stage instead of the jo
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from termloom import schemas
 from termloom.operators import agenda, grades, overview, priority, reconcile, sync
+from termloom.operators import extraction as E
 from termloom.operators import normalize as N
+from termloom.operators import pages as P
 from termloom.session import configure
 from termloom.sources import snapshots
 from termloom.sources.tables import TableStore
 
 COURSE = ["student_id", "course_id"]
+SCOPE = [*COURSE, "source_platform"]
+SYLLABUS_STAGE = "syllabus_parse"
+
+
+def next_version(store: TableStore) -> int:
+    return max(store.version("courses") or 0, store.version("assignments") or 0) + 1
+
+
+def skipped(courses: DataFrame, reason: str) -> DataFrame:
+    """Courses of the input that a synchronisation leaves out, with the reason."""
+    return courses.select(*COURSE, "fetched_at", F.lit(reason).alias("reason")).distinct()
+
+
+def older_courses(courses: DataFrame, known: DataFrame) -> DataFrame:
+    """Captured courses of which the tables hold a newer state."""
+    seen = known.select(*COURSE, F.col("last_scraped_d2l").alias("_seen"))
+    return skipped(courses.join(seen, COURSE).where("fetched_at < _seen"), "older than the stored course")
+
+
+def write_log(store: TableStore, events: DataFrame, number: int) -> None:
+    """The log with the events of batch `number` behind it; a repeat after a failure replaces the rows of the batch."""
+    log = store.read("log").where(F.shiftright("log_id", sync.LOG_BITS) != number)
+    appended = sync.append_log(sync.numbered(events), batch=number, sequence="sequence")
+    store.write("log", log.unionByName(appended, allowMissingColumns=True))
 
 
 def newest_courses(frames: dict[str, DataFrame], known: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -38,7 +66,8 @@ def sync_lms_frames(store: TableStore, frames: dict[str, DataFrame], *, tz: str,
     """
     courses, assignments = store.read("courses"), store.read("assignments")
     fresh = newest_courses(frames, courses)
-    number = version if version is not None else max(store.version("courses") or 0, store.version("assignments") or 0) + 1
+    number = version if version is not None else next_version(store)
+    store.write("skipped_input", older_courses(frames["courses"], courses), number)
     store.write("normalized_courses", N.normalize_courses(fresh), number)
     store.write("normalized_assignments", N.normalize_assignments(fresh, tz=tz).drop("first_seen"), number)
     new_courses, new_assignments = store.read("normalized_courses", number), store.read("normalized_assignments", number)
@@ -57,18 +86,63 @@ def sync_extraction_frames(
     new_courses, new_assignments, kept, summary = sync.sync_extraction(
         courses, assignments, entries, extraction["courses"], extraction["facts"], artifacts, now=now, mode=mode
     )
-    number = max(store.version("courses") or 0, store.version("assignments") or 0) + 1
+    number = next_version(store)
     store.write("sync_summary", summary, number)
-    events = extraction["provenance"].withColumn("created_at", F.col("extracted_at"))
-    appended = sync.append_log(events, batch=number)
-    log = store.read("log")
-    store.write("log", log.unionByName(appended.select(*[c for c in log.columns if c in appended.columns]), allowMissingColumns=True), number)
     store.write("agenda_entries", kept, number)
     store.write("assignments", new_assignments, number)
     store.write("courses", new_courses, number)
+    # last: a run that failed before is repeated as a whole, and logs once
+    write_log(store, extraction["provenance"].withColumn("created_at", F.col("extracted_at")), number)
     return store.read("sync_summary", number)
 
 
+def newest_scopes(seen: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Courses and assignments of the newest document of each course and platform."""
+    captured = seen.select(*SCOPE, "fetched_at").unionByName(rows.select(*SCOPE, "fetched_at"))
+    newest = captured.groupBy(*SCOPE).agg(F.max("fetched_at").alias("fetched_at"))
+    pick = lambda df: df.join(newest, [*SCOPE, "fetched_at"], "left_semi")
+    return pick(seen), pick(rows)
+
+
+def sync_publisher_frames(store: TableStore, seen: DataFrame, rows: DataFrame, *, now: datetime) -> DataFrame:
+    """One synchronisation of publisher snapshots; courses the tables do not know are reported, their rows left out."""
+    courses, assignments = store.read("courses"), store.read("assignments")
+    number = next_version(store)
+    store.write("skipped_input", skipped(seen.join(courses.select(*COURSE), COURSE, "left_anti"), "course is not known"), number)
+    known = lambda df: df.join(courses.select(*COURSE), COURSE, "left_semi")
+    seen, rows = newest_scopes(known(seen), known(rows))
+    touched, merged, summary = sync.sync_publisher(courses, assignments, seen, rows, now=now)
+    store.write("sync_summary", summary, number)
+    store.write("assignments", merged, number)
+    store.write("courses", touched, number)
+    return store.read("sync_summary", number)
+
+
+def parse_syllabi(store: TableStore, answer: Callable[[str], str], template: str, *, now: datetime, force: bool = False) -> DataFrame:
+    """Ask `answer` about each syllabus that waits, apply what parses, and log every attempt; failures stay pending.
+
+    Returns one row per attempt: course keys, response, error. Responses are written before they are used, so none is asked for twice.
+    """
+    courses = store.read("courses")
+    number = next_version(store)
+    prompts = P.pending_syllabi(courses, force=force).select(
+        *COURSE, F.lit(0).cast("long").alias("chunk"), F.col("code").alias("course_code"), F.col("name").alias("course_name"),
+        F.array(F.lit("syllabus")).alias("artifact_ids"), F.array("syllabus_raw_text").alias("bodies"), F.lit(None).cast("string").alias("prompt"),
+    )
+    store.write("syllabus_responses", E.batch_extract(prompts, answer, template).withColumnRenamed("error", "call_error"), number)
+    parsed = P.parse_model_json(store.read("syllabus_responses", number), schemas.PARSED_SYLLABUS).withColumns(
+        {"error": F.coalesce("call_error", "error"), "parsed_at": reconcile.instant(now)}
+    )
+    events = parsed.select(
+        *COURSE, F.col("parsed_at").alias("created_at"), F.lit(SYLLABUS_STAGE).alias("stage"), F.lit(0).cast("long").alias("position"),
+        F.col("response").alias("text_preview"), F.to_json(F.struct(F.when(F.col("error").isNull(), "parsed").otherwise("failed").alias("result"), "error")).alias("detail"),
+    )
+    write_log(store, events, number)
+    applied = P.apply_syllabus_parse(courses, parsed.where("error is null").select(*COURSE, "parsed", "parsed_at"))
+    store.write("courses", applied.select(*courses.columns), number)
+    return parsed.select(*COURSE, "response", "error")
+
+
 def build_overview(
     store: TableStore, *, tz: str, now: datetime, horizon_days: int = 7, daily_minutes: int = 120
 ) -> dict[str, DataFrame]:
@@ -102,17 +176,23 @@ def build_overview(
 
 
 def refresh(
-    spark: SparkSession, root: str, *, lms_path: str | None = None, extraction_path: str | None = None, manifest_path: str | None = None,
-    tz: str, now: datetime, mode: str = "full", horizon_days: int = 7, daily_minutes: int = 120,
+    spark: SparkSession, root: str, *, lms_path: str | None = None, publisher_path: str | None = None, extraction_path: str | None = None,
+    manifest_path: str | None = None, answer: Callable[[str], str] | None = None, syllabus_template: str = "", tz: str, now: datetime, mode: str = "full", horizon_days: int = 7, daily_minutes: int = 120,
 ) -> dict[str, DataFrame]:
-    """Synchronise whatever was captured, then rebuild the overview."""
+    """Synchronise whatever was captured, let `answer` (if given) read the syllabi that wait, then rebuild the overview."""
+    if extraction_path is not None and manifest_path is None:
+        raise ValueError("an extraction needs the manifest of its artifacts: manifest_path")
     configure(spark)
     store = TableStore(spark, root)
     if lms_path is not None:
         frames = snapshots.explode_lms_snapshot(snapshots.read_lms_snapshot(spark, lms_path))
         sync_lms_frames(store, frames, tz=tz, now=now)
+    if publisher_path is not None:
+        sync_publisher_frames(store, *snapshots.read_publisher_snapshot(spark, publisher_path), now=now)
     if extraction_path is not None:
         extraction = snapshots.read_extraction(spark, extraction_path)
         artifacts = snapshots.read_crawl_manifest(spark, manifest_path)[1]
         sync_extraction_frames(store, extraction, artifacts, now=now, mode=mode)
+    if answer is not None:
+        parse_syllabi(store, answer, syllabus_template, now=now)
     return build_overview(store, tz=tz, now=now, horizon_days=horizon_days, daily_minutes=daily_minutes)

@@ -109,6 +109,82 @@ def test_extraction_documents_refresh(spark, tmp_path):
     assert TableStore(spark, root).read("log").count() == 1
 
 
+def test_log_ids_never_repeat(spark, tmp_path):
+    event = {"stage": "extract", "detail": "{}"}
+    course = lambda c: {"course_id": c, "course_code": c, "course_name": c, "assignments": [{"title": "Essay", "evidence_artifact_ids": ["a1"], "evidence_spans": []}], "provenance_events": [event, event]}
+    document = {"student_id": 1, "extracted_at": "2026-03-20T00:00:00Z", "courses": [course("c1"), course("c2"), course("c3")]}
+    manifest = {"student_id": 1, "courses": [{"course_id": "c1", "code": "C1", "name": "Course"}], "artifacts": []}
+    x, m, store = write(tmp_path / "x", "e.json", document), write(tmp_path / "m", "m.json", manifest), TableStore(spark, str(tmp_path / "tables"))
+    for _ in range(2):
+        refresh.sync_extraction_frames(store, snapshots.read_extraction(spark, x), snapshots.read_crawl_manifest(spark, m)[1], now=NOW)
+    log = store.read("log")
+    assert log.count() == 12 and log.select("log_id").distinct().count() == 12
+    again = snapshots.read_extraction(spark, x)["provenance"].withColumn("created_at", F.col("extracted_at"))
+    refresh.write_log(store, again, store.version("courses"))
+    assert store.read("log").count() == 12
+    with pytest.raises(ValueError):
+        refresh.refresh(spark, str(tmp_path / "tables"), extraction_path=x, tz=TZ, now=NOW)
+
+
+def test_numbers_grow_with_the_position(spark):
+    from termloom.operators import sync
+
+    events = spark.range(5000).selectExpr("1L as student_id", "if(id % 3 = 0, 'a', 'b') as course_id", "id as position").unionByName(
+        spark.sql("select cast(null as bigint) as student_id, cast(null as string) as course_id, cast(null as bigint) as position from range(3)"))
+    rows = sync.numbered(events).collect()
+    assert sorted(r["sequence"] for r in rows) == list(range(5003))
+    for name in ("a", "b"):
+        mine = sorted((r["position"], r["sequence"]) for r in rows if r["course_id"] == name)
+        assert [n for _, n in mine] == sorted(n for _, n in mine)
+    assert sync.numbered(events.limit(0)).count() == 0
+
+
+def test_publisher_step_keeps_the_newest_and_reports_the_unknown(spark, tmp_path):
+    root, store = str(tmp_path / "tables"), TableStore(spark, str(tmp_path / "tables"))
+    refresh.refresh(spark, root, lms_path=write(tmp_path / "in", "a.json", lms_document()), tz=TZ, now=NOW)
+    known = store.read("courses").first()["course_id"]
+    row = lambda c, i, pct: {"id": i, "course_id": c, "source_platform": "cengage_mindtap", "title": f"Lab {i}", "type": "lab", "status": "upcoming", "grade_pct": pct}
+    seen = lambda c: {"course_id": c, "source_platform": "cengage_mindtap", "launch_url": "u"}
+    folder = tmp_path / "pub"
+    write(folder, "old.json", {"student_id": 1, "fetched_at": "2026-03-19T00:00:00Z", "courses": [seen(known)], "assignments": [row(known, "l1", 10.0), row(known, "gone", 50.0)]})
+    new = {"student_id": 1, "fetched_at": "2026-03-20T00:00:00Z", "courses": [seen(known), seen("other")], "assignments": [row(known, "l1", 80.0), row("other", "l9", 70.0)]}
+    write(folder, "new.json", new)
+    path = write(folder, "copy.json", new)
+    for _ in range(2):
+        refresh.sync_publisher_frames(store, *snapshots.read_publisher_snapshot(spark, path), now=NOW)
+        got = store.read("assignments").where("source_platform = 'cengage_mindtap'").collect()
+        assert [(r["id"], r["title"]) for r in got] == [("l1", "Lab l1")]
+        assert [(r["course_id"], r["reason"]) for r in store.read("skipped_input").collect()] == [("other", "course is not known")]
+    assert str(store.read("courses").first()["last_scraped_external"]) == "2026-03-20 00:00:00"
+
+
+def test_older_snapshot_is_reported(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path / "tables"))
+    for name, fetched in (("new", "2026-03-21T12:00:00Z"), ("old", "2026-03-19T12:00:00Z")):
+        frames = snapshots.explode_lms_snapshot(snapshots.read_lms_snapshot(spark, write(tmp_path / name, "a.json", lms_document(fetched=fetched))))
+        refresh.sync_lms_frames(store, frames, tz=TZ, now=NOW)
+    assert [r["reason"] for r in store.read("skipped_input").collect()] == ["older than the stored course"]
+
+
+def test_syllabus_step_applies_answers_and_keeps_failures_pending(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path / "tables"))
+    for student in (1, 2):
+        frames = snapshots.explode_lms_snapshot(snapshots.read_lms_snapshot(spark, write(tmp_path / f"in{student}", "a.json", lms_document(student=student))))
+        refresh.sync_lms_frames(store, frames, tz=TZ, now=NOW)
+    attempts = refresh.parse_syllabi(store, lambda prompt: 'Here: {"instructor": "Dr. A", "grade_categories": [{"name": "HW", "weight": 1.0}]}' if "Policy text" in prompt else "", "Read", now=NOW)
+    assert [(r["student_id"], r["error"]) for r in attempts.orderBy("student_id").collect()] == [(1, None), (2, None)]
+    assert [(r["instructor"], str(r["last_syllabus_parse"])) for r in store.read("courses").collect()] == [("Dr. A", "2026-03-24 12:00:00")] * 2
+    assert refresh.parse_syllabi(store, lambda _: "{}", "Read", now=NOW).count() == 0
+
+    def broken(_: str) -> str:
+        raise ValueError("no model")
+
+    failed = refresh.parse_syllabi(store, broken, "Read", now=NOW, force=True)
+    assert {r["error"] for r in failed.collect()} == {"ValueError: no model"}
+    assert {r["instructor"] for r in store.read("courses").collect()} == {"Dr. A"}
+    assert store.read("log").where("stage = 'syllabus_parse'").count() == 4
+
+
 def test_artifact_bodies_and_publisher_documents(spark, tmp_path):
     (tmp_path / "b").mkdir()
     (tmp_path / "b" / "t.txt").write_text("plain")
