@@ -1,8 +1,8 @@
 """Licence scans: TF-IDF cosine of each line of a file to licence templates, then inheritance from the nearest ancestor directory.
 
 Document frequencies of the templates' terms are counted over all files; a word outside the templates counts as found in one file.
-A line is compared if it holds a distinctive term (of the templates, in at most DISTINCTIVE of all files). A file's own licence is its best
-line. A licence file (named like one, or holding a notice as a line of its own, which is a score of WHOLE or more) speaks for its
+A line is compared with each template it can reach SIMILAR with: the cosine is at most the length of the template's vector over the terms the
+line shares with it, however often these terms occur. A file's own licence is its best line; its score is 0 if no line reaches SIMILAR. A licence file (named like one, or holding a notice as a line of its own, which is a score of WHOLE or more) speaks for its
 directory; files without an own licence inherit from the nearest ancestor directory for which a licence file speaks.
 """
 
@@ -18,7 +18,6 @@ from termloom.llm.common import arrow_map, stage, utf8
 
 SIMILAR = 0.6
 WHOLE = 0.9
-DISTINCTIVE = 0.05
 # fixed values: short notices by licence identifier
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -59,29 +58,32 @@ class Matcher:
         self.rare = idf(1)
         self.weight = {w: idf(df) for w, df in frequency.items()}
         self.templates = [(name, vector(terms(text.encode()), self.weight, self.rare)) for name, text in templates]
-        self.key_terms = {w for w, df in frequency.items() if df <= max(1, DISTINCTIVE * files) and len(w) > 1}
+        self.shares = [{w: x * x for w, x in t.items()} for _, t in self.templates]
+        self.vocabulary = frozenset(w for t in self.shares for w in t)
 
-    def line(self, line: bytes) -> tuple[float, str | None]:
-        v = vector(terms(line), self.weight, self.rare)
+    def within_reach(self, words: set[bytes], among) -> list[int]:
+        """The templates of which `words` hold enough for a cosine of SIMILAR: no cosine is above the length of the shared terms' vector."""
+        held = self.vocabulary & words
+        return [k for k in among if sum([x for w, x in self.shares[k].items() if w in held]) >= SIMILAR**2 - 1e-9] if held else []
+
+    def line(self, words: list[bytes], among: list[int]) -> tuple[float, str]:
+        v = vector(words, self.weight, self.rare)
+        scores = ((sum(x * self.templates[k][1].get(w, 0.0) for w, x in v.items()), self.templates[k][0]) for k in among)
         # equal scores go to the identifier that is first in order
-        best = max(((sum(x * t.get(w, 0.0) for w, x in v.items()), name) for name, t in self.templates), key=lambda s: (round(s[0], 12), [-c for c in s[1].encode()]))
-        return best
+        return max(scores, key=lambda s: (round(s[0], 12), [-c for c in s[1].encode()]))
 
     def file(self, text: bytes) -> tuple[str | None, float, int]:
-        """(licence, score, line number); no licence: None, best score, -1."""
-        low = text.translate(TERMS)
-        present = set(low.split())
-        if self.key_terms.isdisjoint(present) and self.key_terms.isdisjoint({w.strip(b".-") for w in present}):
-            return None, 0.0, -1
+        """(licence, score, line number); no licence: None, 0.0, -1."""
+        among = self.within_reach(set(terms(text)), range(len(self.templates)))
         best = (0.0, None, -1)
-        for i, line in enumerate(text.split(b"\n")):
-            if not self.key_terms.isdisjoint(terms(line)):
-                score, name = self.line(line)
+        for i, line in enumerate(text.split(b"\n") if among else ()):
+            words = terms(line)
+            near = self.within_reach(set(words), among)
+            if near:
+                score, name = self.line(words, near)
                 if score > best[0]:
                     best = (score, name, i)
-        if best[0] < SIMILAR:
-            return None, best[0], -1
-        return best[1], best[0], best[2]
+        return (best[1], best[0], best[2]) if best[0] >= SIMILAR else (None, 0.0, -1)
 
 
 def frequencies(files: DataFrame) -> tuple[dict[bytes, int], int]:

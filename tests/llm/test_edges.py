@@ -158,3 +158,14 @@ def test_licences_come_from_the_nearest_directory(spark):
     rows = [(1, "a/LICENSE", "Released under the MIT License."), (2, "a/b/c/x.py", "code"), (3, "a/b/NOTICE", "Licensed under the Apache License, Version 2.0."), (4, "z/y.py", None), (5, None, "x")] + [(k, f"q/{k}.txt", prose(k, 5)) for k in range(10, 60)]
     got = {r["id"]: (r["license"], r["origin"]) for r in license_scan.licences(spark.createDataFrame(rows, "id long, path string, text string")).collect()}
     assert got[2] == ("Apache-2.0", "inherited") and got[1] == ("MIT", "own") and got[4] == (None, "none") and got[5] == (None, "none")
+
+
+def test_licences_found_in_many_files_are_licences(spark):
+    ready(spark)
+    notices = {"Apache-2.0": "Licensed under the Apache License, Version 2.0.", "Proprietary": "All rights reserved."}
+    rows = [(k, f"{name}/{k}.txt", text if k % 3 == 0 else prose(k, 5)) for name, text in notices.items() for k in range(60)]
+    for files in (rows, [(0, "a/x", notices["Apache-2.0"]), (1, "a/y", notices["Apache-2.0"]), (2, "b/z", "code")]):
+        for r in license_scan.licences(spark.createDataFrame(files, "id long, path string, text string")).collect():
+            text = next(t for _, p, t in files if p == r["path"])
+            want = next(((n, "own") for n, x in notices.items() if x == text), (r["path"].split("/")[0], "inherited") if r["path"] != "b/z" else (None, "none"))
+            assert (r["license"], r["origin"]) == (want if want[0] != "a" else ("Apache-2.0", "inherited"))
