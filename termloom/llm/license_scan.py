@@ -1,14 +1,23 @@
-"""Licence scans: TF-IDF cosine of each line of a file to licence templates, then inheritance from the nearest ancestor directory.
+"""Licence scans: TF-IDF cosine of the lines of a file to licence templates, then inheritance from the nearest ancestor directory.
 
-Document frequencies of the templates' terms are counted over all files; a word outside the templates counts as found in one file.
-A line is compared with each template it can reach SIMILAR with: the cosine is at most the length of the template's vector over the terms the
-line shares with it, however often these terms occur. A file's own licence is its best line; its score is 0 if no line reaches SIMILAR. A licence file (named like one, or holding a notice as a line of its own, which is a score of WHOLE or more) speaks for its
-directory; files without an own licence inherit from the nearest ancestor directory for which a licence file speaks.
+Document frequencies are counted over all files: of the templates' terms first, then of the other words of those texts that a template
+may be near to. A word that a template does not hold weighs no more there than the template's heaviest term, so a name on the line of a
+notice does not weigh more the larger the table is. Compared are: each line; from each line on, as many lines as the template has words
+(and one line less), for notices laid out over lines; a licence file as a whole; each passage of as many words as the template has,
+which must reach WHOLE, for notices within other text. What a template cannot be near to is not compared: the cosine is at most the
+length of the template's vector over the terms it shares.
+
+A file's own licence is the best of these; its score is 0 if nothing reaches SIMILAR. A licence file (named like one, or holding a notice
+as lines of its own, which is a score of WHOLE or more) speaks for its directory; files without an own licence inherit from the nearest
+ancestor directory for which a licence file speaks.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
+from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,46 +53,115 @@ def terms(text: bytes) -> list[bytes]:
     return [w for w in (x.strip(b".-") for x in text.translate(TERMS).split()) if w]
 
 
-def vector(words: list[bytes], weight: dict[bytes, float], rare: float) -> dict[bytes, float]:
+def vector(words: list[bytes], weight: dict[bytes, float]) -> dict[bytes, float]:
     out: dict[bytes, float] = {}
     for w in words:
-        out[w] = out.get(w, 0.0) + weight.get(w, rare)
+        out[w] = out.get(w, 0.0) + weight[w]
     norm = math.sqrt(sum(x * x for x in out.values())) or 1.0
     return {w: x / norm for w, x in out.items()}
 
 
+# kinds of compared texts; of equal scores, lines of their own come before a passage
+PASSAGE, LINES = 0, 1
+NAMES = sorted({name for name, _ in TEMPLATES})
+#: what a file's best text is chosen by, ascending: whether it speaks, score, kind, words of the template of a passage, then the first line and the first identifier
+RANK = {"notice": "int", "score": "double", "kind": "int", "size": "int", "before": "int", "order": "int"}
+NONE = (0, 0.0, 0, 0, 0, 0)
+
+
 class Matcher:
+    """`frequency`: in how many of `files` files a word occurs; a word that is not in it counts as found in one."""
+
     def __init__(self, frequency: dict[bytes, int], files: int, templates=TEMPLATES):
-        idf = lambda df: math.log((1 + files) / (1 + df)) + 1
-        self.rare = idf(1)
-        self.weight = {w: idf(df) for w, df in frequency.items()}
-        self.templates = [(name, vector(terms(text.encode()), self.weight, self.rare)) for name, text in templates]
-        self.shares = [{w: x * x for w, x in t.items()} for _, t in self.templates]
+        self.files = files
+        self.rare = self.idf(1)
+        self.weight = {w: self.idf(df) for w, df in frequency.items()}
+        self.names = [name for name, _ in templates]
+        words = [terms(text.encode()) for _, text in templates]
+        self.sizes = [len(x) for x in words]
+        raw = [{w: self.weight.get(w, self.rare) for w in x} for x in words]
+        self.templates = [vector(x, weight) for x, weight in zip(words, raw)]
+        self.heaviest = [max(weight.values()) for weight in raw]
+        self.shares = [{w: x * x for w, x in t.items()} for t in self.templates]
         self.vocabulary = frozenset(w for t in self.shares for w in t)
 
+    def idf(self, df: int) -> float:
+        return math.log((1 + self.files) / (1 + df)) + 1
+
     def within_reach(self, words: set[bytes], among) -> list[int]:
         """The templates of which `words` hold enough for a cosine of SIMILAR: no cosine is above the length of the shared terms' vector."""
         held = self.vocabulary & words
         return [k for k in among if sum([x for w, x in self.shares[k].items() if w in held]) >= SIMILAR**2 - 1e-9] if held else []
 
-    def line(self, words: list[bytes], among: list[int]) -> tuple[float, str]:
-        v = vector(words, self.weight, self.rare)
-        scores = ((sum(x * self.templates[k][1].get(w, 0.0) for w, x in v.items()), self.templates[k][0]) for k in among)
-        # equal scores go to the identifier that is first in order
-        return max(scores, key=lambda s: (round(s[0], 12), [-c for c in s[1].encode()]))
+    def cosine(self, words: list[bytes], k: int, weight: dict[bytes, float], other: float) -> float:
+        """Cosine to template `k`; `other` is the weight of words not in `weight`."""
+        t, heaviest = self.templates[k], self.heaviest[k]
+        dot = norm = 0.0
+        for w, n in Counter(words).items():
+            x = n * (weight.get(w, other) if w in t else min(weight.get(w, other), heaviest))
+            norm += x * x
+            dot += x * t.get(w, 0.0)
+        return dot / math.sqrt(norm) if norm else 0.0
+
+    def rank(self, score: float, k: int, kind: int, line: int) -> tuple:
+        score = round(score, 12)
+        if score < (SIMILAR if kind == LINES else WHOLE):
+            return NONE
+        return (int(kind == LINES and score >= WHOLE), score, kind, 0 if kind == LINES else self.sizes[k], -line, -NAMES.index(self.names[k]))
 
-    def file(self, text: bytes) -> tuple[str | None, float, int]:
+    def texts(self, text: bytes, named: bool) -> Iterator[tuple[int, int, int, list[bytes]]]:
+        """(template, kind, first line, words) of all texts within reach of a template."""
+        among = self.within_reach(set(terms(text)), range(len(self.names)))
+        if not among:
+            return
+        lines = [x for x in ((i, terms(line)) for i, line in enumerate(text.split(b"\n"))) if x[1]]
+        for i, words in lines:
+            for k in self.within_reach(set(words), among):
+                yield k, LINES, i, words
+        flat = [w for _, words in lines for w in words]
+        if named:
+            for k in among:
+                yield k, LINES, 0, flat
+        for k in among:
+            share, size = self.shares[k], self.sizes[k]
+            for at, (i, words) in enumerate(lines):
+                if len(words) >= size or share.keys().isdisjoint(words):
+                    continue
+                block, end = list(words), at + 1
+                while end < len(lines) and len(block) < size:
+                    before, block, end = block, block + lines[end][1], end + 1
+                    if len(block) >= size or end == len(lines):
+                        for part in (before, block) if len(before) > len(words) else (block,):
+                            if self.within_reach(set(part), (k,)):
+                                yield k, LINES, i, part
+            # passages: the share of the distinct terms in a sliding window
+            counts, held, number = dict.fromkeys(share, 0), 0.0, [i for i, words in lines for _ in words]
+            for end, w in enumerate(flat):
+                if w in share:
+                    counts[w] += 1
+                    held += share[w] if counts[w] == 1 else 0.0
+                if end >= size and (gone := flat[end - size]) in share:
+                    counts[gone] -= 1
+                    held -= share[gone] if not counts[gone] else 0.0
+                if held >= WHOLE**2 - 1e-6 and end >= size - 1:
+                    yield k, PASSAGE, number[end - size + 1], flat[end - size + 1 : end + 1]
+
+    def closed_and_open(self, text: bytes, named: bool) -> tuple[tuple, list[tuple[bytes, int, int, int]]]:
+        """The best rank of texts whose words all have a known frequency, and the texts that may be better: (words, template, kind, line)."""
+        best, waiting = NONE, {}
+        for k, kind, line, words in self.texts(text, named):
+            # an unknown word weighs 1 at least, as one that is in every file
+            rank = self.rank(self.cosine(words, k, self.weight, 1.0), k, kind, line)
+            if all(w in self.weight for w in words):
+                best = max(best, rank)
+            elif rank > NONE:
+                waiting[(b" ".join(words), k, kind, line)] = rank
+        return best, [x for x, rank in waiting.items() if rank > best]
+
+    def file(self, text: bytes, named: bool = False) -> tuple[str | None, float, int]:
         """(licence, score, line number); no licence: None, 0.0, -1."""
-        among = self.within_reach(set(terms(text)), range(len(self.templates)))
-        best = (0.0, None, -1)
-        for i, line in enumerate(text.split(b"\n") if among else ()):
-            words = terms(line)
-            near = self.within_reach(set(words), among)
-            if near:
-                score, name = self.line(words, near)
-                if score > best[0]:
-                    best = (score, name, i)
-        return (best[1], best[0], best[2]) if best[0] >= SIMILAR else (None, 0.0, -1)
+        best = max((self.rank(self.cosine(words, k, self.weight, self.rare), k, kind, line) for k, kind, line, words in self.texts(text, named)), default=NONE)
+        return (NAMES[-best[5]], best[1], -best[4]) if best > NONE else (None, 0.0, -1)
 
 
 def frequencies(files: DataFrame) -> tuple[dict[bytes, int], int]:
@@ -107,23 +185,90 @@ def frequencies(files: DataFrame) -> tuple[dict[bytes, int], int]:
     return {w: known.get(w, 0) for w in vocabulary}, total
 
 
+def revived(state: dict) -> Matcher:
+    matcher = Matcher.__new__(Matcher)
+    matcher.__dict__.update(state)
+    return matcher
+
+
+def counted_words(files: DataFrame, words: DataFrame) -> DataFrame:
+    """(word, n): in how many files each of `words` (word) occurs, and some words more.
+
+    Tasks count the words whose bit is set in a map of 2^22 bits, so what is broadcast is bounded; sums by word follow.
+    """
+    bit = F.crc32("word") % (1 << 22)
+    masks = words.groupBy((bit / 64).cast("long").alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(crc32(word) % 64 as int))")).alias("mask"))
+    bits = {r["slot"]: r["mask"] for r in masks.collect()}  # at most 2^16 rows
+    held = files.sparkSession.sparkContext.broadcast(bits)
+
+    def work(batch: pa.RecordBatch) -> dict:
+        mask, found = held.value.get, {}
+        for text in utf8(batch.column(0)):
+            for w in set(terms(text or b"")):
+                h = zlib.crc32(w) & 0x3FFFFF
+                if mask(h >> 6, 0) >> (h & 63) & 1:
+                    found[w] = found.get(w, 0) + 1
+        return {"word": [w.decode() for w in found], "n": list(found.values())}
+
+    return arrow_map(files.select(F.col("text").cast("string")), {"word": "string", "n": "long"}, work).groupBy("word").agg(F.sum("n").alias("n"))
+
+
 def scan(files: DataFrame) -> DataFrame:
     """Per file (path, text, and `id` columns are kept): path, own, own_score, own_line, speaks."""
     held = files.sparkSession.sparkContext.broadcast(Matcher(*frequencies(files)).__dict__)  # templates and their terms
 
     def work(batch: pa.RecordBatch) -> dict:
-        matcher = Matcher.__new__(Matcher)
-        matcher.__dict__.update(held.value)
-        got = [matcher.file(t or b"") for t in utf8(batch.column(2))]
         paths = batch.column(1).to_pylist()
         named = [(p or "").rsplit("/", 1)[-1].lower().split(".")[0] in FILE_NAMES for p in paths]
+        m = revived(held.value)
+        got = [m.closed_and_open(t or b"", n) for t, n in zip(utf8(batch.column(2)), named)]
         return {
-            "id": batch.column(0), "path": paths, "own": [g[0] for g in got], "own_score": [g[1] for g in got], "own_line": [g[2] for g in got],
-            "speaks": [g[0] is not None and (n or g[1] >= WHOLE) for g, n in zip(got, named)],
+            "id": batch.column(0), "path": paths, "named": named, **{name: [best[i] for best, _ in got] for i, name in enumerate(RANK)},
+            "words": [[x[0].decode() for x in more] for _, more in got], **{name: [[x[i] for x in more] for _, more in got] for i, name in enumerate(("template", "of", "line"), 1)},
         }
 
-    out = {"id": "long", "path": "string", "own": "string", "own_score": "double", "own_line": "int", "speaks": "boolean"}
-    return arrow_map(files.select(F.col("id").cast("long"), F.col("path").cast("string"), F.col("text").cast("string")), out, work)
+    given = files.select(F.col("id").cast("long"), F.col("path").cast("string"), F.col("text").cast("string"))
+    kinds = {"id": "long", "path": "string", "named": "boolean", **RANK, "words": "array<string>", "template": "array<int>", "of": "array<int>", "line": "array<int>"}
+    # the number is written with the row, so it stays the same for all that follows
+    first = stage(arrow_map(given, kinds, work).withColumn("row", F.monotonically_increasing_id()))
+    keys, rank = ["row", "id", "path", "named"], F.struct(*RANK)
+    done = first.where(F.size("words") == 0).select(*keys, rank.alias("best"))
+    waiting = first.where(F.size("words") > 0)
+    if not waiting.isEmpty():
+        done = done.unionByName(waiting.select(*keys, rank.alias("best")).unionByName(_ranked(given, waiting, held, keys)).groupBy(*keys).agg(F.max("best").alias("best")))
+    own = F.when(F.col("best.score") > 0, F.element_at(F.array(*[F.lit(n) for n in NAMES]), 1 - F.col("best.order")))
+    return done.select(
+        "id", "path", own.alias("own"), F.col("best.score").alias("own_score"), F.when(own.isNull(), -1).otherwise(-F.col("best.before")).alias("own_line"),
+        (own.isNotNull() & (F.col("named") | (F.col("best.notice") == 1))).alias("speaks"),
+    )
+
+
+def _ranked(files: DataFrame, waiting: DataFrame, held, keys: list[str]) -> DataFrame:
+    """The texts with words outside the templates, ranked by the document frequencies of all their words: `keys` and `best`."""
+    texts = waiting.select(*keys, F.explode(F.arrays_zip("words", "template", "of", "line")).alias("t")).select(*keys, "t.*")
+    # each text is scored once, however many files hold it
+    each = texts.select("words", "template").distinct()
+    spread = stage(each.select("words", "template", F.explode(F.array_distinct(F.split("words", " "))).alias("word")))
+    known = counted_words(files, spread.select("word").distinct())
+    numbered = spread.join(known, "word").groupBy("words", "template").agg(F.collect_list("word").alias("terms"), F.collect_list("n").alias("ns"))
+
+    def score(batch: pa.RecordBatch) -> dict:
+        m, out = revived(held.value), []
+        for words, k, names, ns in zip(*(c.to_pylist() for c in batch.columns)):
+            weight = {w.encode(): m.idf(n) for w, n in zip(names, ns)}
+            out.append(m.cosine(words.encode().split(b" "), k, weight, m.rare))
+        return {"words": batch.column(0), "template": batch.column(1), "score": out}
+
+    scored = arrow_map(numbered, {"words": "string", "template": "int", "score": "double"}, score)
+    joined = texts.join(scored, ["words", "template"])
+
+    def place(batch: pa.RecordBatch) -> dict:
+        m = revived(held.value)
+        ranks = [m.rank(*x) for x in zip(*(batch.column(i).to_pylist() for i in range(4, 8)))]
+        return {**{name: batch.column(i) for i, name in enumerate(keys)}, **{name: [r[i] for r in ranks] for i, name in enumerate(RANK)}}
+
+    placed = arrow_map(joined.select(*keys, "score", "template", "of", "line"), {"row": "long", "id": "long", "path": "string", "named": "boolean", **RANK}, place)
+    return placed.select(*keys, F.struct(*RANK).alias("best"))
 
 
 def directories(path: str = "path"):

@@ -169,3 +169,44 @@ def test_licences_found_in_many_files_are_licences(spark):
             text = next(t for _, p, t in files if p == r["path"])
             want = next(((n, "own") for n, x in notices.items() if x == text), (r["path"].split("/")[0], "inherited") if r["path"] != "b/z" else (None, "none"))
             assert (r["license"], r["origin"]) == (want if want[0] != "a" else ("Apache-2.0", "inherited"))
+
+
+def test_licences_with_other_words_and_over_lines(spark):
+    ready(spark)
+    texts = {
+        1: ("Proprietary", "Copyright 2024 Acme Inc. All rights reserved."),
+        2: ("MIT", "# Permission is hereby granted, free of charge, to any person\n# obtaining a copy of this software and\n# associated documentation files (the Software), to deal"),
+        3: ("Apache-2.0", "Licensed under Apache License Version 2.0 by Quux"),
+        4: ("MIT", "The MIT License\n\nCopyright Foo\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in it"),
+        5: (None, "the licence of this work is with the author and of no use"),
+    }
+    rows = [(i, f"{i}/f.txt", t) for i, (_, t) in texts.items()] + [(9, "l/LICENSE", texts[4][1]), (10, "l/x", "code")]
+    rows += [(k, f"q/{k}.txt", "Licensed under the Apache License, Version 2.0." if k % 50 == 0 else "All rights reserved." if k % 51 == 0 else prose(k, 5)) for k in range(100, 1100)]
+    got = {r["id"]: r for r in license_scan.licences(spark.createDataFrame(rows, "id long, path string, text string")).collect()}
+    assert {i: got[i]["own"] for i in texts} == {i: name for i, (name, _) in texts.items()} and (got[10]["license"], got[10]["origin"]) == ("MIT", "inherited")
+    assert len(got) == len(rows)
+
+
+def test_licence_scores_do_not_fall_with_the_table(spark):
+    vocabulary = {w for _, t in license_scan.TEMPLATES for w in license_scan.terms(t.encode())}
+    for text in (b"Licensed under Apache License Version 2.0 by Quux", b"Copyright 2024 Acme Inc. All rights reserved."):
+        scores = [license_scan.Matcher({w: n // 100 for w in vocabulary}, n).file(text)[1] for n in (10**4, 10**6, 3 * 10**7)]
+        assert min(scores) >= license_scan.SIMILAR and max(scores) - min(scores) < 0.01
+
+
+def test_licences_joined_with_frequencies_equal_brute_force(spark):
+    ready(spark)
+    rng = random.Random(8)
+    words = [w.decode() for w in sorted({w for _, t in license_scan.TEMPLATES for w in license_scan.terms(t.encode())})]
+    rows = []
+    for k in range(400):
+        name, text = rng.choice(license_scan.TEMPLATES)
+        tokens = [rng.choice(words + WORDS) if rng.random() < 0.2 else w for w in text.split()]
+        tokens = [x for w in tokens for x in ([w, rng.choice(WORDS)] if rng.random() < 0.15 else [w])]
+        rows.append((k, f"d{k % 7}/{'LICENSE' if k % 9 == 0 else k}", prose(k, 6) + "\n" + "".join(w + rng.choice("  \n") for w in tokens) + prose(k + 1, 3)))
+    held = [set(license_scan.terms(t.encode())) for _, _, t in rows]
+    matcher = license_scan.Matcher({w: sum(w in h for h in held) for w in set().union(*held) | {w.encode() for w in words}}, len(rows))
+    got = {r["id"]: r for r in license_scan.scan(spark.createDataFrame(rows, "id long, path string, text string")).collect()}
+    for i, path, text in rows:
+        own, score, line = matcher.file(text.encode(), path.endswith("LICENSE"))
+        assert (got[i]["own"], got[i]["own_line"]) == (own, line) and abs(got[i]["own_score"] - score) < 1e-9
