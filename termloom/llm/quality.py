@@ -9,6 +9,7 @@ vector folds into one number (the difference of the two outputs), and a document
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,11 +31,32 @@ THRESHOLD = 0.3
 # words whose features a worker remembers
 REMEMBERED = 400_000
 REPEAT = b"\x00repeat"
+# longer words (texts without blanks, encoded data) are hashed in blocks of so many bytes and not remembered
+SHORT = 128
+BLOCK = 1 << 16
+# table of CRC-32, for the n-grams of a block at once
+CRC = np.arange(256, dtype=np.uint32)
+for _ in range(8):
+    CRC = np.where(CRC & 1, (CRC >> 1) ^ np.uint32(0xEDB88320), CRC >> 1)
+
+
+def long_buckets(word: bytes) -> Iterator[np.ndarray]:
+    """What buckets_of() gives, in blocks."""
+    yield np.array([zlib.crc32(word, SEED) % BUCKETS])
+    marked = np.frombuffer(b"<" + word + b">", dtype=np.uint8)
+    for n in NGRAMS:
+        count = len(marked) - n + 1
+        for start in range(0, count, BLOCK):
+            stop = min(count, start + BLOCK)
+            crc = np.full(stop - start, n ^ 0xFFFFFFFF, dtype=np.uint32)
+            for i in range(n):
+                crc = CRC[(crc ^ marked[start + i : stop + i]) & 255] ^ (crc >> 8)
+            yield ((crc ^ np.uint32(0xFFFFFFFF)) % BUCKETS).astype(np.int64)
 
 
 def buckets_of(word: bytes) -> list[int]:
-    """Bucket of the word, then of its character n-grams (over bytes; a word is its first 64 and last 64 bytes here if longer)."""
-    marked = b"<" + (word if len(word) <= 128 else word[:64] + word[-64:]) + b">"
+    """Bucket of the word, then of all its character n-grams (over bytes)."""
+    marked = b"<" + word + b">"
     out = [zlib.crc32(word, SEED) % BUCKETS]
     for n in NGRAMS:
         out += [zlib.crc32(marked[i : i + n], n) % BUCKETS for i in range(len(marked) - n + 1)]
@@ -54,16 +76,36 @@ def features(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
             counts[REPEAT] = counts.get(REPEAT, 0) + 1
         before = w
     ids, times = [], []
+    dense, pending, waiting = None, [], 0
     for w, n in counts.items():
+        if len(w) > SHORT:
+            dense = np.zeros(BUCKETS) if dense is None else dense
+            for block in long_buckets(w):
+                pending.append((block, n))
+                waiting += len(block)
+                if waiting >= BLOCK:
+                    dense += _summed(pending)
+                    pending, waiting = [], 0
+            continue
         found = REPEAT_BUCKETS if w is REPEAT else buckets_of(w)
         ids += found
         times += [n] * len(found)
+    if dense is not None:
+        dense += _summed([*pending, (np.array(ids, dtype=np.int64), np.array(times, dtype=float))])
+        bucket = np.flatnonzero(dense)
+        return bucket.astype(np.int32), dense[bucket].astype(np.float32)
     if not ids:
         return np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.float32)
     bucket, where = np.unique(np.array(ids), return_inverse=True)
     return bucket.astype(np.int32), np.bincount(where, weights=times).astype(np.float32)
 
 
+def _summed(found: list[tuple[np.ndarray, float | np.ndarray]]) -> np.ndarray:
+    """Counts of all buckets, from arrays of buckets and how often each array (or each of its entries) counts."""
+    times = [np.broadcast_to(n, block.shape) for block, n in found]
+    return np.bincount(np.concatenate([block for block, _ in found]), weights=np.concatenate(times), minlength=BUCKETS)
+
+
 def train(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS, rate: float = RATE) -> tuple[np.ndarray, float]:
     """(weight of each bucket, bias) of the score's logit."""
     rng = np.random.default_rng(SEED)
@@ -121,12 +163,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, held_out: bool
 
 
 class Scorer:
-    """Score of whole texts; remembers the sums of the words it has met."""
+    """Score of whole texts; remembers the sums of the short words it has met."""
 
     def __init__(self, weights: np.ndarray, bias: float):
         self.weights, self.bias, self.seen = weights.astype(float).tolist(), bias, {}
+        self.dense = weights.astype(float)
 
     def word(self, w: bytes) -> tuple[float, int]:
+        if len(w) > SHORT:
+            total, n = 0.0, 0
+            for block in long_buckets(w):
+                total += float(self.dense[block].sum())
+                n += len(block)
+            return total, n
         if len(self.seen) >= REMEMBERED:
             self.seen.clear()
         ids = buckets_of(w)

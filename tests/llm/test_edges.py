@@ -210,3 +210,19 @@ def test_licences_joined_with_frequencies_equal_brute_force(spark):
     for i, path, text in rows:
         own, score, line = matcher.file(text.encode(), path.endswith("LICENSE"))
         assert (got[i]["own"], got[i]["own_line"]) == (own, line) and abs(got[i]["own_score"] - score) < 1e-9
+
+
+def test_quality_sees_the_whole_of_long_words(spark):
+    ready(spark)
+    rng = random.Random(5)
+    word = bytes(rng.randrange(33, 256) for _ in range(150_000))
+    assert np.concatenate(list(quality.long_buckets(word))).tolist() == quality.buckets_of(word)
+    ids, counts = quality.features(b"a " + word + b" " + word + b" " + word[:200])
+    every = sum(([quality.REPEAT_BUCKETS, quality.buckets_of(b"a"), quality.buckets_of(word) * 2, quality.buckets_of(word[:200])]), [])
+    assert (ids.tolist(), counts.tolist()) == tuple(x.tolist() for x in np.unique(every, return_counts=True))
+    # texts of one word that differ in their middle only
+    body = lambda k: "".join(rng.choice("天地玄黃宇宙洪荒" if k % 2 else "日月盈昃辰宿列張") for _ in range(300))
+    docs = spark.createDataFrame([(k, "始" * 30 + body(k) + "終" * 30) for k in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(200)], "doc_id long, quality int, toxic int")
+    got = quality.op10(docs, labels).where("held_out").collect()
+    assert len(got) > 20 and all((r["score"] > 0.5) == bool(r["doc_id"] % 2) for r in got)
