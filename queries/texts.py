@@ -164,8 +164,12 @@ def outline_assignments(spark, sf):
 
 def compose_syllabus(spark, sf):
     topics = _documents(spark, sf).withColumn("extracted_text", F.col("text"))
-    out = N.compose_syllabus(topics)
-    return out.select("course_id", F.length("syllabus_raw_text").alias("n_chars"), F.md5(F.encode("syllabus_raw_text", "UTF-8")).alias("text_md5"))
+    return N.syllabus_digests(N.syllabus_parts(topics)).select("course_id", "n_chars", "text_md5")
+
+
+def syllabus_parts(spark, sf):
+    topics = _documents(spark, sf).withColumn("extracted_text", F.col("text"))
+    return N.syllabus_parts(topics).select("course_id", "position", "n_chars", "part_md5")
 
 
 def _chunks(spark, sf):
@@ -500,6 +504,13 @@ QUERIES = {
           j as (select course_id, string_agg(part, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by position) as txt from u group by all)
           select course_id, length(txt) as n_chars, md5(txt) as text_md5 from j""",
     ),
+    "syllabus_parts": (
+        syllabus_parts,
+        rf"""with t as (select course_id, position, regexp_replace(text, '^\s+|\s+$', '', 'g') as body, case when outline then '[' || module_title || ': ' || title || ']' else '[' || title || ']' end || chr(10) as heading
+            from ({DOC_SQL}) where not outline or regexp_matches(title || ' ' || module_title, 'late\s*work|syllabus|grading|attendance', 'i')),
+          u as (select course_id, min(position) as position, arg_min(heading || body, position) as part from t where body <> '' group by course_id, sha256(body))
+          select course_id, position, length(part) as n_chars, md5(part) as part_md5 from u""",
+    ),
     "pack_chunks": (pack_chunks, f"with {PACKED} select course_id, position, chunk from w"),
     "build_prompts": (
         build_prompts,

@@ -6,6 +6,10 @@ normalised key) and positions that keep the order of the document.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,10 +60,10 @@ def outline_assignments(topics: DataFrame, *, keys: list[str], text: str = "extr
     return titled.where(keep).select(*keys, "line", "title", F.col("_hit").alias("due_text"))
 
 
-def compose_syllabus(topics: DataFrame, *, cap: int | None = None) -> DataFrame:
-    """Syllabus text per course: syllabus topics, then policy-like outline topics, repeats dropped; cut only if `cap` is given.
+def syllabus_parts(topics: DataFrame) -> DataFrame:
+    """Parts of each course's syllabus as rows (`position`, `part`, `n_chars`, `part_md5`): syllabus and policy-like outline topics, repeats dropped.
 
-    `topics` has kind ('syllabus' | 'outline'; others are no syllabus) and an integer `position` in report order.
+    The text of a course is its parts in order of position with SYLLABUS_GAP between them. `topics` has kind ('syllabus' | 'outline'; others are no syllabus) and an integer `position` in report order.
     """
     body = F.trim(F.regexp_replace("extracted_text", f"^{X.SPACE}+|{X.SPACE}+$", ""))
     outline = F.col("kind") == "outline"
@@ -76,6 +80,42 @@ def compose_syllabus(topics: DataFrame, *, cap: int | None = None) -> DataFrame:
         F.min(F.struct("position", "heading", "body")).alias("s")
     )
     parts = first.select(*COURSE, F.col("s.position").alias("position"), F.concat("s.heading", "s.body").alias("part"))
+    return parts.withColumns({"n_chars": F.length("part").cast("long"), "part_md5": F.md5(F.encode("part", "UTF-8"))})
+
+
+def syllabus_digests(parts: DataFrame) -> DataFrame:
+    """Length and MD5 of each course's syllabus text, from its parts as rows; the text itself is never built.
+
+    An MD5 takes its bytes in order, so one task reads the sorted parts of a course, a batch at a time.
+    """
+    gap = SYLLABUS_GAP.encode()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, size, digest = None, 0, None
+
+        def done():
+            return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int64()), pa.array([at[1]], pa.string()), pa.array([size], pa.int64()), pa.array([digest.hexdigest()])], names=[*COURSE, "n_chars", "text_md5"])
+
+        for batch in batches:
+            for student, course, n, part in zip(*(batch.column(i) for i in range(4))):
+                if digest is None or (student.as_py(), course.as_py()) != at:
+                    if digest is not None:
+                        yield done()
+                    at, size, digest = (student.as_py(), course.as_py()), -len(SYLLABUS_GAP), hashlib.md5(usedforsecurity=False)
+                else:
+                    digest.update(gap)
+                size += n.as_py() + len(SYLLABUS_GAP)
+                digest.update(part.as_buffer())
+        if digest is not None:
+            yield done()
+
+    ordered = parts.where("part is not null").repartition(*COURSE).sortWithinPartitions(*COURSE, "position", "part")
+    return ordered.select(F.col("student_id").cast("long"), F.col("course_id").cast("string"), "n_chars", F.encode("part", "UTF-8").alias("part")).mapInArrow(run, "student_id long, course_id string, n_chars long, text_md5 string")
+
+
+def compose_syllabus(topics: DataFrame, *, cap: int | None = None) -> DataFrame:
+    """Syllabus text per course, joined from its parts; cut only if `cap` is given. For courses whose text fits in a row: else see `syllabus_parts`."""
+    parts = syllabus_parts(topics).select(*COURSE, "position", "part")
     if cap is None:
         every = parts.groupBy(*COURSE).agg(F.array_sort(F.collect_list(F.struct("position", "part"))).alias("ps"))
         return every.select(*COURSE, F.array_join(F.transform("ps", lambda p: p["part"]), SYLLABUS_GAP).alias("syllabus_raw_text"))

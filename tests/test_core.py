@@ -272,5 +272,22 @@ def test_external_tools_are_no_syllabus(spark):
     assert "tool text" not in text and len(text) > 100_000
 
 
+def test_syllabus_parts_are_rows_and_digest_as_one_text(spark):
+    import hashlib
+
+    from termloom.operators import normalize as N
+
+    rows = [(s, c, "syllabus", p, f"T{p}", "m", f"text ü {p % 9} of {c}\n" * (p % 5 + 1)) for s in (1, 2) for c in ("c", "d", None) for p in range(40)]
+    df = spark.createDataFrame(rows, "student_id bigint, course_id string, kind string, position int, title string, module_title string, extracted_text string").repartition(5)
+    want = {(r["student_id"], r["course_id"]): r["syllabus_raw_text"] for r in N.compose_syllabus(df).collect()}
+    parts = N.syllabus_parts(df)
+    assert parts.count() > 3 * len(want) and all(r["n_chars"] == len(r["part"]) and r["part_md5"] == hashlib.md5(r["part"].encode()).hexdigest() for r in parts.collect())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    got = {(r["student_id"], r["course_id"]): (r["n_chars"], r["text_md5"]) for r in N.syllabus_digests(parts).collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {k: (len(t), hashlib.md5(t.encode()).hexdigest()) for k, t in want.items()}
+    assert "collect_list" not in N.syllabus_digests(parts)._jdf.queryExecution().toString()
+
+
 def test_empty_tables_have_their_schema(spark):
     assert empty_table(spark, "courses").columns[:3] == ["student_id", "course_id", "code"]
