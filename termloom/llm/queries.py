@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from termloom.llm import decontam, hnsw, html_extract, license_scan, line_dedup, mixing, pii_crf, quality, secret_ledger, simhash_golay, vector_codes, word_runs
+from termloom.llm import decontam, hnsw, html_extract, license_scan, line_dedup, minhash_join, mixing, pii_crf, quality, secret_ledger, simhash_golay, vector_codes, word_runs
 from termloom.llm.common import read
 
 
@@ -54,6 +54,10 @@ def code_query(spark, sf_dir):
     return vector_codes.op12(read(spark, sf_dir, "embeddings"))
 
 
+def minhash_query(spark, sf_dir):
+    return minhash_join.op13(read(spark, sf_dir, "documents"))
+
+
 # Lines of 30 characters and more within two edits are linked by brute force. The function counts bytes, so letters of two bytes
 # in these tables are first replaced by control characters.
 LINES_SQL = """
@@ -121,6 +125,19 @@ select vec_id, code, error, cast(sum(error) over (partition by label) as bigint)
     return ",\n".join(steps) + last
 
 
+# Shared shingles of all pairs of documents, counted.
+SHINGLES_SQL = r"""
+with recursive w as (select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) as w from documents),
+s as materialized (select distinct doc_id, array_to_string(w[i + 1 : i + 5], ' ') as shingle from (select doc_id, w, unnest(range(greatest(len(w) - 4, 1))) as i from w where len(w) > 0)),
+n as materialized (select doc_id, count(*) as n from s group by doc_id),
+common as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.shingle = b.shingle and a.doc_id <> b.doc_id group by a.doc_id, b.doc_id),
+link as materialized (select a, b from common join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+reach as (select a as node, a as other from link union select r.node, k.b from reach r join link k on r.other = k.a),
+least as (select node, min(other) as component_id from reach group by node)
+select w.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(least.component_id, w.doc_id) as component_id, coalesce(least.component_id, w.doc_id) = w.doc_id as kept
+from w left join n on n.doc_id = w.doc_id left join least on node = w.doc_id
+"""
+
 QUERIES = {
     "op1_html": (html_query, None),
     "op2_simhash_golay": (simhash_query, None),
@@ -134,4 +151,5 @@ QUERIES = {
     "op10_quality": (quality_query, None),
     "op11_word_runs": (run_query, RUNS_SQL),
     "op12_vector_codes": (code_query, codes_sql()),
+    "op13_minhash_join": (minhash_query, SHINGLES_SQL),
 }
