@@ -135,7 +135,7 @@ def rarest(rows: DataFrame, key: str, need: str) -> DataFrame:
     kept = rows.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", F.col(key).alias("key")))).alias("held"), F.first("n").alias("n"), F.sum("df").alias("weight"))
     # `held` is bounded by the keys of one node
     kept = kept.withColumn("need", F.expr(need)).where("size(held) >= need")
-    return kept.selectExpr("node", "weight", "transform(slice(held, 1, int(size(held) - need + 1)), (x, i) -> struct(n - size(held) + i + 1 as at, x.key as key)) as prefix")
+    return kept.selectExpr("node", "weight", "transform(slice(held, 1, int(greatest(size(held) - need + 1, 0))), (x, i) -> struct(n - size(held) + i + 1 as at, x.key as key)) as prefix")
 
 
 def pairs_across(posts: DataFrame, roots: DataFrame, on: str) -> DataFrame:
