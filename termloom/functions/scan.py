@@ -12,7 +12,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from termloom.session import stage
+
 BLOCK = 1 << 16
+# a numbered row is (partition << LOCAL) + its position there
+LOCAL = 33
 
 
 def block_of(pos: str, size: int = BLOCK) -> Column:
@@ -57,3 +61,31 @@ def carry_forward(
         .withColumn(out, F.coalesce(F.last("_value", ignorenulls=True).over(inside), F.col("_base")))
         .drop("_block", "_value", "_base")
     )
+
+
+def dealt_by_range(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
+    """`df` sorted by (keys, order) over range partitions of about equal size, with `_at`, which grows in that order.
+
+    A group is split wherever its range is, so its size does not matter. The result is written once: the numbers are those of the written rows.
+    """
+    placed = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    return stage(placed.withColumn("_at", F.monotonically_increasing_id()))
+
+
+def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], out: str) -> DataFrame:
+    """`df` with `out`, the number (from 1) of each row within its group in `order`; rows that tie come in any order.
+
+    Rows are numbered within range partitions. Of each group and partition one row (first number, count) is summed up over the
+    partitions before, so what a window gathers per group is at most one row per partition. Null keys are a group.
+    """
+    here = dealt_by_range(df, keys, order).withColumn("_part", F.shiftright("_at", LOCAL))
+    pieces = here.groupBy(*keys, "_part").agg(F.min("_at").alias("_from"), F.count(F.lit(1)).alias("_size"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = pieces.select(
+        *[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_part").alias("_of_part"), "_from",
+        F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"),
+    )
+    same = F.col("_part") == F.col("_of_part")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    return here.join(offsets, same).withColumn(out, F.col("_before") + F.col("_at") - F.col("_from") + 1).select(*df.columns, out)

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termloom.functions import text as X
+from termloom.functions.scan import ranked
 from termloom.operators.priority import lookup
 from termloom.operators.reconcile import DONE
 from termloom.session import stage
@@ -71,19 +72,9 @@ def work_window(candidates: DataFrame, *, today: date) -> DataFrame:
 
 
 def ranked_candidates(rows: DataFrame, *, today: date, horizon_days: int) -> DataFrame:
-    """Candidates numbered in planning order per student.
-
-    Scores have two places, so a student has at most 10 001 of them: rows are numbered within (student, score), after an
-    offset that comes from the counts of the higher scores.
-    """
+    """Candidates numbered in planning order per student."""
     picked = plan_candidates(rows, today=today, horizon_days=horizon_days)
-    keys = ["student_id", "priority_score"]
-    higher = Window.partitionBy("student_id").orderBy(F.desc("priority_score")).rowsBetween(Window.unboundedPreceding, -1)
-    counts = picked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select(*keys, F.coalesce(F.sum("_n").over(higher), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(*keys).orderBy(*candidate_order()[1:])
-    numbered = picked.join(offsets, keys).withColumn("plan_rank", F.col("_before") + F.row_number().over(inside))
-    return numbered.drop("_before")
+    return ranked(picked, ["student_id"], candidate_order(), "plan_rank")
 
 
 def _daily_share(remaining: int, days_left: int, free: int) -> int:

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termloom.functions import text as X
+from termloom.functions.scan import ranked
 from termloom.operators.reconcile import grade_of, instant
 
 EXACT = "decimal(28,8)"
@@ -273,9 +274,8 @@ def all_exclusions(rows: DataFrame, *, now: datetime) -> DataFrame:
 
 def grade_exclusions(rows: DataFrame, *, now: datetime, shown: int | None = None) -> DataFrame:
     """Exclusions of each course in report order; the first `shown` if that is given."""
-    order = Window.partitionBy(*COURSE).orderBy("stage", "match_key")
-    ranked = all_exclusions(rows, now=now).withColumn("position", F.row_number().over(order))
-    return (ranked if shown is None else ranked.where(F.col("position") <= shown)).select(*COURSE, "position", "title", "reason")
+    numbered = ranked(all_exclusions(rows, now=now), COURSE, ["stage", "match_key"], "position")
+    return (numbered if shown is None else numbered.where(F.col("position") <= shown)).select(*COURSE, "position", "title", "reason")
 
 
 def exclusion_counts(rows: DataFrame, *, now: datetime, shown: int | None = None) -> DataFrame:

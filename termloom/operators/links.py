@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from termloom.functions import text as X
 from termloom.functions import urls as U
+from termloom.functions.scan import ranked
 from termloom.session import stage
 
 COURSE = ["student_id", "course_id"]
@@ -250,7 +251,7 @@ def expand_frontier(seeds: DataFrame, links: DataFrame, *, page_budget: int | No
     """Breadth-first visit order per course over captured links, each URL once; at most `page_budget` pages if that is given.
 
     seeds: course keys, url, position; links: course keys, from_url, url, position. With a budget a level keeps at most the
-    pages it still admits. Levels are numbered in sorted order, which Spark spills to disk.
+    pages it still admits. Levels are numbered over range partitions, so no task gathers a level of one course.
     """
     edges = links.select(*COURSE, U.normalized(F.col("from_url")).alias("from_key"), U.normalized(F.col("url")).alias("key"), "url", "position")
     start = seeds.select(*COURSE, U.normalized(F.col("url")).alias("key"), "url", F.struct(F.lit(0).cast("long").alias("parent"), F.col("position").cast("long").alias("at")).alias("at"))
@@ -258,11 +259,10 @@ def expand_frontier(seeds: DataFrame, links: DataFrame, *, page_budget: int | No
     def admitted(candidates: DataFrame, used: Column) -> DataFrame:
         """First occurrence of every new URL, numbered after the pages already visited."""
         first = candidates.groupBy(*COURSE, "key").agg(F.min(F.struct("at", "url")).alias("f"), F.max(used).alias("_used"))
-        order = Window.partitionBy(*COURSE).orderBy("f.at", "key")
-        ranked = first.withColumn("_n", F.row_number().over(order))
+        numbered = ranked(first, COURSE, ["f.at", "key"], "_n")
         if page_budget is not None:
-            ranked = ranked.where((F.col("_n") <= page_budget) & (F.col("_n") + F.col("_used") <= page_budget))
-        return ranked.withColumn("visit", F.col("_n") + F.col("_used")).select(
+            numbered = numbered.where((F.col("_n") <= page_budget) & (F.col("_n") + F.col("_used") <= page_budget))
+        return numbered.withColumn("visit", F.col("_n") + F.col("_used")).select(
             *COURSE, "key", F.col("f.url").alias("url"), F.col("visit").cast("long").alias("visit")
         )
 
@@ -323,8 +323,7 @@ def publisher_nav_plan(
     url, text = F.col("url"), F.col("text")
     mindtap = platform == "cengage_mindtap"
     inside = in_course_scope(url, F.col("page_url")) if mindtap else (~F.col("has_href") | in_publisher_scope(url))
-    order = Window.partitionBy(*COURSE).orderBy("position")
-    listed = links.where(inside).withColumn("_n", F.row_number().over(order))
+    listed = ranked(links.where(inside), COURSE, ["position"], "_n")
     if max_links is not None:
         listed = listed.where(F.col("_n") <= max_links)
     if picks is None:
@@ -339,8 +338,7 @@ def publisher_nav_plan(
     if mindtap:
         keyed = keyed.where(F.col("_key") != U.normalized(F.col("page_url")))
     first = keyed.groupBy(*COURSE, "_key").agg(F.min(F.struct("_rank", "position", "url", "text")).alias("f"))
-    step = Window.partitionBy(*COURSE).orderBy("f._rank")
-    numbered = first.withColumn("step", F.row_number().over(step))
+    numbered = ranked(first, COURSE, ["f._rank"], "step")
     return (numbered if budget is None else numbered.where(F.col("step") <= budget)).select(
         *COURSE, "step", "f.position", "f.url", "f.text"
     )

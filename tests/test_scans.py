@@ -29,6 +29,33 @@ def test_scans_do_not_depend_on_the_block(spark, block):
     assert sorted((r["k"], r["pos"], r["before"], r["last"]) for r in got.collect()) == sorted(want)
 
 
+def test_ranks_of_one_group_are_dealt_evenly(spark):
+    """One course holds all rows: no partition gets more than twice the median of 200."""
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "200")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        rows = spark.range(100_000).selectExpr("1L as student_id", "'hot' as course_id", "hash(id) as at", "id")
+        sizes = [r["count"] for r in scan.dealt_by_range(rows, ["student_id", "course_id"], ["at", "id"]).groupBy(F.shiftright("_at", scan.LOCAL)).count().collect()]
+        got = scan.ranked(rows, ["student_id", "course_id"], [F.desc("at"), "id"], "n")
+        numbers = got.orderBy(F.desc("at"), "id").select("n").toPandas()["n"].tolist()
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    assert len(sizes) == 200 and max(sizes) <= 2 * sorted(sizes)[100] and numbers == list(range(1, 100_001))
+
+
+def test_ranks_of_many_groups_and_null_keys(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice([None, "a", "b", "c"]), rng.randrange(50), i) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k string, at int, id int")
+    got = {r["id"]: r["n"] for r in scan.ranked(df.repartition(7), ["k"], [F.desc("at"), "id"], "n").collect()}
+    for key in {k for k, _, _ in rows}:
+        inside = sorted((-at, i) for k, at, i in rows if k == key)
+        assert [got[i] for _, i in inside] == list(range(1, len(inside) + 1))
+    assert scan.ranked(df.limit(0), ["k"], ["at"], "n").count() == 0
+
+
 @pytest.mark.parametrize("block", [3, 50, 4096])
 def test_pack_chunks_equals_the_greedy_loop(spark, block):
     rng = random.Random(7)
