@@ -176,8 +176,9 @@ QUERIES = {
     "grade_components": (
         grade_components,
         C.sql(*GRADED, body="""select *, cast(round(cast(weight_pct * (grade_pct / 100) as decimal(28, 8)), 6) as double) as weighted_points from (
-          select student_id, course_id, 'category' as component, name, weight_pct, cgrade as grade_pct from comp union all
-          select student_id, course_id, 'assignment', title, grade_weight_pct, eff from e2
+          select student_id, course_id, 'category' as component, name, weight_pct, cgrade as grade_pct, cast(null as varchar) as note from comp union all
+          select student_id, course_id, 'assignment', title, grade_weight_pct, eff,
+            case when eff = 0 and shown_grade is null then 'Counted as 0% (due date passed, no score recorded).' end from e2
           where not blended and eff is not null and grade_weight_pct <> 0)"""),
     ),
     "grade_members": (

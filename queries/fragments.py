@@ -20,7 +20,7 @@ from termloom.operators import sync as S
 from termloom.plans import refresh
 from termloom.session import checkpoint_dir
 from termloom.sources.snapshots import publisher_worklist as worklist
-from termloom.sources.tables import TableStore
+from termloom.sources.tables import TableStore, empty_table
 from termloom.streaming import jobs
 
 BASE = {"student_id": "cast(1 as bigint)", "course_id": "'c' || cast(user_id % 20 as {s})", "position": "event_id"}
@@ -277,10 +277,11 @@ def publisher_worklist(spark, sf):
 def refresh_overview(spark, sf):
     """Tables written once, then the whole overview job over them."""
     store = TableStore(spark, f"{checkpoint_dir(spark)}/overview-{spark.sparkContext.applicationId}-{sf.strip('/').replace('/', '-')}")
-    store.write("assignments", S._fitted(V.assignments(spark, sf), store.read("assignments")))
-    known = store.read("courses")
+    every = list(range(store.buckets))
+    store.replace("assignments", S._fitted(V.assignments(spark, sf), empty_table(spark, "assignments")), every)
+    known = empty_table(spark, "courses")
     table = V.courses(spark, sf).withColumn("syllabus_parsed", F.when(F.col("syllabus_parsed").isNotNull(), F.struct(F.col("syllabus_parsed.late_policy").alias("late_policy"), F.array().cast("array<string>").alias("review_flags"))))
-    store.write("courses", S._fitted(table, known))
+    store.replace("courses", S._fitted(table, known), every)
     return refresh.build_overview(store, tz=V.TZ, now=V.NOW)["summary"]
 
 

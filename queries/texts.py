@@ -300,14 +300,26 @@ def extracted_grade(spark, sf):
     return E.extracted_grade(facts, cats, tz=V.TZ, now=datetime(2024, 1, 20, tzinfo=UTC)).drop("student_id")
 
 
+def _merged_runs(spark, sf):
+    """Two runs: courses and their audit events, one event per row of `events`."""
+    e = V.table(spark, sf, "events").withColumns({"student_id": F.lit(1).cast("bigint"), "course_id": F.col("user_id").cast("string")})
+
+    def run(rows, number, mark):
+        rows = rows.withColumn("run", F.lit(number))
+        courses = rows.groupBy("student_id", "course_id", "run").agg(F.count(F.lit(1)).alias("artifact_count")).withColumn("course_code", F.lit(mark))
+        return {"courses": courses, "events": rows.select("student_id", "course_id", "run", F.col("event_id").alias("position"), "event_type")}
+
+    return E.merge_extractions(run(e.where("user_id % 3 <> 0"), 1, "old"), run(e.where("user_id % 2 = 0"), 2, "new"))
+
+
 def merge_extractions(spark, sf):
-    e = V.table(spark, sf, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("artifact_count"))
-    shape = lambda df, mark: df.select(
-        F.lit(1).cast("bigint").alias("student_id"), F.col("user_id").cast("string").alias("course_id"), F.lit(mark).alias("course_code"), "artifact_count",
-        F.array(F.concat(F.lit(mark), F.col("user_id").cast("string"))).alias("provenance_events"),
-    )
-    saved, updated = shape(e.where("user_id % 3 <> 0"), "old"), shape(e.where("user_id % 2 = 0"), "new")
-    return E.merge_extractions(saved, updated).select("course_id", "course_code", "artifact_count", F.array_join("provenance_events", ",").alias("events"))
+    merged = _merged_runs(spark, sf)
+    counts = merged["events"].groupBy("student_id", "course_id").agg(F.count(F.lit(1)).alias("events"))
+    return merged["courses"].join(counts, ["student_id", "course_id"]).select("course_id", "course_code", "artifact_count", "events")
+
+
+def extraction_events(spark, sf):
+    return E.course_events(_merged_runs(spark, sf)["events"]).select("course_id", "run", "position", "event_type", "at")
 
 
 def _responses(spark, sf):
@@ -553,9 +565,15 @@ QUERIES = {
     "merge_extractions": (
         merge_extractions,
         """select cast(user_id as varchar) as course_id, case when user_id % 2 = 0 then 'new' else 'old' end as course_code, count(*) as artifact_count,
-          case when user_id % 2 = 0 and user_id % 3 <> 0 then 'old' || user_id || ',new' || user_id when user_id % 2 = 0 then 'new' || user_id else 'old' || user_id end as events
+          count(*) * (case when user_id % 2 = 0 and user_id % 3 <> 0 then 2 else 1 end) as events
           from events where user_id % 3 <> 0 or user_id % 2 = 0 group by user_id""",
     ),
+    "extraction_events": (
+        extraction_events,
+        """select *, row_number() over (partition by course_id order by run, position) as at from (
+          select cast(user_id as varchar) as course_id, 1 as run, event_id as position, event_type from events where user_id % 3 <> 0 union all
+          select cast(user_id as varchar), 2, event_id, event_type from events where user_id % 2 = 0)""",
+    ),
     "parse_model_json": (
         parse_model_json,
         """select event_id as chunk, case when event_id % 7 = 0 then 'response holds no JSON object' end as error, case when event_id % 7 = 0 or event_id % 5 = 0 then 0 when event_id % 3 = 0 then 2 else 1 end as n,

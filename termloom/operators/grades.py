@@ -146,9 +146,11 @@ def _listed_weight() -> Column:
     return F.when(total > 0, total)
 
 
-def _category_sums(g: DataFrame, *more: Column) -> DataFrame:
+def _category_sums(g: DataFrame, *more: Column, populations: dict[str, Column | None] | None = None) -> DataFrame:
     """Per (student, course, category): points-weighted mean and the list weight of the category.
 
+    With `populations` (suffix -> which rows) the sums and means of each come side by side, from one pass over the rows.
+
     Rows of courses without category weights meet under a null category and carry row-weight sums instead. All
     buffers are numbers, so both sides of the shuffle aggregate in hash tables.
     """
@@ -156,16 +158,23 @@ def _category_sums(g: DataFrame, *more: Column) -> DataFrame:
     has = F.col("effective_pct").isNotNull()
     row_weight = F.when(has & ~F.col("blended"), X.positive_or_missing(F.col("grade_weight_pct")))
     weighted = g.withColumns({"_key": key, "_listed": F.when(F.col("blended"), _listed_weight()), "_row_weight": row_weight})
+    populations = populations or {"": None}
+    parts = []
+    for suffix, rows in populations.items():
+        only = lambda c: c if rows is None else F.when(rows, c)  # noqa: B023, E731
+        parts += [
+            F.sum(only(exact(F.col("effective_pct") * F.col("units")))).alias("num" + suffix),
+            F.sum(only(F.when(has, exact(F.col("units"))))).alias("den" + suffix),
+            F.sum(only(exact(F.col("_row_weight") * (F.col("effective_pct") / 100)))).alias("row_num" + suffix),
+            F.sum(only(exact(F.col("_row_weight")))).alias("row_den" + suffix),
+        ]
     sums = weighted.groupBy(*COURSE, "blended", F.col("_key").alias("category_key")).agg(
-        F.sum(exact(F.col("effective_pct") * F.col("units"))).alias("num"),
-        F.sum(F.when(has, exact(F.col("units")))).alias("den"),
-        F.sum(exact(F.col("_row_weight") * (F.col("effective_pct") / 100))).alias("row_num"),
-        F.sum(exact(F.col("_row_weight"))).alias("row_den"),
+        *parts,
         F.max("_listed").alias("weight_pct"),  # the same value on every row of the category
         *more,
     )
-    mean = X.rounded(F.col("num").cast("double") / X.positive_or_missing(F.col("den").cast("double")), 2)
-    return sums.withColumn("category_grade_pct", mean)
+    mean = lambda s: X.rounded(F.col("num" + s).cast("double") / X.positive_or_missing(F.col("den" + s).cast("double")), 2)
+    return sums.withColumns({"category_grade_pct" + s: mean(s) for s in populations})
 
 
 def category_grades(rows: DataFrame, *, now: datetime) -> DataFrame:
@@ -178,24 +187,36 @@ def category_grades(rows: DataFrame, *, now: datetime) -> DataFrame:
     return sums.select(*COURSE, "category_key", mean.alias("grade_pct"))
 
 
-def course_grades(rows: DataFrame, *, now: datetime) -> DataFrame:
-    """Final grade per course: category blend where categories carry weights, else row-weight blend."""
-    sums = _category_sums(graded(rows, now=now))
-    used = F.col("category_grade_pct").isNotNull() & F.col("weight_pct").isNotNull()
-    part = F.when(F.col("blended") & used, exact(F.col("weight_pct") * (F.col("category_grade_pct") / 100)))
-    weight = F.when(F.col("blended") & used, exact(F.col("weight_pct")))
-    totals = sums.groupBy(*COURSE, "blended").agg(
-        F.coalesce(F.sum(part), F.sum("row_num"), F.lit(0)).cast("double").alias("numerator"),
-        F.coalesce(F.sum(weight), F.sum("row_den"), F.lit(0)).cast("double").alias("total_weight_pct"),
-    )
-    final = X.rounded(F.col("numerator") / X.positive_or_missing(F.col("total_weight_pct")) * 100, 2)
-    return totals.select(
-        *COURSE,
-        F.when(F.col("blended"), "categories").otherwise("rows").alias("basis"),
-        final.alias("final_grade_pct"),
-        X.rounded(F.col("total_weight_pct"), 4).alias("total_weight_pct"),
-        X.rounded(F.col("numerator"), 6).alias("numerator_weighted_points"),
-    )
+def course_grades(
+    rows: DataFrame, *, now: datetime, populations: dict[str, Column | None] | None = None, counted: dict[str, Column] | None = None
+) -> DataFrame:
+    """Final grade per course: category blend where categories carry weights, else row-weight blend.
+
+    With `populations` (suffix -> which rows) each has its grade beside the others, and `counted` (name -> which rows) adds counts of rows.
+    """
+    counted = counted or {}
+    sums = _category_sums(graded(rows, now=now), *[F.count_if(c).alias(n) for n, c in counted.items()], populations=populations)
+    totals, shown = [], []
+    for s in populations or {"": None}:
+        used = F.col("blended") & F.col("category_grade_pct" + s).isNotNull() & F.col("weight_pct").isNotNull()
+        part = F.when(used, exact(F.col("weight_pct") * (F.col("category_grade_pct" + s) / 100)))
+        weight = F.when(used, exact(F.col("weight_pct")))
+        totals += [
+            F.coalesce(F.sum(part), F.sum("row_num" + s), F.lit(0)).cast("double").alias("numerator" + s),
+            F.coalesce(F.sum(weight), F.sum("row_den" + s), F.lit(0)).cast("double").alias("total" + s),
+        ]
+        final = X.rounded(F.col("numerator" + s) / X.positive_or_missing(F.col("total" + s)) * 100, 2)
+        shown += [
+            final.alias("final_grade_pct" + s), X.rounded(F.col("total" + s), 4).alias("total_weight_pct" + s),
+            X.rounded(F.col("numerator" + s), 6).alias("numerator_weighted_points" + s),
+        ]
+    joined = sums.groupBy(*COURSE, "blended").agg(*totals, *[F.sum(n).alias(n) for n in counted])
+    return joined.select(*COURSE, F.when(F.col("blended"), "categories").otherwise("rows").alias("basis"), *shown, *counted)
+
+
+def missing_as_zero() -> Column:
+    """Whether a row counts as zero for want of a score."""
+    return F.col("effective_pct").isNotNull() & grade_of().isNull() & (F.col("effective_pct") == 0)
 
 
 def grade_components(rows: DataFrame, *, now: datetime) -> DataFrame:
@@ -212,11 +233,11 @@ def grade_components(rows: DataFrame, *, now: datetime) -> DataFrame:
         F.lit("category").alias("component"),
         F.coalesce("c.name", F.lit("Category")).alias("name"),
         category_weight(F.col("c.weight")).alias("weight_pct"),
-        F.col("category_grade_pct").alias("grade_pct"),
+        F.col("category_grade_pct").alias("grade_pct"), F.lit(None).cast("string").alias("note"),
     )
     per_row = g.where("not blended and effective_pct is not null and coalesce(grade_weight_pct, 0) <> 0").select(
         *COURSE, F.lit("assignment").alias("component"), F.col("title").alias("name"),
-        F.col("grade_weight_pct").alias("weight_pct"), F.col("effective_pct").alias("grade_pct"),
+        F.col("grade_weight_pct").alias("weight_pct"), F.col("effective_pct").alias("grade_pct"), F.when(missing_as_zero(), ZERO_NOTE).alias("note"),
     )
     both = per_category.unionByName(per_row)
     return both.withColumn("weighted_points", X.rounded(F.col("weight_pct") * (F.col("grade_pct") / 100), 6))
@@ -234,7 +255,6 @@ def grade_members(rows: DataFrame, *, now: datetime) -> DataFrame:
     # the category total is pre-aggregated and joined back: no task has to hold one whole category
     totals = members.groupBy(*keys).agg(F.sum(F.when(F.col("effective_pct").isNotNull(), exact(F.col("units")))).alias("total"))
     share = X.rounded(F.col("units") / F.col("total").cast("double") * 100, 2)
-    zero = F.col("effective_pct").isNotNull() & grade_of().isNull() & (F.col("effective_pct") == 0)
     return (
         members.join(totals.where("total > 0"), keys, "inner")
         .select(
@@ -246,7 +266,7 @@ def grade_members(rows: DataFrame, *, now: datetime) -> DataFrame:
             F.col("units").alias("category_weight_units"),
             X.positive_or_missing(F.col("points_possible")).alias("points_possible"),
             "points_earned",
-            F.when(zero, ZERO_NOTE).alias("note"),
+            F.when(missing_as_zero(), ZERO_NOTE).alias("note"),
         )
     )
 

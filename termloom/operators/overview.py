@@ -132,16 +132,15 @@ def syllabus_url(d2l_url: Column, d2l_course_id: Column) -> Column:
 
 def course_health(courses: DataFrame, rows: DataFrame, *, now: datetime) -> DataFrame:
     """Each course with its grade, band and counts. The grade uses all rows, the detail only relevant ones."""
-    final = G.course_grades(rows, now=now).select(*COURSE, F.col("final_grade_pct").alias("_computed"))
-    shown = relevant(rows)
-    detail = G.course_grades(shown, now=now).select(
-        *COURSE, F.col("final_grade_pct").alias("detail_grade_pct"), "numerator_weighted_points", "total_weight_pct"
+    marked = rows.withColumn("_relevant", F.coalesce(is_relevant(), F.lit(False)))
+    # both populations and the counts from one aggregate
+    sums = G.course_grades(
+        marked, now=now, populations={"_all": None, "_shown": F.col("_relevant")},
+        counted={"_n": F.col("_relevant"), "_open": F.col("_relevant") & is_open_due()},
     )
-    counted = shown.groupBy(*COURSE).agg(
-        F.count(F.lit(1)).alias("_n"), F.count_if(is_open_due()).alias("_open")
-    )
-    joined = courses.join(final, COURSE, "left").join(detail, COURSE, "left").join(counted, COURSE, "left")
-    grade = F.coalesce("_computed", "current_grade_pct")
+    detail = lambda n: F.when(F.col("_n") > 0, F.col(n + "_shown"))
+    joined = courses.join(sums, COURSE, "left")
+    grade = F.coalesce("final_grade_pct_all", "current_grade_pct")
     return joined.select(
         *COURSE,
         "code",
@@ -155,9 +154,9 @@ def course_health(courses: DataFrame, rows: DataFrame, *, now: datetime) -> Data
         F.coalesce("_n", F.lit(0)).alias("assignment_count"),
         F.coalesce("_open", F.lit(0)).alias("upcoming_count"),
         syllabus_url(F.col("d2l_url"), F.col("d2l_course_id")).alias("syllabus_url"),
-        "detail_grade_pct",
-        "numerator_weighted_points",
-        "total_weight_pct",
+        detail("final_grade_pct").alias("detail_grade_pct"),
+        detail("numerator_weighted_points").alias("numerator_weighted_points"),
+        detail("total_weight_pct").alias("total_weight_pct"),
     )
 
 

@@ -262,10 +262,22 @@ def extraction_to_courses(courses: DataFrame, facts: DataFrame, homes: DataFrame
     )
 
 
-def resolve_urls(facts: DataFrame, artifacts: DataFrame) -> DataFrame:
-    """URL of each fact: first cited artifact with one (its own, else its parent's), else first artifact of the platform."""
+def cited_by_children(cited: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Artifacts a fact names, from its child rows: cited ids in their order, then those of its evidence."""
     keys = [*COURSE, "fact_key"]
-    cited = facts.select(
+    last = evidence.groupBy(*keys, "artifact_id").agg(F.min("first_at").alias("first_at"))
+    return cited.select(*keys, F.struct(F.lit(0).alias("kind"), F.lit(None).cast(last.schema["first_at"].dataType).alias("at"), F.col("artifact_id").alias("name")).alias("pos"), "artifact_id").unionByName(
+        last.select(*keys, F.struct(F.lit(1).alias("kind"), F.col("first_at").alias("at"), F.col("artifact_id").alias("name")).alias("pos"), "artifact_id")
+    )
+
+
+def resolve_urls(facts: DataFrame, artifacts: DataFrame, cited: DataFrame | None = None) -> DataFrame:
+    """URL of each fact: first cited artifact with one (its own, else its parent's), else first artifact of the platform.
+
+    `cited` (fact keys, pos, artifact_id) stands for the lists of the facts where these are rows of their own.
+    """
+    keys = [*COURSE, "fact_key"]
+    cited = cited if cited is not None else facts.select(
         *keys,
         F.posexplode(F.array_distinct(F.concat(
             F.coalesce(F.array_sort("evidence_artifact_ids"), F.array().cast("array<string>")),
@@ -334,24 +346,52 @@ def sync_publisher(courses: DataFrame, assignments: DataFrame, seen: DataFrame,
     return touch_courses(courses, seen), without(merged, doomed), sync_summary(known, batch, doomed)
 
 
-def sync_extraction(
-    courses: DataFrame, assignments: DataFrame, agenda: DataFrame, new_courses: DataFrame, facts: DataFrame, artifacts: DataFrame,
-    *, now: datetime, mode: str = "full",
-):
-    """Tables after an extraction, and the summary. `mode='additive'` keeps rows the extraction does not have."""
+CHILD = ["student_id", "assignment_id"]
+
+
+def orphans_of(doomed: DataFrame) -> DataFrame:
+    return doomed.select("student_id", F.col("id").alias("assignment_id"))
+
+
+def cascade(orphans: DataFrame, children: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Child tables (student_id, assignment_id, ...) without the rows of the orphans; one orphan set serves all of them."""
+    return {name: rows.join(orphans, CHILD, "left_anti") for name, rows in children.items()}
+
+
+def fact_children(facts: DataFrame, ids: DataFrame, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Child rows of facts (fact keys, ...) under the ids of their assignments; `ids`: fact keys, assignment_id."""
+    return {
+        name: rows.join(ids, [*COURSE, "fact_key"]).select(*[c for c in ("student_id", "course_id", "assignment_id", "artifact_id", "quote", "note") if c == "assignment_id" or c in rows.columns]).distinct()
+        for name, rows in tables.items()
+    }
+
+
+def extraction_batch(
+    courses: DataFrame, assignments: DataFrame, new_courses: DataFrame, facts: DataFrame, artifacts: DataFrame,
+    *, now: datetime, mode: str = "full", cited: DataFrame | None = None,
+) -> dict[str, DataFrame]:
+    """What an extraction changes: rows of `courses` and `assignments`, the assignments `merged` with the table, `doomed` ones, and `ids` of its facts."""
     homes = lms_home(new_courses, artifacts)
     batch_c = one_per_key(_fitted(extraction_to_courses(new_courses, facts, homes, courses), courses), COURSE)
     stamped = facts if "extracted_at" in facts.columns else facts.join(new_courses.select(*COURSE, "extracted_at"), COURSE)
     # two facts may name one assignment
-    batch_a = one_per_key(extraction_to_assignments(stamped, resolve_urls(facts, artifacts), now=now), KEY)
+    batch_a = one_per_key(extraction_to_assignments(stamped, resolve_urls(facts, artifacts, cited), now=now), KEY)
     merged = upsert(assignments, batch_a, KEY)
     doomed = missing_extraction(merged, batch_c, batch_a)
-    if mode == "additive":
-        doomed = doomed.limit(0)
-    orphans = doomed.select("student_id", F.col("id").alias("assignment_id"))
+    ids = facts.select(*COURSE, "fact_key", X.assignment_key(F.col("course_id"), F.col("title"), F.col("first_artifact_id")).alias("assignment_id"))
+    return {"courses": batch_c, "assignments": batch_a, "merged": merged, "doomed": doomed.limit(0) if mode == "additive" else doomed, "ids": ids}
+
+
+def sync_extraction(
+    courses: DataFrame, assignments: DataFrame, agenda: DataFrame, new_courses: DataFrame, facts: DataFrame, artifacts: DataFrame,
+    *, now: datetime, mode: str = "full",
+):
+    """Tables after an extraction, and the summary. `mode='additive'` keeps rows the extraction does not have."""
+    batch = extraction_batch(courses, assignments, new_courses, facts, artifacts, now=now, mode=mode)
+    doomed = batch["doomed"]
     return (
-        upsert(courses, batch_c, COURSE), without(merged, doomed),
-        agenda.join(orphans, ["student_id", "assignment_id"], "left_anti"), sync_summary(batch_c, batch_a, doomed),
+        upsert(courses, batch["courses"], COURSE), without(batch["merged"], doomed),
+        cascade(orphans_of(doomed), {"agenda": agenda})["agenda"], sync_summary(batch["courses"], batch["assignments"], doomed),
     )
 
 
@@ -388,11 +428,22 @@ def append_log(events: DataFrame, *, batch: int, sequence: str = "position", pre
 def query_log(
     log: DataFrame, *, course_id: str | None = None, assignment_id: str | None = None, limit: int = 200
 ) -> DataFrame:
-    """The newest `limit` entries, newest first. A limit below 1 is refused."""
+    """The newest `limit` entries, newest first. A limit below 1 is refused.
+
+    Of a log with the partition column `batch` only the newest batches that hold enough entries are read: ids grow with the batch.
+    """
     if limit < 1:
         raise ValueError("limit must be 1 or more")
     if course_id is not None:
         log = log.where(F.col("course_id") == course_id)
     if assignment_id is not None:
         log = log.where(F.col("assignment_id") == assignment_id)
+    if "batch" in log.columns:
+        newest = log.groupBy("batch").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("batch")).limit(limit).collect()
+        held, oldest = 0, None
+        for r in newest:
+            held, oldest = held + r["n"], r["batch"]
+            if held >= limit:
+                break
+        log = log.where(F.lit(False) if oldest is None else F.col("batch") >= oldest).drop("batch")
     return log.orderBy(F.desc("log_id")).limit(limit)

@@ -28,6 +28,10 @@ LOG = """log_id bigint, created_at timestamp, student_id bigint, course_id strin
 AGENDA = """student_id bigint, assignment_id string, agenda_date date, planned_minutes int, priority_score double,
   notes string"""
 
+FACT_EVIDENCE = "student_id bigint, course_id string, assignment_id string, artifact_id string, quote string"
+FACT_NOTES = "student_id bigint, course_id string, assignment_id string, note string"
+FACT_ARTIFACTS = "student_id bigint, course_id string, assignment_id string, artifact_id string"
+
 TOPIC = (
     "struct<title:string,url:string,module_title:string,content_type:string,launch_url:string,extracted_text:string>"
 )

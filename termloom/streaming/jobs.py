@@ -2,18 +2,82 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from datetime import UTC, datetime
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from termloom import schemas
+from termloom.functions import text as X
 from termloom.plans.refresh import sync_lms_frames
 from termloom.session import configure
 from termloom.sources.snapshots import explode_lms_snapshot
 from termloom.sources.tables import TableStore
 
+ARRIVED = "student_id bigint, course_id string, fetched_at timestamp, body string"
+
+
+def _newest(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Rows of a course that are as new as anything seen of it; the state is the instant of the newest, in microseconds."""
+    micros = lambda t: pd.Timestamp(t).value // 1000
+    newest = state.get[0] if state.exists else None
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        for row in batch.itertuples(index=False):
+            at = micros(row.fetched_at)
+            if newest is None or at > newest:
+                newest, held = at, []
+            if at == newest:
+                held.append((row.student_id, row.course_id, row.fetched_at, row.body))
+    if newest is not None:
+        state.update((newest,))
+    yield pd.DataFrame(held, columns=["student_id", "course_id", "fetched_at", "body"])
+
+
+def newest_only(arriving: DataFrame) -> DataFrame:
+    """Of a stream of captured courses (student_id, course_id, fetched_at, body) those that no newer one preceded.
+
+    The state holds one instant per course, so documents that arrive late are dropped before anything is merged; of a batch only the newest
+    of a course comes through, and one that is delivered again comes through again. Rows without an instant are dropped.
+    """
+    known = arriving.where("fetched_at is not null").select("student_id", "course_id", "fetched_at", "body")
+    return known.groupBy("student_id", "course_id").applyInPandasWithState(_newest, ARRIVED, "newest bigint", "append", GroupStateTimeout.NoTimeout)
+
+
+def captured_courses(snapshots: DataFrame) -> DataFrame:
+    """Documents as one row per course, the course itself as JSON."""
+    each = snapshots.select("student_id", "fetched_at", F.explode("courses").alias("c"))
+    return each.select("student_id", X.course_key(F.col("c.code"), F.col("c.semester")).alias("course_id"), "fetched_at", F.to_json("c").alias("body"))
+
+
+def snapshots_of(courses: DataFrame) -> DataFrame:
+    """Documents of one course each, from the rows of `captured_courses`."""
+    spec = schemas.LMS_COURSE.replace("\n", " ")
+    return courses.select("student_id", "fetched_at", F.lit(None).cast("string").alias("source_url"), F.array(F.from_json("body", spec)).alias("courses"))
+
+
+def sync_arriving(
+    arriving: DataFrame, root: str, checkpoint: str, *, tz: str, clock: Callable[[], datetime] = lambda: datetime.now(UTC)
+) -> StreamingQuery:
+    """Synchronise a stream of LMS documents into the tables below `root`; a micro-batch rewrites the buckets of its students only."""
+    store = TableStore(configure(arriving.sparkSession), root)
+
+    def one_batch(batch: DataFrame, _: int) -> None:
+        if not batch.isEmpty():
+            sync_lms_frames(store, explode_lms_snapshot(snapshots_of(batch)), tz=tz, now=clock())
+
+    return (
+        newest_only(captured_courses(arriving))
+        .writeStream.foreachBatch(one_batch)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
 
 def stream_sync(
     spark: SparkSession, snapshot_dir: str, root: str, checkpoint: str, *, tz: str,
@@ -21,27 +85,15 @@ def stream_sync(
 ) -> StreamingQuery:
     """Synchronise every arriving LMS snapshot once; an older snapshot never replaces a newer one.
 
-    A micro-batch writes the next generation of the tables, whatever wrote the ones before. A batch that is repeated after a
-    failure merges the same rows again, which changes nothing.
+    A batch that is repeated after a failure merges the same rows again, which changes nothing.
     """
-    configure(spark)
-    store = TableStore(spark, root)
     arriving = (
-        spark.readStream.schema(schemas.LMS_SNAPSHOT.replace("\n", " "))
+        configure(spark).readStream.schema(schemas.LMS_SNAPSHOT.replace("\n", " "))
         .option("multiLine", True)
         .option("maxFilesPerTrigger", files_per_batch)
         .json(snapshot_dir)
     )
-
-    def one_batch(batch: DataFrame, _: int) -> None:
-        sync_lms_frames(store, explode_lms_snapshot(batch), tz=tz, now=clock())
-
-    return (
-        arriving.writeStream.foreachBatch(one_batch)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return sync_arriving(arriving, root, checkpoint, tz=tz, clock=clock)
 
 
 def distinct_events(events: DataFrame, *, key: str = "event_id", time: str = "ts", delay: str = "1 hour") -> DataFrame:

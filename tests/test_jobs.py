@@ -120,7 +120,7 @@ def test_log_ids_never_repeat(spark, tmp_path):
     log = store.read("log")
     assert log.count() == 12 and log.select("log_id").distinct().count() == 12
     again = snapshots.read_extraction(spark, x)["provenance"].withColumn("created_at", F.col("extracted_at"))
-    refresh.write_log(store, again, store.version("courses"))
+    refresh.write_log(store, again, store.version("sync_summary"))
     assert store.read("log").count() == 12
     with pytest.raises(ValueError):
         refresh.refresh(spark, str(tmp_path / "tables"), extraction_path=x, tz=TZ, now=NOW)
@@ -209,7 +209,7 @@ def test_stream_sync_keeps_the_newest_snapshot(spark, tmp_path):
     jobs.stream_sync(spark, str(folder), root, mark, tz=TZ, clock=lambda: NOW).awaitTermination()
     store = TableStore(spark, root)
     assert [r["points_earned"] for r in store.read("assignments").where("points_possible = 100").collect()] == [80.0]
-    assert store.version("courses") == 2
+    assert store.version("sync_summary") == 2
 
 
 def test_stream_log_drops_repeats(spark, tmp_path):
