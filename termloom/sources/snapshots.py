@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from termloom import schemas
 from termloom.functions import text as X
 from termloom.operators.normalize import primary_tool
+from termloom.session import stage
 
 COURSE = ["student_id", "course_id"]
-OUTLINE_OFFSET = 1_000_000
+# positions of outline topics start behind those of any other list: an array holds fewer elements than this
+OUTLINE_OFFSET = 1 << 32
 SUPPORTED = ("cengage_mindtap", "pearson_mylab")
 
 
@@ -39,7 +41,7 @@ def explode_lms_snapshot(snapshots: DataFrame) -> dict[str, DataFrame]:
     kinds = (("syllabus_topics", "syllabus", 0), ("external_tools", "external", 0), ("content_outline_topics", "outline", OUTLINE_OFFSET))
     topics = None
     for field, kind, offset in kinds:
-        one = flat(field).withColumns({"kind": F.lit(kind), "position": F.col("position") + offset})
+        one = flat(field).withColumns({"kind": F.lit(kind), "position": F.col("position").cast("long") + offset})
         topics = one if topics is None else topics.unionByName(one)
     courses = each.select(
         *base, "course_position", F.col("c.course_id").alias("d2l_course_id"), "c.code", "c.name", "c.offering_code", "c.semester",
@@ -67,18 +69,21 @@ def read_crawl_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, Data
 
 
 def read_artifact_bodies(spark: SparkSession, artifacts: DataFrame, bodies_path: str) -> DataFrame:
-    """Artifacts with the text and HTML stored below `bodies_path`; a missing file gives null.
+    """Artifacts with the text (`body`) and HTML (`html`) stored below `bodies_path`; a missing file gives null.
 
-    The folder is scanned once and joined by path, so no file is opened from the driver.
+    Each artifact names up to two paths; these are rows with their role, joined with one scan of the folder and pivoted back, so no file is
+    opened from the driver and the texts are shuffled once by path and once by artifact.
     """
     files = spark.read.option("recursiveFileLookup", True).text(bodies_path, wholetext=True).select(
         F.url_decode(F.replace(F.regexp_replace("_metadata.file_path", r"^file:/+", "/"), F.lit("+"), F.lit("%2B"))).alias("path"), F.col("value")
     )
     local = lambda c: F.regexp_replace(c, r"^file:/+", "/")
-    text = files.select(F.col("path").alias("_text_path"), F.col("value").alias("body"))
-    page = files.select(F.col("path").alias("_html_path"), F.col("value").alias("html"))
-    keyed = artifacts.withColumns({"_text_path": local("text_path"), "_html_path": local("html_path")})
-    return keyed.join(text, "_text_path", "left").join(page, "_html_path", "left").drop("_text_path", "_html_path")
+    numbered = stage(artifacts.withColumn("_row", F.monotonically_increasing_id()))
+    role = lambda name, path: F.struct(F.lit(name).alias("role"), local(path).alias("path"))
+    named = numbered.select("_row", F.explode(F.array(role("body", "text_path"), role("html", "html_path"))).alias("r")).select("_row", "r.*")
+    found = named.where("path is not null").join(files, "path")
+    held = found.groupBy("_row").agg(*[F.max(F.when(F.col("role") == name, F.col("value"))).alias(name) for name in ("body", "html")])
+    return numbered.join(held, "_row", "left").drop("_row")
 
 
 def read_extraction(spark: SparkSession, path: str) -> dict[str, DataFrame]:
