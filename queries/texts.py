@@ -84,6 +84,30 @@ def numbers(spark, sf):
     )
 
 
+def order_dates(spark, sf):
+    """The dates of all orders, written in each of the forms that due texts come in, parsed back."""
+    at = F.expr("cast(o_orderdate as timestamp) + make_interval(0, 0, 0, 0, 0, 360 + o_orderkey % 1000, 0)")
+    forms = ("MMM d, yyyy h:mm a", "MMMM d, yyyy h:mm a", "MMM d yyyy h:mm a", "M/d/yyyy h:mma", "MM/dd/yy hh:mm a", "MMM d h:mm a", "MMM d")
+    text = F.coalesce(*[F.when(F.col("o_orderkey") % len(forms) == k, F.date_format(at, f)) for k, f in enumerate(forms)])
+    orders = V.table(spark, sf, "orders").select("o_orderkey", at.alias("at"), text.alias("t"))
+    # the year of a text without one is that of its reference
+    reference = F.to_utc_timestamp("at", V.TZ)
+    return orders.select("o_orderkey", stamp(F.coalesce(X.due_flexible(F.col("t"), reference, V.TZ), X.due_slashed(F.col("t"), V.TZ))).alias("due_at"))
+
+
+def line_numbers(spark, sf):
+    """Numbers of all order lines written as fraction, percentage, score and minutes, parsed back."""
+    n, d = F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string")
+    q = F.col("l_quantity").cast("string")
+    forms = (F.concat(q, F.lit(" / "), d), F.concat(q, F.lit(" %")), F.concat(q, F.lit("/"), d, F.lit(" points")), F.concat(F.lit("About "), n, F.lit("-"), d, F.lit(" minutes left")), F.concat(F.lit("--/"), d, F.lit(" Points")), F.concat(d, F.lit("% done")))
+    text = F.coalesce(*[F.when((F.col("l_orderkey") + F.col("l_suppkey")) % len(forms) == k, f) for k, f in enumerate(forms)])
+    t = F.col("t")
+    a, b = X.fraction(t)
+    e, p, pct = X.score(t)
+    lines = V.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", text.alias("t"))
+    return lines.select("l_orderkey", "l_linenumber", "l_suppkey", a.alias("left_side"), b.alias("right_side"), X.percent(t).alias("pct"), e.alias("earned"), p.alias("possible"), pct.alias("score_pct"), X.minutes(t).alias("minutes"))
+
+
 def primary_tool(spark, sf):
     words = ("Assignments", "MindTap", "Pearson Dashboard", "eText", "Support")
     part = V.table(spark, sf, "part")
@@ -415,6 +439,17 @@ SLUG = lambda x: f"coalesce(nullif(trim(regexp_replace(lower({x}), '[^a-z0-9]+',
 PE = r"'programming-exercise-' || replace(nullif(regexp_extract(title, 'programming\s+exercise\s+(\d+(?:\.\d+)?)', 1, 'i'), ''), '.', '-')"
 
 QUERIES = {
+    "order_dates": (
+        order_dates,
+        """select o_orderkey, strftime(timezone('UTC', timezone('America/Chicago', case o_orderkey % 7 when 6 then cast(cast(o_orderdate as date) as timestamp) + interval 1439 minute
+          else cast(o_orderdate as timestamp) + to_minutes(360 + o_orderkey % 1000) end)), '%Y-%m-%d %H:%M:%S') as due_at from orders""",
+    ),
+    "line_numbers": (
+        line_numbers,
+        """with l as (select *, (l_orderkey + l_suppkey) % 6 as f, l_partkey::double as d, l_quantity::double as q from lineitem)
+          select l_orderkey, l_linenumber, l_suppkey, case f when 0 then q end as left_side, case f when 0 then d end as right_side, case f when 1 then q end as pct, case f when 2 then q end as earned,
+          case when f in (2, 4) then d end as possible, case f when 2 then round(q / nullif(d, 0) * 100, 2) when 5 then d end as score_pct, case f when 3 then cast(round_even((l_linenumber + l_partkey) / 2, 0) as int) end as minutes from l""",
+    ),
     "match_keys": (
         match_keys,
         "with src as (select p_partkey, p_name || ' ' || (" + TITLES_SQL + f")[p_partkey % {len(TITLES)} + 1] as title from part), "

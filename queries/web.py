@@ -79,6 +79,43 @@ def relevant_publisher_links(spark, sf):
     return L.relevant_links(_named(spark, sf), platform="pearson_mylab").select("page_id", "position", "text")
 
 
+TOPIC_MODULES = ("Week 1", "Panopto recordings", "Grades and policies", "Chat room", "Echo360", "Start")
+
+
+def _topics(spark, sf):
+    module = F.element_at(F.array(*[F.lit(m) for m in TOPIC_MODULES]), (F.col("position") % len(TOPIC_MODULES) + 1).cast("int"))
+    return _named(spark, sf).select("page_id", "position", F.col("text").alias("title"), "url", module.alias("module_title"))
+
+
+def relevant_topics(spark, sf):
+    return L.relevant_topics(_topics(spark, sf)).select("page_id", "position", "title", "module_title")
+
+
+def relevant_wrappers(spark, sf):
+    return L.relevant_topics(_topics(spark, sf), wrappers=True).select("page_id", "position", "title", "module_title")
+
+
+def _nav_links(spark, sf):
+    return _named(spark, sf).select(
+        "student_id", F.col("page_id").cast("string").alias("course_id"), "page_id", "position", "page_url", "url", "text", (F.col("position") % 2 == 0).alias("has_href"),
+    )
+
+
+def nav_plan_picked(spark, sf):
+    """Every third page has picks (every second link, last first); the others go by words."""
+    links = _nav_links(spark, sf).where(F.col("url").rlike("^https?:"))
+    inside = links.where("lower(regexp_extract(url, '://([^/?#]*)', 1)) = lower(regexp_extract(page_url, '://([^/?#]*)', 1))")
+    counts = inside.where("page_id % 3 = 0").groupBy("student_id", "course_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    picks = counts.where("n > 0").select("student_id", "course_id", F.explode(F.expr("filter(sequence(0, n - 1), i -> i % 2 = 0)")).alias("index"), "n")
+    picks = picks.select("student_id", "course_id", "index", (F.col("n") - F.col("index")).alias("rank"))
+    return L.publisher_nav_plan(links, picks, platform="cengage_mindtap").select("course_id", "step", "position", "text")
+
+
+def nav_plan_labels(spark, sf):
+    """The other platform: links without a target count, first of each label, the first five pages."""
+    return L.publisher_nav_plan(_nav_links(spark, sf), platform="pearson_mylab", budget=5).select("course_id", "step", "position", "text")
+
+
 def tool_scores(spark, sf):
     named = _named(spark, sf).select("page_id", "position", F.col("text").alias("name"), "url")
     return L.tool_scores(named).select("page_id", "position", "slot", "score")
@@ -141,6 +178,13 @@ LMS_SQL = f"""not regexp_matches(lower(text || ' ' || url), '{_alternation(L.SKI
   or regexp_matches(lower(text || '  ' || {PATH_SQL}), '\\b(course\\s*work|classwork|schoolwork)\\b'))"""
 PUBLISHER_SQL = f"""not regexp_matches(lower(text || ' ' || url), '{_alternation(L.SKIP)}') and (regexp_matches(lower(text || ' ' || url), '{_alternation(L.INCLUDE)}')
   or regexp_matches(lower(text || ' ' || url), '\\b(course\\s*work|classwork|schoolwork)\\b'))"""
+TOPICS_SQL = f"select page_id, position, text as title, url, ([{', '.join(repr(m) for m in TOPIC_MODULES)}])[position % {len(TOPIC_MODULES)} + 1] as module_title from ({NAMED_SQL})"
+TOPIC_HAY = "lower(title || ' ' || url || ' ' || module_title)"
+TOPIC_SIGNAL = f"lower(title || ' ' || module_title || ' ' || {PATH_SQL})"
+WRAPPER_SQL = f"""not regexp_matches({TOPIC_HAY}, '{_alternation(L.SKIP + L.LMS_SKIP)}') and (regexp_matches(lower(title), '{_alternation(L.LMS_FORCED)}') or regexp_matches(lower(module_title), '{_alternation(L.LMS_FORCED)}')
+  or regexp_matches(lower(url), '{_alternation(L.WRAPPER_FRAGMENTS)}') or regexp_matches({TOPIC_SIGNAL}, '{_alternation(L.INCLUDE + L.LMS_INCLUDE)}')
+  or regexp_matches({TOPIC_SIGNAL}, '\\b(course\\s*work|classwork|schoolwork)\\b'))"""
+INSIDE_SQL = """regexp_matches(url, '^https?:') and lower(regexp_extract(url, '://([^/?#]*)', 1)) = lower(regexp_extract(page_url, '://([^/?#]*)', 1))"""
 SLOTS_SQL = " union all ".join(
     f"select page_id, position, '{slot}' as slot, cast(" + " + ".join(f"case when contains(hay, '{w}') then 1 else 0 end" for w in words) + " as int) as score from h"
     for slot, _, words in L.SURFACES
@@ -194,6 +238,20 @@ QUERIES = {
           from ({NAMED_SQL}) where regexp_matches(url, '^https?:') and lower(regexp_extract(url, '://([^/?#]*)', 1)) = lower(regexp_extract(page_url, '://([^/?#]*)', 1))
           and {PUBLISHER_SQL} and url <> page_url)""",
     ),
+    "relevant_topics": (relevant_topics, f"select page_id, position, title, module_title from ({TOPICS_SQL}) where not regexp_matches({TOPIC_HAY}, '{_alternation(L.SKIP + L.LMS_SKIP + L.TOPIC_SKIP)}')"),
+    "relevant_wrappers": (relevant_wrappers, f"select page_id, position, title, module_title from ({TOPICS_SQL}) where {WRAPPER_SQL}"),
+    "publisher_nav_plan_picked": (
+        nav_plan_picked,
+        f"""with i as (select *, row_number() over (partition by page_id order by position) as n, count(*) over (partition by page_id) as total from ({NAMED_SQL}) where {INSIDE_SQL}),
+          c as (select *, total - (n - 1) as rank from i where page_id % 3 = 0 and n % 2 = 1 union all select *, n from i where page_id % 3 <> 0 and {PUBLISHER_SQL})
+          select cast(page_id as varchar) as course_id, row_number() over (partition by page_id order by rank) as step, position, text from c where url <> page_url""",
+    ),
+    "publisher_nav_plan_labels": (
+        nav_plan_labels,
+        f"""with i as (select *, row_number() over (partition by page_id order by position) as n from ({NAMED_SQL}) where position % 2 = 1),
+          f as (select page_id, lower(trim(text)) as label, arg_min({{'n': n, 'p': position, 't': text}}, n) as f from i where {PUBLISHER_SQL} group by all)
+          select course_id, step, position, text from (select cast(page_id as varchar) as course_id, row_number() over (partition by page_id order by f.n) as step, f.p as position, f.t as text from f) where step <= 5""",
+    ),
     "expand_frontier": (
         frontier,
         """with recursive top as (select max(page_id) as last from pages), walk as (select page_id % 10 as site, 1 as i, [min(page_id)] as q, [0] as lv, (select last from top) as last from pages group by 1 union all

@@ -292,9 +292,10 @@ def due_flexible(text: Column, reference: Column, tz: str) -> Column:
 def due_slashed(text: Column, tz: str) -> Column:
     """'03/25/2026 10:59 PM' with two- or four-digit year, blank before AM/PM optional."""
     t = F.regexp_replace(F.upper(squash(text)), r"\s*([AP]M)$", " $1")
-    return in_zone(
-        F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in ("M/d/yyyy h:mm a", "M/d/yy h:mm a")]), tz
-    )
+    short = F.try_to_timestamp(t, F.lit("M/d/yy h:mm a"))
+    # two digits from 69 on are years of the last century
+    short = F.when(F.year(short) >= 2069, short - F.make_interval(years=F.lit(100))).otherwise(short)
+    return in_zone(F.coalesce(F.try_to_timestamp(t, F.lit("M/d/yyyy h:mm a")), short), tz)
 
 
 HAS_OFFSET = r"(Z|[+-]\d{2}:?\d{2})$"

@@ -174,6 +174,13 @@ def relevant_links(links: DataFrame, *, platform: str = "lms") -> DataFrame:
     return links.where(test(F.col("text"), F.col("url")))
 
 
+def relevant_topics(topics: DataFrame, *, wrappers: bool = False) -> DataFrame:
+    """Topics of a content page (title, url, module_title) worth opening: all but recordings and the like; `wrappers`: pages that embed a
+    tool, which must carry a signal themselves, in their module or in their URL."""
+    test = wrapper_relevant if wrappers else topic_relevant
+    return topics.where(test(F.col("title"), F.col("url"), F.col("module_title")))
+
+
 # ---------------------------------------------------------------- links of pages
 
 
