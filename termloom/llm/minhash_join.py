@@ -9,6 +9,8 @@ least hash of its shingles under each of COORDINATES hash functions; two nodes o
   values, as of a passage that many documents share, end up behind the prefix.
 * Collisions of a pair are counted at once: signatures are kept as bit slices, one long per bit of all coordinates, so the equal coordinates
   of two nodes are those without a difference in any slice.
+* A pair whose sets differ in too many shingles is dropped before it leaves the join: of each set the parity of its shingles in each of 512
+  classes is kept, and two sets differ in at least as many shingles as they have classes of different parity.
 * Skipping: in each list the node whose values are the most frequent is compared with all others. Most groups of copies hang together
   after that, and lists within one component are done. In the lists that are left, only pairs of different components are of interest: those
   off the list's main component with all others. Long lists are not paired as they stand: their nodes are posted again under
@@ -34,6 +36,8 @@ WORDS = 5
 PERCENT = 85
 COORDINATES = 64
 SLICES = 8
+# longs of parity bits of a set
+PARITIES = 8
 MISS = 1e-9
 # lists of more nodes are split by shingles before they are paired
 LONG = 256
@@ -81,8 +85,14 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return least
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """For each class of hashes whether the set holds an odd number of them, as bits of longs."""
+    count = np.bincount((shingles >> np.uint64(40)).astype(np.int64) % (64 * PARITIES), minlength=64 * PARITIES)
+    return np.packbits((count & 1).astype(bool), bitorder="little").view("<i8")
+
+
 def described(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, row, c1, c2, n, s0.., values) of each row: hash of the set (128 bits), its size, slices and values of the signature.
+    """(doc_id, row, c1, c2, n, s0.., o0.., values) of each row: hash of the set (128 bits), its size, slices of the signature, parities, values.
 
     `row` is a hash of doc_id and text. Without words n is 0 and the rest null.
     """
@@ -103,13 +113,18 @@ def described(docs: DataFrame, words: int) -> DataFrame:
             return out
 
         out = {"doc_id": batch.column(0), "row": batch.column(1), "c1": spread(c1), "c2": spread(c2), "n": [len(s) for s in sets], "values": spread(values.view(np.int64))}
+        odd = np.array([parities(sets[k]) for k in full], dtype=np.int64).reshape(-1, PARITIES)
+        out |= {f"o{b}": spread(odd[:, b].tolist()) for b in range(PARITIES)}
         return out | {f"s{b}": spread(s) for b, s in enumerate(slices)}
 
-    kinds = {"doc_id": "long", "row": "long", "c1": "long", "c2": "long", "n": "long"} | {f"s{b}": "long" for b in range(SLICES)} | {"values": "array<long>"}
+    kinds = dict.fromkeys(["doc_id", "row", "c1", "c2", *FACTS[1:]], "long") | {"values": "array<long>"}
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row"), F.col("text").cast("string").alias("text"))
     return arrow_map(picked, kinds, work)
 
 
+FACTS = ["node", "n", *(f"s{b}" for b in range(SLICES)), *(f"o{b}" for b in range(PARITIES))]
+
+
 def side(posts: DataFrame, name: str, columns: list[str]) -> DataFrame:
     return posts.select(*[F.col(c).alias(f"{c}_{name}") for c in columns])
 
@@ -119,12 +134,10 @@ def collide(least: int) -> str:
     return f"bit_count(~({' | '.join(f'(s{b}_a ^ s{b}_b)' for b in range(SLICES))})) >= {least}"
 
 
-def sized(percent: int) -> str:
-    """SQL: whether two sets of sizes n_a and n_b can be that similar."""
-    return f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
-
-
-FACTS = ["node", "n", *(f"s{b}" for b in range(SLICES))]
+def alike(percent: int) -> str:
+    """SQL: whether two sets can be that similar by their sizes and parities; never false for sets that are."""
+    differ = " + ".join(f"bit_count(o{b}_a ^ o{b}_b)" for b in range(PARITIES))
+    return f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) and {100 + percent} * ({differ}) <= {100 - percent} * (n_a + n_b)"
 
 
 def rarest(rows: DataFrame, key: str, need: str) -> DataFrame:
@@ -171,7 +184,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def links(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of `nodes` (node, row, n, s0.., values) that connect all nodes that are connected by similarity."""
+    """Pairs (a, b) of `nodes` (node, row, n, s0.., o0.., values) that connect all nodes that are connected by similarity."""
     least = matches(percent)
     values = nodes.select("node", F.explode("values").alias("value"))
     several = stage(values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"))
@@ -182,11 +195,11 @@ def links(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFr
     leaders = stage(leaders.select(F.col("key").alias("k"), "members", *[F.col(f"lead.{c}").alias(f"{c}_b") for c in FACTS]))
     listed = posts.join(leaders, F.expr("key = k"))
     sets = stage(full_sets(docs, stage(listed.select("node", "row").distinct()), words))
-    star = side(posts, "a", ["key", *FACTS]).join(leaders, F.expr(f"key_a = k and node_a <> node_b and {sized(percent)} and {collide(least)}"))
+    star = side(posts, "a", ["key", *FACTS]).join(leaders, F.expr(f"key_a = k and node_a <> node_b and {alike(percent)} and {collide(least)}"))
     star = star.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
     first = stage(confirmed(star, sets, percent))
     roots = components(first)
-    on = f"{sized(percent)} and {collide(least)}"
+    on = f"{alike(percent)} and {collide(least)}"
     short = pairs_across(posts.join(leaders.where(f"members <= {LONG}"), F.expr("key = k"), "left_semi"), roots, on)
     # lists of many nodes: the nodes' rarest shingles among these lists
     crowd = stage(posts.join(leaders.where(f"members > {LONG}"), F.expr("key = k"), "left_semi").select(*FACTS).distinct())
@@ -210,7 +223,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     table gives no rows; further columns are ignored.
     """
     marked = stage(described(docs, words))
-    facts = [F.min(c).alias(c) for c in ("row", "n", *(f"s{b}" for b in range(SLICES)))]
+    facts = [F.min(c).alias(c) for c in ("row", *FACTS[1:])]
     nodes = stage(marked.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"), *facts, F.first("values").alias("values")).withColumn("node", F.col("c1")))
     roots = components(links(docs, nodes, words, percent))
     named = nodes.select("c1", "c2", "node", "first", "rows").join(roots, "node", "left")
