@@ -58,16 +58,16 @@ def minhash_query(spark, sf_dir):
     return minhash_join.op13(read(spark, sf_dir, "documents"))
 
 
-# Lines of 30 characters and more within two edits are linked by brute force. The function counts bytes, so letters of two bytes
+# Lines of 30 characters and more within two edits, and of 12 and more within one, are linked by brute force. The function counts bytes, so letters of two bytes
 # in these tables are first replaced by control characters.
 LINES_SQL = """
 with recursive raw as (select doc_id, text, string_split(text, chr(10)) as parts from documents),
 l as (select doc_id, unnest(range(len(parts))) as pos, unnest(parts) as line from raw where text is not null),
 solid as (select * from l where trim(line, ' ' || chr(9) || chr(13)) <> ''),
 d as (select line, min((doc_id, pos)) as first_at from solid group by line),
-flat as (select line, length(line) as n, translate(line, 'äöüßéèêçáíóñÄÖÜÉÈÊÇÁÍÓÑúÚ©·', chr(1)||chr(2)||chr(3)||chr(4)||chr(5)||chr(6)||chr(7)||chr(8)||chr(11)||chr(12)||chr(14)||chr(15)||chr(16)||chr(17)||chr(18)||chr(19)||chr(20)||chr(21)||chr(22)||chr(23)||chr(24)||chr(25)||chr(26)||chr(27)||chr(28)||chr(29)||chr(30)) as t from d where length(line) >= 30),
+flat as (select line, length(line) as n, translate(line, 'äöüßéèêçáíóñÄÖÜÉÈÊÇÁÍÓÑúÚ©·', chr(1)||chr(2)||chr(3)||chr(4)||chr(5)||chr(6)||chr(7)||chr(8)||chr(11)||chr(12)||chr(14)||chr(15)||chr(16)||chr(17)||chr(18)||chr(19)||chr(20)||chr(21)||chr(22)||chr(23)||chr(24)||chr(25)||chr(26)||chr(27)||chr(28)||chr(29)||chr(30)) as t from d where length(line) >= 12),
 link as (select a.line as a, b.line as b from flat a join (select *, unnest([-2, -1, 0, 1, 2]) as shift from flat) b on a.n = b.n + b.shift and a.line <> b.line
- where levenshtein(a.t, b.t) <= 2),
+ where levenshtein(a.t, b.t) <= case when least(a.n, b.n) >= 30 then 2 else 1 end),
 reach as (select a as node, a as other from link union select r.node, k.b from reach r join link k on r.other = k.a),
 near as (select r.node as line, min(d.first_at) as first_at from reach r join d on d.line = r.other group by r.node),
 final as (select d.line, coalesce(n.first_at, d.first_at) as first_at from d left join near n on n.line = d.line),
