@@ -2,9 +2,11 @@
 
 Nodes are the tokens of a document that hold a digit or an @; all other tokens are fixed to "none", so chains are the maximal runs of
 neighbouring nodes. Chain potentials join neighbours; skip potentials join each node with the next one, at any distance, that has
-the same letters and digits. Loopy message passing over both gives each node's marginal, so a mention whose form the patterns
+the same letters and digits, and with the next one that has the same key: the name before the @ of an address, or the last digits of a number, which may be
+written over several tokens. Loopy message passing over both gives each node's marginal, so a mention whose form the patterns
 miss takes the label of its other mentions. All weights are learned from a bounded sample of documents, with the patterns'
-spans as labels: a softmax over shape features for nodes, smoothed log ratios for chain and skip potentials.
+spans as labels: a softmax over shape features for nodes, smoothed log ratios for chain and skip potentials. That the patterns are silent about another form
+of a mention they know is no evidence against it, so such nodes and links are left out.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ LABELS = 1 + len(KINDS)
 SAMPLE = 3000
 CERTAIN = 0.9
 ROUNDS = 12
-# tokens longer than this in characters are described by their first and last half of it
-SHAPE_CHARS = 64
+# numbers that end in the same so many digits may be one
+TAIL = 7
 # fixed values: the base patterns
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -87,9 +89,8 @@ def nodes(text: str) -> list[tuple[int, int]]:
 
 def shape(token: str) -> list[str]:
     """Features of a token's form."""
-    short = token if len(token) <= SHAPE_CHARS else token[: SHAPE_CHARS // 2] + token[-SHAPE_CHARS // 2 :]
     digits = sum(c in "0123456789" for c in token)
-    form = re.sub("[0-9]+", "9", re.sub("[^\\W0-9_]+", "a", short))
+    form = re.sub("[0-9]+", "9", re.sub("[^\\W0-9_]+", "a", token))
     out = [f"form={form}", f"digits={min(digits, 20)}", f"dots={min(token.count('.'), 4)}", "bias"]
     out += [f"has={c}" for c in "@+()-.:" if c in token]
     if 12 <= digits <= 19 and digits == len(token.strip(".,;:!?")):
@@ -97,12 +98,34 @@ def shape(token: str) -> list[str]:
     return out
 
 
-def described(text: str) -> tuple[list[tuple[int, int]], list[list[str]], list[bool], list[int]]:
-    """Nodes, their features, whether each follows its predecessor in a chain, and the earlier node each is linked to (-1: none)."""
+def keyed(text: str, spans: list[tuple[int, int]], chained: list[bool]) -> list[str]:
+    """Of each node the key that other forms of its mention share; empty where there is none.
+
+    An address has its name; a number, joined over neighbouring tokens without letters, has its last digits, at its last token.
+    """
+    out, joined = [], ""
+    numeric = [not any(c.isalpha() or c == "@" for c in text[s:e]) for s, e in spans]
+    for k, (s, e) in enumerate(spans):
+        token = text[s:e]
+        if "@" in token:
+            name = "".join(c for c in token.partition("@")[0].lower() if c.isalnum())
+            out.append(f"name {name}" if len(name) >= 3 else "")
+            joined = ""
+            continue
+        own = "".join(c for c in token if c in "0123456789")
+        joined = (joined if chained[k] and numeric[k] and numeric[k - 1] else "") + own
+        last = not (k + 1 < len(spans) and chained[k + 1] and numeric[k] and numeric[k + 1])
+        out.append(f"tail {joined[-TAIL:]}" if last and len(joined) >= TAIL else "")
+    return out
+
+
+def described(text: str) -> tuple[list[tuple[int, int]], list[list[str]], list[bool], list[int], list[int]]:
+    """Nodes, their features, whether each follows its predecessor in a chain, and the earlier nodes each is linked to by equal letters and digits and by its key (-1: none)."""
     spans = nodes(text)
     forms = [shape(text[s:e]) for s, e in spans]
     chained = [k > 0 and text[spans[k - 1][1] : s].strip(" ") == "" and s - spans[k - 1][1] <= 3 for k, (s, _) in enumerate(spans)]
-    feats, seen, skip = [], {}, []
+    feats, seen, skip, similar = [], {}, [], []
+    keys, known = keyed(text, spans, chained), {}
     for k, f in enumerate(forms):
         before = forms[k - 1][0] if chained[k] else "none"
         after = forms[k + 1][0] if k + 1 < len(forms) and chained[k + 1] else "none"
@@ -110,7 +133,11 @@ def described(text: str) -> tuple[list[tuple[int, int]], list[list[str]], list[b
         norm = "".join(c for c in text[spans[k][0] : spans[k][1]].lower() if c.isalnum())
         skip.append(seen.get(norm, -1) if len(norm) >= 4 else -1)
         seen[norm] = k
-    return spans, feats, chained, skip
+        similar.append(known.get(keys[k], -1) if keys[k] else -1)
+        if similar[k] == skip[k]:
+            similar[k] = -1
+        known[keys[k]] = k
+    return spans, feats, chained, skip, similar
 
 
 def labels_of(spans: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> list[int]:
@@ -128,16 +155,26 @@ def learn(texts: list[str]) -> dict:
     chain, skips = np.ones((LABELS, LABELS)), np.ones((LABELS, LABELS))
     np.fill_diagonal(skips, 3.0)
     for text in texts:
-        spans, feats, chained, skip = described(text)
+        spans, feats, chained, skip, similar = described(text)
         y = labels_of(spans, base_spans(text))
+        # nodes the patterns leave out though their mention is known from another form
+        silent = set()
+        for k, j in enumerate(similar):
+            if j >= 0 and (y[k] == 0) != (y[j] == 0):
+                silent.add(k if y[k] == 0 else j)
+        for k in range(len(feats) - 1, 0, -1):
+            if k in silent and chained[k] and y[k - 1] == 0:
+                silent.add(k - 1)
         for k, f in enumerate(feats):
-            rows.append([index.setdefault(x, len(index)) for x in f])
-            gold.append(y[k])
-            if chained[k]:
+            if k not in silent:
+                rows.append([index.setdefault(x, len(index)) for x in f])
+                gold.append(y[k])
+            if chained[k] and not {k, k - 1} & silent:
                 chain[y[k - 1], y[k]] += 1
-            if skip[k] >= 0:
-                skips[y[skip[k]], y[k]] += 1
-                skips[y[k], y[skip[k]]] += 1
+            for j in (skip[k], similar[k]):
+                if j >= 0 and not {k, j} & silent:
+                    skips[y[j], y[k]] += 1
+                    skips[y[k], y[j]] += 1
     weights = np.zeros((max(1, len(index)), LABELS))
     if rows:
         width = np.array([len(r) for r in rows])
@@ -154,11 +191,12 @@ def learn(texts: list[str]) -> dict:
     return {"features": {f: weights[i].tolist() for f, i in index.items()}, "chain": ratio(chain), "skip": ratio(skips)}
 
 
-def infer(feats: list[list[str]], chained: list[bool], skip: list[int], model: dict, rounds: int = ROUNDS) -> np.ndarray:
-    """Marginals of the nodes by loopy sum-product over chain and skip edges; one edge to each predecessor of either kind."""
+def infer(feats: list[list[str]], chained: list[bool], skip: list[int], similar: list[int], model: dict, rounds: int = ROUNDS) -> np.ndarray:
+    """Marginals of the nodes by loopy sum-product over chain and skip edges; one edge to each predecessor of any kind."""
     known, zero = model["features"], [0.0] * LABELS
     local = np.array([np.sum([known.get(x, zero) for x in f], axis=0) for f in feats])
-    edges = [(k - 1, k, 0) for k in range(len(feats)) if chained[k]] + [(skip[k], k, 1) for k in range(len(feats)) if skip[k] >= 0 and not (chained[k] and skip[k] == k - 1)]
+    edges = [(k - 1, k, 0) for k in range(len(feats)) if chained[k]]
+    edges += [(j[k], k, 1) for j in (skip, similar) for k in range(len(feats)) if j[k] >= 0 and not (chained[k] and j[k] == k - 1)]
     belief = local
     if edges:
         a, b, kind = (np.array(x) for x in zip(*edges))
@@ -189,10 +227,10 @@ def all_spans(text: str, model: dict) -> tuple[list[tuple[int, int, int]], list[
     if not ANY.search(text):
         return [], []
     base = base_spans(text)
-    spans, feats, chained, skip = described(text)
+    spans, feats, chained, skip, similar = described(text)
     added, covered = [], labels_of(spans, base)
     if any(c == 0 for c in covered):
-        marginal = infer(feats, chained, skip, model)
+        marginal = infer(feats, chained, skip, similar, model)
         best = marginal.argmax(axis=1)
         for k, (s, e) in enumerate(spans):
             if covered[k] or best[k] == 0 or marginal[k, best[k]] < CERTAIN:

@@ -127,10 +127,27 @@ def test_nearest_with_copies_and_bad_vectors(spark):
 
 
 def test_skip_links_carry_a_label_to_another_form():
-    base = [f"call +1 (234) 555-{k:04d} now or 1234567{k:04d} later" for k in range(200)]
+    # mentions come again, and so do numbers that are none
+    base = [f"call +1 (234) 555-{k:04d} now, room 4{k:03d} of {k % 7} floors, room 4{k:03d}, or +1 (234) 555-{k:04d} later" for k in range(200)]
+    base += [f"mail name{k}@mail.example.com for part 12{k:03d} or part 12{k:03d}, again name{k}@mail.example.com" for k in range(200)]
     model = pii_crf.learn(base)
-    _, feats, chained, skip = (*pii_crf.described("x +12345678901 y 12345678901"),)
-    assert skip == [-1, 0] and pii_crf.infer(feats, chained, skip, model).shape == (2, 5)
+    for text, second in (("call +1 (234) 555-7890 now or 234-555-7890 later", "234-555-7890"), ("mail ann.lee@mail.example.com or ann.lee@localhost now", "ann.lee@localhost")):
+        known, every = pii_crf.all_spans(text, model)
+        added = [x for x in every if x not in known]
+        assert len(known) == 1 and [text[s:e] for s, _, e in added] == [second] and added[0][1] == known[0][1]
+        alone = "now or " + second + " later"
+        assert pii_crf.all_spans(alone, model)[0] == []
+    # bare digits look like any number, yet the other mention speaks for them
+    weight = lambda text: pii_crf.infer(*pii_crf.described(text)[1:], model)[-1, 4]
+    assert weight("call +1 (234) 555-7890 now or 12345557890 later") > 10 * weight("call +1 (234) 555-7891 now or 12345557890 later")
+    # a number that ends otherwise shares no potential
+    spans, _, _, skip, similar = pii_crf.described("call +1 (234) 555-7890 now or 234-555-7891 later")
+    assert set(skip) == set(similar) == {-1}
+
+
+def test_the_middle_of_a_long_token_counts():
+    ends = "a1" * 40
+    assert pii_crf.shape(ends + "@" + ends) != pii_crf.shape(ends + "#" + ends) and pii_crf.shape(ends + "-" + ends)[0] != pii_crf.shape(ends + "/" + ends)[0]
 
 
 def test_pages_without_markup_or_text(spark):
