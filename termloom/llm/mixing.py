@@ -21,14 +21,14 @@ WEIGHTS = 3
 SEED = 17
 # hash buckets of a (source, size) group
 SLICES = 4096
-# widest budget, in words, that the knapsack covers bit by bit; a wider rest first takes the largest documents
+# budget, in words, that the knapsack covers bit by bit; a wider rest first goes to the sizes whose equal share was cut the most
 KNAPSACK = 1 << 18
 SIZE = r"[^\x20\x09-\x0D]+"
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size) of each row; a null text has size 0."""
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(SIZE)), F.lit(0)).cast("long").alias("size"))
+def sizes(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, source, size) of each row, with the columns `keep`; a null text has size 0."""
+    return docs.select(*keep, "doc_id", F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(SIZE)), F.lit(0)).cast("long").alias("size"))
 
 
 def targets(sized: DataFrame) -> DataFrame:
@@ -69,12 +69,15 @@ def fit(size: np.ndarray, count: np.ndarray, budget: int, most: int = 1, knapsac
     else:
         take = np.array([int(c) * budget // total for c in count], dtype=np.int64)
         left = budget - int((take * size).sum())
-        for i in range(len(size)):  # largest first, until the knapsack covers what is left
-            if left <= knapsack:
+        # a wide rest: one more of each size, the largest remainder of its share first, until a few documents' words are left
+        short = np.array([int(c) * budget % total / total for c in count])
+        few = knapsack if left <= knapsack else min(knapsack, 8 * int(size[0]))
+        for i in np.argsort(-short, kind="stable").tolist():
+            if left <= few:
                 break
-            more = min(int(count[i] - take[i]), (left - knapsack) // int(size[i]))
-            take[i] += more
-            left -= more * int(size[i])
+            if take[i] < count[i] and size[i] <= left:
+                take[i] += 1
+                left -= int(size[i])
         more = _knapsack(size, count - take, left)
         if most > 1 and int((more * size).sum()) < left:
             more = _knapsack(size, most * count - take, left)
@@ -111,13 +114,13 @@ def _knapsack(size: np.ndarray, spare: np.ndarray, budget: int) -> np.ndarray:
     return take
 
 
-def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, copies (how often the mix takes it).
+def mix(docs: DataFrame, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, copies (how often the mix takes it), with the columns `keep`.
 
     Null texts have size 0 and are never taken; null sources are a source of their own, the last; repeated rows are
     documents of their own. Without words all targets are 0. An empty table gives no rows.
     """
-    sized = stage(sizes(docs).withColumn("at", F.xxhash64(F.lit(seed), "doc_id", "size")))
+    sized = stage(sizes(docs, keep).withColumn("at", F.xxhash64(F.lit(seed), "doc_id", "size")))
     aims = targets(sized)
     counts = sized.where("size > 0").groupBy("source", "size").agg(F.count("*").alias("n"))
     same = F.expr("source <=> aim_source")
@@ -148,17 +151,24 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     whole = joined.where("room is null or room = n or room = 0").withColumn("extra", F.expr("coalesce(every + if(room = n, 1, 0), 0)"))
     rank = F.row_number().over(Window.partitionBy("source", "size", "slice").orderBy("at", "doc_id"))
     part = joined.where("room > 0 and room < n").withColumn("extra", F.col("every") + (rank <= F.col("room")).cast("int"))
-    taken = whole.unionByName(part).select("doc_id", "source", "size", "extra")
+    taken = whole.unionByName(part).select(*keep, "doc_id", "source", "size", "extra")
     base = chosen.groupBy("source").agg(F.max("copies").alias("copies")).withColumnRenamed("source", "base_source")
     facts = aim.join(base, F.expr("aim_source <=> base_source"), "left").select("aim_source", "source_size", "target", F.coalesce("copies", F.lit(0)).alias("whole_copies"))
     out = taken.join(facts, same)
-    return out.select("doc_id", "source", "size", "source_size", "target", F.when(F.col("size") > 0, F.col("whole_copies") + F.col("extra")).otherwise(0).cast("long").alias("copies"))
+    return out.select(*keep, "doc_id", "source", "size", "source_size", "target", F.when(F.col("size") > 0, F.col("whole_copies") + F.col("extra")).otherwise(0).cast("long").alias("copies"))
 
 
 def op5(docs: DataFrame) -> DataFrame:
+    """`mix` as one row per document with the words taken; odd rows as stated there."""
     return mix(docs).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """One row per document that the mix takes, with the columns doc_id, source, size, copies."""
-    return mix(docs).where("copies > 0").select("doc_id", "source", "size", "copies")
+    """The documents that the mix takes, one row each: the columns of `docs` and `copies`, how often it is taken.
+
+    A column `copies` of `docs` gives way to the new one; other names may be any. Rows are told apart by a number of their own, so repeated ones stay apart.
+    """
+    held = stage(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")))
+    planned = mix(held.select("row", "doc.doc_id", "doc.source", "doc.text"), keep=("row",)).where("copies > 0").select(F.col("row").alias("taken_row"), F.col("copies").alias("n"))
+    columns = [F.col("doc").getField(c).alias(c) for c in docs.columns if c != "copies"]
+    return held.join(planned, F.expr("row = taken_row")).select(*columns, F.col("n").alias("copies"))

@@ -265,7 +265,8 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
             assert len(hit) > 0.5 * n or len(hit) > 400
 
     source, mix = kept["mixing"]
-    assert len({r["doc_id"] for r in mix}) == len(mix) and {r["doc_id"] for r in mix} <= {r["doc_id"] for r in source}
+    assert len({r["doc_id"] for r in mix}) == len(mix) and set(texts(mix).items()) <= set(texts(source).items())
+    assert set(mix[0].asDict()) == {*source[0].asDict(), "copies"}
     check_mix(source, mixing.op5(spark.createDataFrame(source, docs_schema(spark))).collect())
 
 
