@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from termloom.llm.common import stage, utf8
 
+# stands for the missing id of an item
+UNNAMED = -(1 << 63)
 WINDOW = 10
 # words of items in one automaton; more items mean more shards, and one more pass over each text per shard
 SHARD_WORDS = 200_000
@@ -177,16 +179,17 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def automata(bench: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """One pickled automaton per shard of the items, built in tasks; written once. Null items and null texts have no words."""
-    items = bench.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null and item_id is not null")
+    """(shard, automaton): one pickled automaton per shard of the items, built in tasks; written once. Null texts have no words; items without an id are one item, UNNAMED."""
+    items = bench.select(F.coalesce(F.col("item_id").cast("long"), F.lit(UNNAMED)).alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     shards = 1 + total // (2 * shard_words)  # a word has at least one letter and one separator
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pairs = [(int(i), words_of(t.encode())) for i, t in zip(pdf["item_id"], pdf["text"])]
-        return pd.DataFrame({"automaton": [pickle.dumps(vars(Automaton(pairs, window)))]})
+        return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "automaton": [pickle.dumps(vars(Automaton(pairs, window)))]})
 
-    return stage(items.groupBy(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)).alias("shard")).applyInPandas(build, "automaton binary"))
+    dealt = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)))
+    return stage(dealt.groupBy("shard").applyInPandas(build, "shard long, automaton binary"))
 
 
 def hits(docs: DataFrame, bench: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, keep_text: bool = True) -> DataFrame:
@@ -195,15 +198,24 @@ def hits(docs: DataFrame, bench: DataFrame, window: int = WINDOW, shard_words: i
     Without `keep_text` the text inside `doc` comes back null.
 
     Columns of `docs` whose names clash with these are safe inside the struct. Null texts have no words. Repeated rows are
-    scanned each for itself. Without items nothing is hit.
+    scanned each for itself. Without items nothing is hit. Items without an id hit like others but are not named.
+
+    The driver holds one automaton, of SHARD_WORDS words at most, and one is broadcast at a time: with several shards the result of each pass but
+    the last is written before the next one is read.
     """
     spark = docs.sparkSession
     plain = docs.schema
     out = docs.select(F.struct("*").alias("doc"), F.lit(None).cast("array<long>").alias("spans"), F.lit(None).cast("array<long>").alias("items"), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"))
-    shards = [r for r in automata(bench, window, shard_words).toLocalIterator()] or [None]
-    for k, row in enumerate(shards):  # each holds SHARD_WORDS words at most, so what is broadcast at once is bounded
+    machines = automata(bench, window, shard_words)
+    shards = [r["shard"] for r in machines.select("shard").orderBy("shard").collect()] or [None]
+    for k, shard in enumerate(shards):
+        row = None if shard is None else machines.where(F.col("shard") == shard).first()
         held = spark.sparkContext.broadcast(bytes(row["automaton"]) if row else None)
-        out = _pass(out, held, plain.fieldNames().index("text"), keep_text or k + 1 < len(shards))
+        more = k + 1 < len(shards)
+        out = _pass(out, held, plain.fieldNames().index("text"), keep_text or more)
+        if more:
+            out = stage(out)
+            held.destroy()
     return out
 
 
@@ -226,7 +238,7 @@ def _pass(df: DataFrame, held, text_at: int, keep_text: bool) -> DataFrame:
                 pairs = merged([*zip(known[::2], known[1::2]), *got])
                 spans[k] = [x for pair in pairs for x in pair]
                 n_hit.append(sum(e - s for s, e in pairs))
-                items[k] = sorted({*(items[k] or []), *found})
+                items[k] = sorted({*(items[k] or []), *found} - {UNNAMED})
             if not keep_text:
                 fields = [doc.field(i) for i in range(doc.type.num_fields)]
                 fields[text_at] = pa.nulls(len(doc), fields[text_at].type)

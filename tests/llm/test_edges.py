@@ -110,6 +110,19 @@ def test_automaton_finds_what_windows_find():
         assert {k for s, e in spans for k in range(s, e)} == hit and items_found == found
 
 
+def test_leaks_over_several_shards(spark, docs):
+    ready(spark)
+    items = [(i, prose(100 + i, 30)) for i in range(40)] + [(None, prose(9, 60)), (77, None), (78, "")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = [(i, prose(500 + i, 20) + " " + items[i % 41][1] + " " + prose(600 + i, 5)) for i in range(60)] + [(99, prose(8, 50)), (98, None)]
+    found = spark.createDataFrame(texts, "doc_id long, text string")
+    one, several = (sorted(map(str, decontam.hits(found, bench, shard_words=n).collect())) for n in (1 << 20, 300))
+    assert decontam.automata(bench, shard_words=300).count() >= 3 and decontam.automata(bench).count() == 1
+    assert one == several and decontam.op9(found, bench).where("contaminated").count() == 60
+    unnamed = decontam.op9(found.where("doc_id = 40"), bench).first()
+    assert unnamed["contaminated"] and unnamed["n_items"] == 0
+
+
 def test_nearest_with_copies_and_bad_vectors(spark):
     ready(spark)
     rng = np.random.default_rng(4)
