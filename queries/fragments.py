@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from queries import chain as C
-from queries import planning, texts
+from queries import planning, texts, web
 from queries import views as V
 from queries.canonical import stamp
 from termloom import schemas
@@ -163,10 +163,11 @@ def seed_targets(spark, sf):
 
 
 def valid_picks(spark, sf):
+    """The links that stand on each page, with picks for two pages in three."""
     p = V.table(spark, sf, "pages")
     n = F.col("page_id")
-    link = lambda a, b: F.struct(F.lit(a).alias("url"), F.lit(b).alias("text"))
-    pages = p.select("page_id", F.col("url").alias("page_url"), F.array(link("https://x/1", "Grades"), link("https://x/2", "Chat"), link("https://x/3", "Quiz")).alias("links"))
+    listed = web._named(spark, sf).groupBy("page_id", "page_url").agg(F.array_sort(F.collect_list(F.struct("position", "url", "text"))).alias("l"))
+    pages = listed.select("page_id", "page_url", F.transform("l", lambda x: F.struct(x["url"].alias("url"), x["text"].alias("text"))).alias("links"))
     picks = p.where("page_id % 3 <> 0").select(
         "page_id", F.array((n % 5).cast("int"), F.lit(1), F.lit(-1), F.lit(1)).alias("follow"), F.lit("why").alias("notes"), F.when(n % 7 == 0, "failed").alias("error")
     )
@@ -237,7 +238,8 @@ def publisher_to_tables(spark, sf):
 
 
 def batch_extract(spark, sf):
-    chunks = texts._chunks(spark, sf).withColumns(
+    docs, numbers = texts._chunks(spark, sf)
+    chunks = docs.join(numbers, ["student_id", "course_id", "position"]).withColumns(
         {"source_platform": F.lit("d2l"), "page_kind": F.col("lang"), "url": F.lit("u"), "parent_url": F.lit(None).cast("string"), "score_text": F.lit(None).cast("string"),
          "course_code": F.col("course_id"), "course_name": F.lit("Course")}
     )
@@ -376,8 +378,10 @@ QUERIES = {
     ),
     "valid_picks": (
         valid_picks,
-        """select page_id, case when used then case page_id % 5 when 0 then '0,1' when 1 then '1' when 2 then '2,1' else '1' end else '0,2' end as follow, case when used then 'why' end as notes,
-          case when not used then 'heuristic_d2l' end as fallback, case when page_id % 3 <> 0 and page_id % 7 = 0 then 'failed' end as error from (select page_id, page_id % 3 <> 0 and page_id % 7 <> 0 as used from pages)""",
+        f"""with l as ({web.NAMED_SQL}), p as (select page_id, count(*) as n, coalesce(string_agg(cast(position - 1 as varchar), ',' order by position) filter ({web.LMS_SQL}), '') as words from l group by page_id),
+          u as (select *, page_id % 3 <> 0 and page_id % 7 <> 0 as used, list_filter([page_id % 5, 1], lambda x: x < n) as f from p)
+          select page_id, case when used then array_to_string(list_transform(list_filter(range(len(f)), lambda i: not list_contains(f[1:i], f[i + 1])), lambda i: f[i + 1]), ',') else words end as follow,
+          case when used then 'why' end as notes, case when not used then 'heuristic_d2l' end as fallback, case when page_id % 3 <> 0 and page_id % 7 = 0 then 'failed' end as error from u""",
     ),
     "detail_urls": (
         detail_urls,

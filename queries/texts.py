@@ -198,15 +198,16 @@ def syllabus_parts(spark, sf):
 
 def _chunks(spark, sf):
     docs = _documents(spark, sf).withColumn("size", E.artifact_size(F.col("text")))
-    return E.pack_chunks(docs, max_chars=E.ASSIGNMENT_CHUNK, block=200)
+    return docs, E.pack_chunks(docs, max_chars=E.ASSIGNMENT_CHUNK, block=200)
 
 
 def pack_chunks(spark, sf):
-    return _chunks(spark, sf).select("course_id", "position", "chunk")
+    return _chunks(spark, sf)[1].select("course_id", "position", "chunk")
 
 
 def build_prompts(spark, sf):
-    chunks = _chunks(spark, sf).withColumns(
+    docs, numbers = _chunks(spark, sf)
+    chunks = docs.join(numbers, ["student_id", "course_id", "position"]).withColumns(
         {
             "source_platform": F.lit("d2l"), "page_kind": F.col("lang"), "url": F.lit("u"), "parent_url": F.lit(None).cast("string"), "score_text": F.lit(None).cast("string"),
             "course_code": F.col("course_id"), "course_name": F.lit("Course"),

@@ -110,8 +110,8 @@ def _assign(limit: int):
 
 
 def pack_chunks(artifacts: DataFrame, *, max_chars: int, block: int = 1 << 14) -> DataFrame:
-    """Chunk number (from 1) of every artifact: in order, a new chunk where the sum would exceed `max_chars`.
-    An artifact of more than `max_chars` is a chunk of its own.
+    """Chunk number (from 1) of every artifact, as rows (course keys, position, chunk): in order, a new chunk where the sum would exceed `max_chars`.
+    An artifact of more than `max_chars` is a chunk of its own. Whoever needs the artifacts' other columns joins these narrow rows.
 
     artifacts: course keys, position (unique integer per course), size. The greedy scan is cut into blocks of positions: each
     block is summarised for every place its first chunk can start, the summaries are chained per course, and each block is
@@ -127,7 +127,7 @@ def pack_chunks(artifacts: DataFrame, *, max_chars: int, block: int = 1 << 14) -
     numbered = keyed.join(carried, [*COURSE, "block"]).groupBy(*COURSE, "block").applyInPandas(
         _assign(max_chars), f"{keys}, position bigint, block bigint, chunk bigint"
     )
-    return artifacts.join(numbered.select(*COURSE, "position", "chunk"), [*COURSE, "position"])
+    return numbered.select(*COURSE, "position", "chunk")
 
 
 def artifact_block(shown: int | None = None) -> Column:

@@ -127,7 +127,7 @@ def answered(
 ) -> DataFrame:
     """Artifacts of some kinds packed, asked about and parsed: course keys, chunk, part, artifact_ids, response, parsed, error."""
     picked = E.select_artifacts(artifacts, kinds).withColumn("size", E.artifact_size(F.col("text")))
-    chunks = E.pack_chunks(picked, max_chars=limit)
+    chunks = picked.join(E.pack_chunks(picked, max_chars=limit), [*COURSE, "position"])
     got = answers.ask(E.build_prompts(chunks, template), answer, template, f"{store.root}/answers/{name}", batch=number)
     parsed = P.parse_model_json(got.withColumnRenamed("error", "call_error"), schema)
     store.write(f"{name}_responses", parsed.withColumn("error", F.coalesce("call_error", "error")).drop("call_error"), number)

@@ -100,7 +100,8 @@ def calls(path):
 
 def test_a_prompt_is_asked_once(spark, tmp_path):
     log, ledger = str(tmp_path / "calls"), str(tmp_path / "ledger")
-    chunks = E.pack_chunks(artifact_rows(spark, range(1, 9)).withColumn("size", E.artifact_size(F.col("text"))), max_chars=12_000)
+    artifacts = artifact_rows(spark, range(1, 9)).withColumn("size", E.artifact_size(F.col("text")))
+    chunks = artifacts.join(E.pack_chunks(artifacts, max_chars=12_000), ["student_id", "course_id", "position"])
     prompts = E.build_prompts(chunks, "Go")
     both = prompts.unionByName(prompts.withColumn("course_id", F.lit("d")))  # another course with the same texts
     got = answers.ask(both, teller(log, slow=True), "Go", ledger, batch=1).collect()
