@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from queries import views as V
@@ -14,13 +15,22 @@ from termloom.session import checkpoint_dir
 from termloom.sources import snapshots as R
 
 GROUPS = 8
+PER_FILE = 200
 
 
-def _write(documents, key):
-    """Documents (`key`, doc) as JSON files of many documents each; the folder they are in."""
+def _packed(batches):
+    """JSON texts as arrays of at most PER_FILE of them."""
+    for batch in batches:
+        docs = batch["doc"].tolist()
+        lists = [docs[at : at + PER_FILE] for at in range(0, len(docs), PER_FILE)]
+        yield pd.DataFrame({"value": ["[" + ",".join(some) + "]" for some in lists]}, dtype=object)
+
+
+def _write(documents):
+    """Documents (doc) as JSON files of at most PER_FILE documents each, however many there are; the folder they are in."""
     folder = f"{checkpoint_dir(documents.sparkSession)}/documents-{uuid.uuid4().hex}"
-    files = documents.groupBy((F.col(key) % GROUPS).alias("g")).agg(F.to_json(F.collect_list("doc")).alias("value"))
-    files.write.partitionBy("g").text(folder)
+    files = documents.select(F.to_json("doc").alias("doc")).mapInPandas(_packed, "value string")
+    files.write.option("maxRecordsPerFile", 1).text(folder)
     return folder
 
 
@@ -48,7 +58,7 @@ def _lms(spark, sf):
     }
     courses = ", ".join(course.format(k=k, **parts) for k in (0, 1))
     doc = f"named_struct('student_id', c, 'fetched_at', '2026-03-20T12:00:00Z', 'source_url', 'https://l', 'courses', array({courses}))"
-    return R.explode_lms_snapshot(R.read_lms_snapshot(spark, _write(customers.selectExpr("c", f"{doc} as doc"), "c")))
+    return R.explode_lms_snapshot(R.read_lms_snapshot(spark, _write(customers.selectExpr("c", f"{doc} as doc"))))
 
 
 def snapshot_rows(spark, sf):
@@ -76,7 +86,7 @@ def publisher_rows(spark, sf):
     doc = """named_struct('student_id', c, 'fetched_at', '2026-03-20T12:00:00Z', 'courses', array(named_struct('course_id', 'c', 'source_platform', 'pearson_mylab', 'launch_url', concat('https://p/', c), 'title', 'T')),
       'assignments', transform(o, x -> named_struct('id', concat('p-', x.k), 'course_id', 'c', 'source_platform', 'pearson_mylab', 'title', concat('Order ', x.k), 'type', 'homework', 'status', 'upcoming',
         'due_at', '2026-03-25T01:02:03Z', 'points_possible', x.price, 'estimated_minutes', int(x.k % 60))))"""
-    courses, rows = R.read_publisher_snapshot(spark, _write(_orders(spark, sf).selectExpr("c", f"{doc} as doc"), "c"))
+    courses, rows = R.read_publisher_snapshot(spark, _write(_orders(spark, sf).selectExpr("c", f"{doc} as doc")))
     launch = courses.select("student_id", "course_id", "source_platform", "launch_url")
     return rows.join(launch, ["student_id", "course_id", "source_platform"]).select("student_id", "position", "id", "title", "points_possible", "estimated_minutes", stamp("due_at").alias("due_at"), "launch_url")
 
@@ -86,7 +96,7 @@ def manifest_artifacts(spark, sf):
     doc = """named_struct('student_id', c, 'fetched_at', '2026-03-20T12:00:00Z', 'artifacts_dir', '/a', 'courses', array(named_struct('course_id', 'c', 'code', concat('C', c), 'name', 'N', 'artifact_count', size(o))),
       'artifacts', transform(o, x -> named_struct('id', concat('a', x.k), 'course_id', 'c', 'source_platform', 'd2l', 'page_kind', if(x.k % 2 = 0, 'tool_grades', 'course_home'), 'title', concat('Order ', x.k),
         'url', concat('https://l/', x.k), 'text_path', concat('/a/', x.k, '.txt'), 'metadata', map('price', cast(x.price as string)))))"""
-    courses, artifacts = R.read_crawl_manifest(spark, _write(_orders(spark, sf).selectExpr("c", f"{doc} as doc"), "c"))
+    courses, artifacts = R.read_crawl_manifest(spark, _write(_orders(spark, sf).selectExpr("c", f"{doc} as doc")))
     codes = courses.select("student_id", "course_id", F.col("code").alias("course"), F.col("artifact_count").alias("n"))
     return artifacts.join(codes, ["student_id", "course_id"]).select("student_id", "position", "id", "page_kind", "text_path", "course", "n")
 
@@ -97,7 +107,7 @@ def extraction_rows(spark, sf):
       transform(o, x -> named_struct('title', concat('Order ', x.k % 100, ' : Unit ', x.k % 3), 'source_platforms', if(x.k % 3 = 0, cast(null as array<string>), array('d2l')), 'points_possible', x.price,
         'evidence_artifact_ids', if(x.k % 2 = 0, array(concat('a', x.k), 'b'), array()))),
       'grade_categories', array(named_struct('name', 'HW', 'weight', 0.5D)), 'provenance_events', array(named_struct('stage', 'extract', 'detail', '{}')))))"""
-    facts = R.read_extraction(spark, _write(_orders(spark, sf).selectExpr("c", f"{doc} as doc"), "c"))["facts"]
+    facts = R.read_extraction(spark, _write(_orders(spark, sf).selectExpr("c", f"{doc} as doc")))["facts"]
     return facts.select("student_id", "course_id", "position", "title", "fact_key", F.array_join("source_platforms", ",").alias("platforms"), "points_possible", "first_artifact_id")
 
 
