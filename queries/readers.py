@@ -11,7 +11,7 @@ from queries import views as V
 from queries.canonical import stamp
 from termloom.operators import normalize as N
 from termloom.operators import pages as P
-from termloom.session import checkpoint_dir
+from termloom.session import checkpoint_dir, stage
 from termloom.sources import snapshots as R
 
 GROUPS = 8
@@ -116,7 +116,8 @@ def artifact_bodies(spark, sf):
     folder = f"{checkpoint_dir(spark)}/bodies-{uuid.uuid4().hex}"
     documents = V.table(spark, sf, "documents").select("doc_id", "text")
     documents.withColumn("name", F.col("doc_id")).repartition(GROUPS, "name").select("name", "text").write.partitionBy("name").text(folder)
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", F.regexp_extract("path", r"name=(\d+)", 1).cast("long").alias("n"))
+    # read twice below: the folder is listed and scanned once
+    listed = stage(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", F.regexp_extract("path", r"name=(\d+)", 1).cast("long").alias("n")))
     at = lambda name, of: listed.select(F.col("path").alias(name), F.col("n").alias(of))
     artifacts = documents.select("doc_id", (F.col("doc_id") - F.col("doc_id") % 10).alias("other")).join(at("text_path", "t"), F.expr("doc_id = t")).join(at("html_path", "h"), F.expr("other = h and doc_id % 3 = 0"), "left")
     artifacts = artifacts.select(
