@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import re
+import uuid
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termloom.functions import text as X
 from termloom.functions import urls as U
 from termloom.functions.scan import ranked
-from termloom.session import stage
+from termloom.session import checkpoint_dir, stage
 
 COURSE = ["student_id", "course_id"]
+# links of a course that one task walks by itself
+QUEUED = 1 << 18
 
 # Words that decide whether a navigation target is followed.
 SKIP = (
@@ -254,14 +258,65 @@ def seed_targets(courses: DataFrame, tools: DataFrame, announcements: DataFrame)
     return first.select(*COURSE, "f.at", F.lit("d2l").alias("source_platform"), "f.page_kind", "url", "f.title")
 
 
-def expand_frontier(seeds: DataFrame, links: DataFrame, *, page_budget: int | None = None) -> DataFrame:
+def _walk(page_budget: int | None):
+    """The visit order of one course, level by level, from its seeds and its links."""
+    first = lambda v: (v is not None, v)  # noqa: E731  nulls come first
+    listed = lambda df, *names: zip(*([None if pd.isna(v) else v for v in df[n].tolist()] for n in names), strict=True)
+
+    def run(seeds: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        after: dict[str, list] = {}
+        for a, key, url, position in listed(links, "from_key", "key", "url", "position"):
+            if a is not None:
+                after.setdefault(a, []).append((key, url, position))
+        found = [(key, url, (0, first(position))) for key, url, position in listed(seeds, "key", "url", "position")]
+        seen, out, level = set(), [], 0
+        while found:
+            best: dict = {}
+            for key, url, at in found:
+                if key is None or key not in seen:
+                    here = (at, first(url))
+                    if key not in best or here < best[key]:
+                        best[key] = here
+            ordered = sorted(best, key=lambda k: (best[k][0], first(k)))
+            if page_budget is not None:
+                ordered = ordered[: max(page_budget - len(out), 0)]
+            start = len(out)
+            out += [(key, best[key][1][1], start + n, level) for n, key in enumerate(ordered, 1)]
+            seen.update(k for k in ordered if k is not None)
+            level += 1
+            found = [(key, url, (visit, first(position))) for k, _, visit, _ in out[start:] if k is not None for key, url, position in after.get(k, ())]
+        done = pd.DataFrame(out, columns=["key", "url", "visit", "level"])
+        for c in reversed(COURSE):
+            done.insert(0, c, [seeds[c].iloc[0]] * len(done) if len(seeds) else [])
+        return done
+
+    return run
+
+
+def expand_frontier(seeds: DataFrame, links: DataFrame, *, page_budget: int | None = None, queued: int = QUEUED) -> DataFrame:
     """Breadth-first visit order per course over captured links, each URL once; at most `page_budget` pages if that is given.
 
-    seeds: course keys, url, position; links: course keys, from_url, url, position. With a budget a level keeps at most the
-    pages it still admits. Levels are numbered over range partitions, so no task gathers a level of one course.
+    seeds: course keys, url, position; links: course keys, from_url, url, position. A course of at most `queued` links is walked in one
+    step, all courses side by side, however deep it is. The levels of larger courses are numbered over range partitions, one level after
+    the other, so no task gathers a level of one of these.
     """
-    edges = links.select(*COURSE, U.normalized(F.col("from_url")).alias("from_key"), U.normalized(F.col("url")).alias("key"), "url", "position")
-    start = seeds.select(*COURSE, U.normalized(F.col("url")).alias("key"), "url", F.struct(F.lit(0).cast("long").alias("parent"), F.col("position").cast("long").alias("at")).alias("at"))
+    known = links.where(" and ".join(f"{c} is not null" for c in COURSE))
+    edges = stage(known.select(*COURSE, U.normalized(F.col("from_url")).alias("from_key"), U.normalized(F.col("url")).alias("key"), "url", F.col("position").cast("long").alias("position")))
+    start = seeds.select(*COURSE, U.normalized(F.col("url")).alias("key"), "url", F.col("position").cast("long").alias("position"))
+    large = stage(edges.groupBy(*COURSE).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > queued).select(*COURSE))
+    some = not large.isEmpty()
+    rest = (lambda df: df.join(large, COURSE, "left_anti")) if some else (lambda df: df)
+    spec = ", ".join(f"{c} {start.schema[c].dataType.simpleString()}" for c in COURSE) + ", key string, url string, visit bigint, level int"
+    walked = rest(start).groupBy(*COURSE).cogroup(rest(edges).groupBy(*COURSE)).applyInPandas(_walk(page_budget), spec)
+    if not some:
+        return walked
+    return walked.unionByName(_by_levels(start.join(large, COURSE, "left_semi"), edges.join(large, COURSE, "left_semi"), page_budget))
+
+
+def _by_levels(seeds: DataFrame, edges: DataFrame, page_budget: int | None) -> DataFrame:
+    """The same with one distributed step per level; with a budget a level keeps at most the pages it still admits."""
+    edges = stage(edges)
+    start = seeds.select(*COURSE, "key", "url", F.struct(F.lit(0).cast("long").alias("parent"), F.col("position").alias("at")).alias("at"))
 
     def admitted(candidates: DataFrame, used: Column) -> DataFrame:
         """First occurrence of every new URL, numbered after the pages already visited."""
@@ -273,23 +328,28 @@ def expand_frontier(seeds: DataFrame, links: DataFrame, *, page_budget: int | No
             *COURSE, "key", F.col("f.url").alias("url"), F.col("visit").cast("long").alias("visit")
         )
 
-    level = admitted(start, F.lit(0)).withColumn("level", F.lit(0))
-    visited = level = stage(level)
+    level = stage(admitted(start, F.lit(0)).withColumn("level", F.lit(0)))
+    # all levels lie below one folder: a plan does not grow with their number
+    folder = f"{checkpoint_dir(seeds.sparkSession)}/visited-{uuid.uuid4().hex}"
+    visited = seeds.sparkSession.read.schema(level.schema).option("recursiveFileLookup", True)
+    level.write.parquet(f"{folder}/0")
     depth = 0
     while not level.isEmpty():
         depth += 1
-        used = visited.groupBy(*COURSE).agg(F.count(F.lit(1)).alias("_so_far"))
+        so_far = visited.parquet(folder)
+        used = so_far.groupBy(*COURSE).agg(F.count(F.lit(1)).alias("_so_far"))
         frontier = level.select(*COURSE, F.col("key").alias("from_key"), F.col("visit").alias("_parent"))
         # the edge table is scanned once per level
         found = (
             edges.join(frontier, [*COURSE, "from_key"])
-            .join(visited.select(*COURSE, "key"), [*COURSE, "key"], "left_anti")
+            .join(so_far.select(*COURSE, "key"), [*COURSE, "key"], "left_anti")
             .join(used if page_budget is None else used.where(F.col("_so_far") < page_budget), COURSE)
-            .withColumn("at", F.struct(F.col("_parent").alias("parent"), F.col("position").cast("long").alias("at")))
+            .withColumn("at", F.struct(F.col("_parent").alias("parent"), F.col("position").alias("at")))
         )
-        level = stage(admitted(found, F.col("_so_far")).withColumn("level", F.lit(depth)))
-        visited = visited.unionByName(level)
-    return visited
+        path = f"{folder}/{depth}"
+        admitted(found, F.col("_so_far")).withColumn("level", F.lit(depth)).write.parquet(path)
+        level = seeds.sparkSession.read.schema(level.schema).parquet(path)
+    return visited.parquet(folder)
 
 
 # ---------------------------------------------------------------- picks
