@@ -12,7 +12,7 @@ from queries import views as V
 from queries.canonical import stamp
 from termloom.operators import sync as S
 from termloom.plans import refresh
-from termloom.session import checkpoint_dir
+from termloom.session import checkpoint_dir, stage
 from termloom.sources.tables import TableStore
 from termloom.streaming import jobs as J
 
@@ -119,13 +119,14 @@ def stream_newest(spark, sf):
         store = TableStore(spark, f"{folder}/tables", buckets=8)
 
         def one_batch(batch, _, store=store):
-            rows = batch.selectExpr("student_id", "course_id as assignment_id", "cast(fetched_at as date) as agenda_date", "int(0) as planned_minutes", "0D as priority_score",
-                                    "concat(date_format(fetched_at, 'yyyy-MM-dd HH:mm:ss'), ' ', body) as notes").distinct()
+            # a batch is computed anew by every step that reads it
+            rows = stage(batch.selectExpr("student_id", "course_id as assignment_id", "cast(fetched_at as date) as agenda_date", "int(0) as planned_minutes", "0D as priority_score",
+                                    "concat(date_format(fetched_at, 'yyyy-MM-dd HH:mm:ss'), ' ', body) as notes").distinct())
             touched = store.touched(rows)
             store.replace("agenda_entries", S.upsert(store.state("agenda_entries", touched), rows, S.CHILD), touched)
 
         for k, part in enumerate(order):
-            orders.where(f"part = {part}").drop("part").coalesce(1).write.parquet(f"{folder}/in/{k}")
+            orders.where(f"part = {part}").drop("part").write.parquet(f"{folder}/in/{k}")
             arriving = spark.readStream.schema(J.ARRIVED).option("recursiveFileLookup", True).parquet(f"{folder}/in")
             J.newest_only(arriving).writeStream.foreachBatch(one_batch).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
         rows = store.state("agenda_entries").select(F.lit(name).alias("arrival"), "student_id", F.col("assignment_id").alias("course_id"), "notes")

@@ -14,7 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from termloom import schemas
 from termloom.functions import text as X
 from termloom.plans.refresh import sync_lms_frames
-from termloom.session import configure
+from termloom.session import configure, stage
 from termloom.sources.snapshots import explode_lms_snapshot
 from termloom.sources.tables import TableStore
 
@@ -67,8 +67,10 @@ def sync_arriving(
     store = TableStore(configure(arriving.sparkSession), root)
 
     def one_batch(batch: DataFrame, _: int) -> None:
-        if not batch.isEmpty():
-            sync_lms_frames(store, explode_lms_snapshot(snapshots_of(batch)), tz=tz, now=clock())
+        # written once: every step that reads a batch would compute it anew, with its state
+        held = stage(batch)
+        if not held.isEmpty():
+            sync_lms_frames(store, explode_lms_snapshot(snapshots_of(held)), tz=tz, now=clock())
 
     return (
         newest_only(captured_courses(arriving))
