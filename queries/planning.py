@@ -12,6 +12,7 @@ from termloom.operators import agenda as A
 from termloom.operators import grades as G
 from termloom.operators import overview as O
 from termloom.operators import priority as P
+from termloom.session import stage
 
 FULL = (C.CANONICAL, C.DUE, C.EFFECTIVE, C.PRIORITY)
 RELEVANT = """not practice and case when due_date is not null or coalesce(grade_category, '') <> '' then true
@@ -84,17 +85,24 @@ def work_window(spark, sf):
     )
 
 
-def _plan(spark, sf):
-    return A.plan_agenda(C.relevant_scored(spark, sf), today=V.TODAY, horizon_days=HORIZON, daily_minutes=DAILY)
+def _plan(rows):
+    return A.plan_agenda(rows, today=V.TODAY, horizon_days=HORIZON, daily_minutes=DAILY)
 
 
 def plan_agenda(spark, sf):
-    return _plan(spark, sf).withColumn("agenda_date", F.col("agenda_date").cast("string"))
+    return _plan(C.relevant_scored(spark, sf)).withColumn("agenda_date", F.col("agenda_date").cast("string"))
+
+
+def _shared(rows):
+    """What a plan and the items it names read of the scored rows, written once for both."""
+    course = F.struct(F.col("course.code").alias("code"), F.col("course.current_grade_pct").alias("current_grade_pct"))
+    named = ("student_id", "course_id", "match_key", "id", "title", "type", "status", "due_at", "due_day", "estimated_minutes", "priority_score", "external_url")
+    return stage(rows.select(*named, course.alias("course"), *[c for c in ("priority_reasons", "due_label") if c in rows.columns]))
 
 
 def agenda_full(spark, sf):
-    rows = P.priority_reasons(C.relevant_scored(spark, sf))
-    items = A.agenda_items(_plan(spark, sf), O.due_labels(rows, tz=V.TZ))
+    rows = _shared(O.due_labels(P.priority_reasons(C.relevant_scored(spark, sf)), tz=V.TZ))
+    items = A.agenda_items(_plan(rows), rows)
     return items.withColumns(
         {
             "priority_reasons": F.array_join("priority_reasons", " | "), "due_at": stamp("due_at"),
@@ -103,9 +111,9 @@ def agenda_full(spark, sf):
     )
 
 
-def _fixed_plan(spark, sf):
+def _fixed_plan(rows):
     """A plan that SQL can state: every candidate on its due day or today, plus a second entry for long work."""
-    w = A.work_window(A.plan_candidates(C.relevant_scored(spark, sf), today=V.TODAY, horizon_days=HORIZON), today=V.TODAY)
+    w = A.work_window(A.plan_candidates(rows, today=V.TODAY, horizon_days=HORIZON), today=V.TODAY)
     day = F.greatest("due_day", F.lit(V.TODAY))
     main = w.select(
         "student_id", F.col("id").alias("assignment_id"), day.alias("agenda_date"), F.least("minutes", F.lit(60)).alias("planned_minutes"),
@@ -118,8 +126,13 @@ def _fixed_plan(spark, sf):
     return main.unionByName(rest)
 
 
+def _fixed_items(spark, sf):
+    rows = _shared(C.relevant_scored(spark, sf))
+    return A.agenda_items(_fixed_plan(rows), rows)
+
+
 def agenda_items(spark, sf):
-    items = A.agenda_items(_fixed_plan(spark, sf), C.relevant_scored(spark, sf))
+    items = _fixed_items(spark, sf)
     return items.select(
         "student_id", "assignment_id", F.col("agenda_date").cast("string").alias("agenda_date"), "planned_minutes",
         "priority_score", "notes", "assignment_title", "course_code", "external_url", "status", stamp("due_at").alias("due_at"),
@@ -127,21 +140,22 @@ def agenda_items(spark, sf):
 
 
 def agenda_days(spark, sf):
-    days = A.agenda_days(A.agenda_items(_fixed_plan(spark, sf), C.relevant_scored(spark, sf)))
+    days = A.agenda_days(_fixed_items(spark, sf))
     return days.withColumn("agenda_date", F.col("agenda_date").cast("string"))
 
 
 def agenda_report(spark, sf):
-    report = A.agenda_report(_fixed_plan(spark, sf), C.relevant_scored(spark, sf))
+    rows = _shared(C.relevant_scored(spark, sf))
+    report = A.agenda_report(_fixed_plan(rows), rows)
     return report.withColumn("agenda_date", F.col("agenda_date").cast("string"))
 
 
 def plan_counts(spark, sf):
-    return A.plan_counts(_fixed_plan(spark, sf))
+    return A.plan_counts(_fixed_plan(_shared(C.relevant_scored(spark, sf))))
 
 
 def today_focus(spark, sf):
-    return O.today_focus(A.agenda_items(_fixed_plan(spark, sf), C.relevant_scored(spark, sf)), today=V.TODAY)
+    return O.today_focus(_fixed_items(spark, sf), today=V.TODAY)
 
 
 def relevant(spark, sf):
