@@ -18,6 +18,8 @@ from termloom.session import checkpoint_dir, stage
 COURSE = ["student_id", "course_id"]
 # links of a course that one task walks by itself
 QUEUED = 1 << 18
+# courses, tools and announcements of which one task makes seeds, on average
+PER_TASK = 1 << 16
 
 # Words that decide whether a navigation target is followed.
 SKIP = (
@@ -229,8 +231,19 @@ def tool_scores(tools: DataFrame) -> DataFrame:
     return tools.select("*", F.explode(F.filter(slots, lambda s: s["score"] > 0)).alias("s")).select(*tools.columns, "s.*")
 
 
+def _dealt(*frames: DataFrame) -> list[DataFrame]:
+    """`frames` dealt by course into tasks of about PER_TASK rows, however few files they come from; all into the same number, so they can be joined as they lie."""
+    spark = frames[0].sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, -(-sum(f.count() for f in frames) // PER_TASK))
+    return [f.repartition(tasks, *COURSE) for f in frames]
+
+
 def seed_targets(courses: DataFrame, tools: DataFrame, announcements: DataFrame) -> DataFrame:
-    """First pages of each course: seven default surfaces, tool links in their place, then announcement pages."""
+    """First pages of each course: seven default surfaces, tool links in their place, then announcement pages.
+
+    Equal URLs of a course are combined where they are made, by a sort of the rows of the task, hence the rows are dealt before.
+    """
+    courses, tools, announcements = _dealt(courses, tools, announcements)
     root = F.regexp_extract("home_url", r"^(.*?)(/d2l/home/[^/]*)?$", 1)
     entry = lambda i, slot, kind, url, title: F.struct(
         F.lit(i).alias("order"), F.lit(slot).alias("slot"), F.lit(kind).alias("page_kind"), url.alias("url"), title.alias("title")
@@ -242,13 +255,16 @@ def seed_targets(courses: DataFrame, tools: DataFrame, announcements: DataFrame)
             for i, (slot, kind, title, path) in enumerate(DEFAULT_PATHS, 1)
         ],
     )
-    slots = courses.select(*COURSE, F.explode(defaults).alias("d")).select(*COURSE, "d.*")
     best = tool_scores(tools).groupBy(*COURSE, "slot").agg(
         F.min(F.struct((-F.col("score")).alias("rank"), "position", "url", "name")).alias("b")
     )
-    surfaces = slots.join(best, [*COURSE, "slot"], "left").select(
-        *COURSE, F.struct(F.lit(0).alias("part"), F.col("order").cast("long").alias("at")).alias("at"), "page_kind",
-        F.coalesce("b.url", "url").alias("url"), F.coalesce("b.name", "title").alias("title"),
+    # at most one entry per slot, so a course is joined as one row
+    taken = best.groupBy(*COURSE).agg(F.map_from_entries(F.collect_list(F.struct("slot", F.struct("b.url", "b.name")))).alias("taken"))
+    slots = courses.join(taken, COURSE, "left").select(*COURSE, "taken", F.explode(defaults).alias("d"))
+    tool = F.col("taken")[F.col("d.slot")]
+    surfaces = slots.select(
+        *COURSE, F.struct(F.lit(0).alias("part"), F.col("d.order").cast("long").alias("at")).alias("at"), "d.page_kind",
+        F.coalesce(tool["url"], "d.url").alias("url"), F.coalesce(tool["name"], "d.title").alias("title"),
     )
     news = announcements.select(
         *COURSE, F.struct(F.lit(1).alias("part"), F.col("position").cast("long").alias("at")).alias("at"),
