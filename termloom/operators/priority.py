@@ -11,19 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termloom.functions import text as X
-from termloom.schemas import CATEGORIES
+from termloom.operators.categories import TYPE_HINTS, normal_text, place
 
 # Weights of the score and scores per assignment type.
 URGENCY_SHARE, IMPACT_SHARE, RISK_SHARE, MOMENTUM_SHARE = 0.45, 0.30, 0.15, 0.10
+FITTING = "fitting"
 TYPE_IMPACT = {"exam": 80.0, "project": 68.0, "lab": 52.0, "homework": 45.0, "discussion": 30.0, "reading": 24.0}
-TYPE_HINTS = {
-    "homework": ("homework", "programming exercise", "mindtap", "mylab", "assignment", "problem"),
-    "lab": ("lab", "laboratory"),
-    "exam": ("exam", "quiz", "test"),
-    "project": ("project", "paper"),
-    "discussion": ("discussion",),
-    "reading": ("reading", "chapter"),
-}
 
 
 def lookup(key: Column, table: dict[str, object], default: Column) -> Column:
@@ -54,58 +47,40 @@ def urgency_reason(days: Column) -> Column:
     )
 
 
-def normal_text(c: Column) -> Column:
-    return F.coalesce(X.squash(F.lower(c)), F.lit(""))
-
-
-def _categories() -> Column:
-    return F.coalesce(F.col("course.grade_categories"), F.array().cast(CATEGORIES))
-
-
-def _fitting(wanted) -> Column:
-    """Course categories that are `wanted` and stand for this row: by its category, its type's words or its title.
-
-    Texts are brought into normal form once per row and category; the fields `n` and `w` are a category's normal name and weight.
-    """
-    hints = lookup(
-        F.col("type"),
-        {t: F.array(*[F.lit(h) for h in hs]) for t, hs in TYPE_HINTS.items()},
-        F.array().cast("array<string>"),
-    )
+def fitting() -> Column:
+    """Course categories that stand for this row: by its category, its type's words or its title."""
+    at = place(F.col("type"), TYPE_HINTS)
     row = F.struct(
         normal_text(F.col("grade_category")).alias("own"), normal_text(F.col("title")).alias("title"),
-        F.filter(F.concat(hints, F.array(normal_text(F.col("type")))), lambda h: h != "").alias("hints"),
-    )
-    named = F.filter(
-        F.transform(
-            _categories(), lambda c: F.struct(c["name"].alias("name"), X.as_fraction(c["weight"]).alias("w"), normal_text(c["name"]).alias("n"))
-        ),
-        lambda c: wanted(c) & (c["n"] != ""),
+        F.coalesce(*[F.when(at == i, 1 << i) for i in range(len(TYPE_HINTS))], F.lit(0)).alias("bit"),
+        # other types stand for themselves
+        F.when(at.isNull(), X.blank_to_null(normal_text(F.col("type")))).alias("type"),
     )
 
     def fits(c: Column, r: Column) -> Column:
-        by_own = (r["own"] != "") & (c["n"].contains(r["own"]) | r["own"].contains(c["n"]))
-        by_type = F.exists(r["hints"], lambda h: c["n"].contains(h))
-        by_title = r["title"].contains(c["n"]) & (F.length(c["n"]) >= 4)
-        return by_own | by_type | by_title
+        by_own = (r["own"] != "") & (c["normal"].contains(r["own"]) | r["own"].contains(c["normal"]))
+        by_type = (c["stands_for"].bitwiseAND(r["bit"]) != 0) | (r["type"].isNotNull() & c["normal"].contains(r["type"]))
+        by_title = r["title"].contains(c["normal"]) & (F.length(c["normal"]) >= 4)
+        return (c["normal"] != "") & (by_type | by_title | by_own)
 
     # an array of one row gives its texts a name
-    return F.flatten(F.transform(F.array(row), lambda r: F.filter(named, lambda c: fits(c, r))))
+    return F.get(F.transform(F.array(row), lambda r: F.filter("course.weighing", lambda c: fits(c, r))), F.lit(0))
 
 
-def assignment_weight() -> Column:
-    """Share of the course grade, as a fraction."""
+def assignment_weight(fitting_: Column | None = None) -> Column:
+    """Share of the course grade, as a fraction; `fitting_` are the fitting categories if already known."""
     direct = X.as_fraction(F.col("grade_weight_pct"))
-    from_course = F.array_max(F.transform(_fitting(lambda c: c["w"].isNotNull()), lambda c: c["w"]))
+    # array_max leaves missing weights out
+    from_course = F.array_max((fitting() if fitting_ is None else fitting_)["share"])
     own = direct.isNotNull() & X.truthy(F.col("grade_category"))
     return F.when(own, direct).otherwise(F.coalesce(from_course, direct))
 
 
-def category_label() -> Column:
+def category_label(fitting_: Column | None = None) -> Column:
     """Name shown for the weight: own category, first fitting course category, else the type."""
-    fitting = _fitting(lambda c: F.trim(c["name"]) != "")
+    named = F.filter((fitting() if fitting_ is None else fitting_)["name"], lambda n: F.trim(n) != "")
     own = X.blank_to_null(F.col("grade_category"))
-    return F.coalesce(own, F.trim(F.get(fitting, F.lit(0))["name"]), F.initcap(F.replace("type", F.lit("_"), F.lit(" "))))
+    return F.coalesce(own, F.trim(F.get(named, F.lit(0))), F.initcap(F.replace("type", F.lit("_"), F.lit(" "))))
 
 
 def cutoff_gap() -> Column:
@@ -171,9 +146,10 @@ def late_risk(days: Column) -> Column:
 
 
 def priority_scores(rows: DataFrame, *, today: date) -> DataFrame:
-    """Rows with days_left, weight, cutoff_gap, urgency, impact, late_risk and priority_score."""
-    base = rows.withColumns(
-        {"days_left": days_left(today), "weight": assignment_weight(), "cutoff_gap": cutoff_gap()}
+    """Rows with the categories that fit, days_left, weight, cutoff_gap, urgency, impact, late_risk and priority_score."""
+    # the fitting categories are read for the weight and for its label
+    base = rows.withColumn(FITTING, fitting()).withColumns(
+        {"days_left": days_left(today), "weight": assignment_weight(F.col(FITTING)), "cutoff_gap": cutoff_gap()}
     )
     parts = base.withColumns(
         {
@@ -225,7 +201,7 @@ def priority_reasons(scored: DataFrame, *, limit: int = 3) -> DataFrame:
     days, weight, gap = F.col("days_left"), F.col("weight"), F.col("cutoff_gap")
     always = F.lit(True)
     worth = F.concat(
-        category_label(), F.lit(" worth about "), F.round(weight * 100).cast("int").cast("string"), F.lit("% of course grade")
+        category_label(F.col(FITTING) if FITTING in scored.columns else None), F.lit(" worth about "), F.round(weight * 100).cast("int").cast("string"), F.lit("% of course grade")
     )
     missing = F.concat(F.format_number(gap, 1), F.lit(" points from the next grade cutoff"))
     reasons = F.array(
@@ -235,7 +211,10 @@ def priority_reasons(scored: DataFrame, *, limit: int = 3) -> DataFrame:
         _policy_reason(days),
         _reason(F.col("status") == "in_progress", F.lit("Already in progress"), F.lit(10.0)),
     )
-    ordered = F.array_sort(F.filter(reasons, lambda r: r.isNotNull()))
-    labels = F.transform(F.slice(ordered, 1, limit), lambda r: r["label"])
+    # the urgency of a row with a deadline is always among them
+    if limit == 1:
+        labels = F.array(F.array_min(reasons)["label"])
+    else:
+        labels = F.transform(F.slice(F.sort_array(F.filter(reasons, lambda r: r.isNotNull())), 1, limit), lambda r: r["label"])
     empty = F.array().cast("array<string>")
     return scored.withColumn("priority_reasons", F.when(F.col("due_day").isNull(), empty).otherwise(labels))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import random
 import re
+from datetime import date
 
 from pyspark.sql import functions as F
 
 from queries import chain
 from termloom import schemas
-from termloom.operators import links, priority, reconcile
+from termloom.operators import grades, links, priority, reconcile
 from tests.conftest import at
 
 
@@ -113,3 +115,79 @@ def test_texts_are_brought_into_normal_form_once(spark):
     # row: category, type, title
     for made in (priority.assignment_weight(), priority.category_label()):
         assert made._jc.toString().count("regexp_replace") <= 4
+
+
+def test_source_rows_are_counted_by_their_course_alone(spark, assignments, monkeypatch):
+    # totals of the grade book are no rows to be merged; they need not be told apart to be counted
+    counted, real = [], reconcile._dealt
+    monkeypatch.setattr(reconcile, "_dealt", lambda rows, of, most: counted.append(of) or real(rows, of, most))
+    rows = many(spark, assignments).unionByName(many(spark, assignments).limit(40).withColumn("title", F.lit("Course total")))
+    out = reconcile.canonical_assignments(rows, now=at("2026-03-24T12:00:00"))
+    assert [c.columns for c in counted] == [list(reconcile.COURSE)] and out.count() == 105
+
+
+def test_categories_are_read_once_per_course(spark, assignments, courses):
+    # the row has one pattern of its own, for the key of its own category
+    assert grades.assigned_category()._jc.toString().count("regexp_replace") == 1
+    rows = reconcile.canonical_assignments(many(spark, assignments), now=at("2026-03-24T12:00:00"))
+    held = courses(*[{"student_id": n, "course_id": f"c{m}", "grade_categories": [("Labs", 0.5, None)]} for n in range(7) for m in range(3)]).coalesce(1)
+    tree = plan(reconcile.attach_courses(rows, held))
+    # courses are dealt as they are, and their texts read after that, in the tasks of the join
+    assert "REPARTITION_BY_COL" in tree and "regexp_replace" not in tree.split("REPARTITION_BY_COL")[1]
+
+
+def _squashed(text):
+    return " ".join((text or "").lower().split())
+
+
+def _key(text):
+    return re.sub(r"[^a-z0-9]+", "-", (text or "").lower()).strip("-") or None
+
+
+def test_rows_find_the_categories_of_their_course(spark):
+    rng = random.Random(7)
+    names = ["Homework", "HW sets", "Programming  Exercises", "Exams", "Quizzes", "Lab Work", "Final Project", "Es", "", " ", "--", None, "Essay", "Reading", "Other"]
+    pick = lambda some: rng.choice(some)
+    lists = [None, [], *[[(pick(names), pick([None, 0.0, 0.2, 40.0, 150.0, 1e-9]), None) for _ in range(rng.randint(1, 4))] for _ in range(60)]]
+    rows = [
+        (i, f"c{i}", pick(["Essay 1", "hw 3", "HW  4", "Exams week", "x", None, "Lab Work 2"]), pick(["homework", "exam", "lab", "project", "reading", "discussion", "essay", "Exam", "", None]),
+         pick([None, "", "Lab", "es", "Other things"]), pick([None, 0.1, 5.0, 0.0]), cats)
+        for i, cats in enumerate(lists * 6)
+    ]
+    df = spark.createDataFrame(rows, f"student_id bigint, course_id string, title string, type string, grade_category string, grade_weight_pct double, cats {schemas.CATEGORIES}")
+    table = df.select("student_id", "course_id", F.col("cats").alias("grade_categories"))
+    out = reconcile.attach_courses(df.drop("cats"), table).select(
+        "student_id", grades.assigned_category().alias("key"), priority.assignment_weight().alias("weight"), priority.category_label().alias("label"), grades.by_categories().alias("blended"),
+    )
+    got = {r.student_id: r for r in out.collect()}
+    aliases, hints = grades.TYPE_ALIASES, priority.TYPE_HINTS
+    for i, _, title, kind, own, direct, cats in rows:
+        cats = cats or []
+        words = [] if kind is None else [kind.lower(), *aliases.get(kind, ())]
+        words += aliases["homework"] if (title or "").lower().startswith("hw ") else ()
+        key = next((_key(n) for n, *_ in cats if _key(n) and any(w in n.lower() or n.lower() in w for w in words)), None)
+        assert got[i].key == (_key(own) if own else key)
+        mine, shown = _squashed(own), _squashed(title)
+        stands = [h for h in (*hints.get(kind, ()), _squashed(kind)) if h]
+        fit = [
+            (n, w) for n, w, _ in cats
+            if (c := _squashed(n)) and ((mine and (mine in c or c in mine)) or any(h in c for h in stands) or (len(c) >= 4 and c in shown))
+        ]
+        share = lambda w: None if w is None or not 0 <= w <= 100 else w if w <= 1 else w / 100
+        top = max((share(w) for _, w in fit if share(w) is not None), default=None)
+        wanted = share(direct) if own and share(direct) is not None else top if top is not None else share(direct)
+        assert got[i].weight == wanted
+        named = next((n.strip(" ") for n, _ in fit), None)
+        assert got[i].label == (own or named or (kind if kind is None else kind.replace("_", " ").title()))
+        assert got[i].blended == any((w or 0) > 0 for _, w, _ in cats)
+
+
+def test_the_first_reason_is_the_one_that_leads_all(spark, assignments, courses):
+    made = assignments(*[{"title": f"Lab {n}", "id": f"i{n}", "grade_weight_pct": float(n), "due_date": at("2026-03-25T12:00:00") if n % 4 else None, "status": "in_progress" if n % 3 else "overdue"} for n in range(40)])
+    wanted = {"raw": "map<string,string>", "late_policy": schemas.LATE_POLICY}
+    made = made.withColumns({n: F.lit(None).cast(t) for n, t in wanted.items() if n not in made.columns})
+    dated = reconcile.with_deadline(reconcile.canonical_assignments(made, now=at("2026-03-24T12:00:00")), tz="UTC")
+    rows = priority.priority_scores(reconcile.attach_courses(dated, courses({"grade_categories": [("Labs", 0.4, None)]})), today=date(2026, 3, 24))
+    read = lambda limit: {r.id: r.priority_reasons for r in priority.priority_reasons(rows, limit=limit).collect()}
+    every, first = read(9), read(1)
+    assert {i: v[:1] for i, v in every.items()} == first and max(map(len, every.values())) > 1 and min(map(len, every.values())) == 0
