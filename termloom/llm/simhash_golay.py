@@ -161,7 +161,8 @@ def links(fps: DataFrame) -> DataFrame:
         f"({kind} = 4 and {e2} >= 3 and {e3} = 0 and {e1} = 1)",
     )
     on = f"key = key_r and a < b and bit_count(a ^ b) <= {BITS} and ({' or '.join(cases)})"
-    return left.join(right, F.expr(on)).select("a", "b")
+    # a fingerprint has up to 56 keys, but Spark sizes the keys as if it had one: without the hint it broadcasts tables of many times its threshold
+    return left.hint("merge").join(right, F.expr(on)).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
