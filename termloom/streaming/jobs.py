@@ -19,23 +19,25 @@ from termloom.sources.snapshots import explode_lms_snapshot
 from termloom.sources.tables import TableStore
 
 ARRIVED = "student_id bigint, course_id string, fetched_at timestamp, body string"
+# groups that share the courses of a stream; checkpoints depend on it
+SLOTS = 1 << 12
 
 
 def _newest(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Rows of a course that are as new as anything seen of it; the state is the instant of the newest, in microseconds."""
-    micros = lambda t: pd.Timestamp(t).value // 1000
-    newest = state.get[0] if state.exists else None
-    held: list[pd.DataFrame] = []
+    """Rows of the courses of a slot that are as new as anything seen of their course; the state holds the newest instant of each, in microseconds."""
+    newest = dict(zip(*state.get)) if state.exists else {}
+    held: dict[str, list] = {}
     for batch in batches:
-        for row in batch.itertuples(index=False):
-            at = micros(row.fetched_at)
-            if newest is None or at > newest:
-                newest, held = at, []
-            if at == newest:
-                held.append((row.student_id, row.course_id, row.fetched_at, row.body))
-    if newest is not None:
-        state.update((newest,))
-    yield pd.DataFrame(held, columns=["student_id", "course_id", "fetched_at", "body"])
+        for course, at, body in zip(batch["course"].tolist(), batch["at"].tolist(), batch["body"].tolist()):
+            seen = newest.get(course)
+            if seen is None or at > seen:
+                newest[course], held[course] = at, [body]
+            elif at == seen:
+                held.setdefault(course, []).append(body)
+    if held:
+        state.update((list(newest), list(newest.values())))
+    out = [(course, newest[course], body) for course, bodies in held.items() for body in bodies]
+    yield pd.DataFrame(out, columns=["course", "at", "body"]).astype({"at": "int64", "course": object, "body": object})
 
 
 def newest_only(arriving: DataFrame) -> DataFrame:
@@ -43,9 +45,19 @@ def newest_only(arriving: DataFrame) -> DataFrame:
 
     The state holds one instant per course, so documents that arrive late are dropped before anything is merged; of a batch only the newest
     of a course comes through, and one that is delivered again comes through again. Rows without an instant are dropped.
+
+    Courses share SLOTS groups by hash, as each group costs a call of Python; a batch rewrites the instants of the slots it has rows of. Keys
+    travel as JSON and instants as numbers, so neither nulls nor large ids change on the way.
     """
-    known = arriving.where("fetched_at is not null").select("student_id", "course_id", "fetched_at", "body")
-    return known.groupBy("student_id", "course_id").applyInPandasWithState(_newest, ARRIVED, "newest bigint", "append", GroupStateTimeout.NoTimeout)
+    known = arriving.where("fetched_at is not null").select(
+        F.pmod(F.xxhash64("student_id", "course_id"), F.lit(SLOTS)).alias("slot"), F.to_json(F.struct("student_id", "course_id")).alias("course"),
+        F.unix_micros("fetched_at").alias("at"), "body",
+    )
+    got = known.groupBy("slot").applyInPandasWithState(
+        _newest, "course string, at bigint, body string", "courses array<string>, newest array<bigint>", "append", GroupStateTimeout.NoTimeout
+    )
+    key = F.from_json("course", "student_id bigint, course_id string")
+    return got.select(key["student_id"].alias("student_id"), key["course_id"].alias("course_id"), F.timestamp_micros("at").alias("fetched_at"), "body")
 
 
 def captured_courses(snapshots: DataFrame) -> DataFrame:
