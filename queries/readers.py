@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from queries import views as V
@@ -14,7 +17,6 @@ from termloom.operators import pages as P
 from termloom.session import checkpoint_dir, stage
 from termloom.sources import snapshots as R
 
-GROUPS = 8
 PER_FILE = 200
 
 
@@ -34,6 +36,56 @@ def _write(documents):
     return folder
 
 
+def _filed(folder):
+    """Writes the texts of each name to one file and gives the files; rows come sorted by name."""
+
+    def run(batches):
+        place, held = f"{folder}/part-{TaskContext.get().partitionId():05d}", None
+        os.makedirs(place, exist_ok=True)
+
+        def close():
+            name, lines = held
+            path = f"{place}/name={name}"
+            # a task that is repeated replaces its files; unfinished ones are hidden from readers
+            unfinished = f"{place}/.{uuid.uuid4().hex}"
+            with open(unfinished, "wb") as file:
+                file.writelines(lines)
+            os.replace(unfinished, path)
+            return path
+
+        for batch in batches:
+            made = []
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
+                if held is None or held[0] != name:
+                    if held is not None:
+                        made.append(close())
+                    held = (name, [])
+                held[1].append((text or b"") + b"\n")
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.string())], names=["path"])
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([close()], pa.string())], names=["path"])
+
+    return run
+
+
+def _one_file_each(documents, folder):
+    """Documents (name, text) as one file for each name, all texts of the name as lines of it; the paths of the files.
+
+    On a folder that tasks see as files they write them directly: Spark's writer starts processes for the permissions of each, and a folder of its own
+    for each name must be listed by itself.
+    """
+    spark = documents.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    where = fs.makeQualified(path).toUri()
+    if where.getScheme() != "file":
+        documents.repartition("name").write.partitionBy("name").text(folder)
+        return stage(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path"))
+    fs.mkdirs(path)
+    named = documents.select(F.coalesce("name", F.lit("__HIVE_DEFAULT_PARTITION__")).alias("name"), "text")
+    return stage(named.repartition("name").sortWithinPartitions("name").mapInArrow(_filed(where.getPath()), "path string"))
+
+
 def _orders(spark, sf):
     """Per customer the orders, in order of their keys."""
     return V.table(spark, sf, "orders").selectExpr("o_custkey as c", "o_orderkey as k", "o_totalprice as price").groupBy("c").agg(F.array_sort(F.collect_list(F.struct("k", "price"))).alias("o"))
@@ -115,9 +167,8 @@ def artifact_bodies(spark, sf):
     """Documents written as one file each; artifacts name one of them as their text, every third another as their HTML, some a missing file."""
     folder = f"{checkpoint_dir(spark)}/bodies-{uuid.uuid4().hex}"
     documents = V.table(spark, sf, "documents").select("doc_id", "text")
-    documents.withColumn("name", F.col("doc_id")).repartition(GROUPS, "name").select("name", "text").write.partitionBy("name").text(folder)
-    # read twice below: the folder is listed and scanned once
-    listed = stage(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", F.regexp_extract("path", r"name=(\d+)", 1).cast("long").alias("n")))
+    listed = _one_file_each(documents.select(F.col("doc_id").cast("string").alias("name"), "text"), folder)
+    listed = listed.select("path", F.regexp_extract("path", r"name=(-?\d+)", 1).try_cast("long").alias("n"))
     at = lambda name, of: listed.select(F.col("path").alias(name), F.col("n").alias(of))
     artifacts = documents.select("doc_id", (F.col("doc_id") - F.col("doc_id") % 10).alias("other")).join(at("text_path", "t"), F.expr("doc_id = t")).join(at("html_path", "h"), F.expr("other = h and doc_id % 3 = 0"), "left")
     artifacts = artifacts.select(

@@ -55,3 +55,17 @@ def test_the_scored_rows_of_a_plan_are_computed_once(spark, monkeypatch, name):
     monkeypatch.setattr(planning.P, "priority_reasons", lambda df: df)
     assert getattr(planning, name)(spark, "").count() > 0
     assert len(calls) == 1
+
+
+def test_documents_are_one_file_each_in_few_folders(spark):
+    long = "line\n" * 5000
+    docs = spark.createDataFrame([("7", "a ü"), ("8", None), ("9", ""), ("-3", long), ("7", "b"), (None, "no name")], "name string, text string")
+    folder = f"{readers.checkpoint_dir(spark)}/few-{random.random()}"
+    paths = {r["path"] for r in readers._one_file_each(docs, folder).collect()}
+    files = {p for p in Path(folder.removeprefix("file:")).rglob("*") if p.is_file() and not p.name.startswith((".", "_"))}
+    assert paths == set(map(str, files)) and len(files) == 5
+    assert len({p.parent for p in files}) <= 8 and not any(p.parent.name.startswith("name=") for p in files)
+    got = {p.name: p.read_text() for p in files}
+    assert sorted(got.pop("name=7").splitlines()) == ["a ü", "b"]
+    assert got == {"name=8": "\n", "name=9": "\n", "name=-3": long + "\n", "name=__HIVE_DEFAULT_PARTITION__": "no name\n"}
+    assert readers._one_file_each(docs.limit(0), folder + "-none").count() == 0 and Path(folder.removeprefix("file:") + "-none").is_dir()
