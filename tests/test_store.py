@@ -10,9 +10,11 @@ from datetime import UTC, datetime
 import pytest
 from pyspark.sql import functions as F
 
+from termloom.functions import lookup
 from termloom.operators import answers, sync
 from termloom.operators import extraction as E
 from termloom.plans import refresh
+from termloom.session import checkpoint_dir
 from termloom.sources.tables import TableStore, bucket_of
 from termloom.streaming import jobs
 
@@ -168,3 +170,23 @@ def test_bodies_come_from_one_scan(spark, tmp_path, name):
     want = {"body": ["t0", "t0", "t0", None, None], "html": ["t1", None, None, "t2", None]}[name]
     assert [r[name] for r in got.orderBy("id").collect()] == want
     assert got._jdf.queryExecution().executedPlan().toString().count("FileScan text") == 1
+
+
+def test_texts_of_prompts_do_not_stay(spark, tmp_path):
+    """The texts are written once, without the prompt beside its parts, and removed when they are answered."""
+    artifacts = artifact_rows(spark, range(4)).withColumn("size", E.artifact_size(F.col("text")))
+    chunks = artifacts.join(E.pack_chunks(artifacts, max_chars=2_000), ["student_id", "course_id", "position"])
+    root = checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    assert answers.ask(E.build_prompts(chunks, "Go"), teller(str(tmp_path / "calls")), "Go", str(tmp_path / "ledger"), batch=1).count() > 0
+    made = [spark.read.parquet(f"{root}/{name}").columns for name in set(os.listdir(root)) - before if name.startswith("stage-")]
+    assert made and not any({"bodies", "prompt"} & set(columns) for columns in made)
+
+
+@pytest.mark.parametrize("slots", [1, 1 << 16])
+def test_chosen_chunks(spark, monkeypatch, slots):
+    monkeypatch.setattr(lookup, "SLOTS", slots)
+    keyed = spark.range(200).selectExpr("id as _row", "concat('text ', id) as bodies")
+    for some in ("_row < 0", "_row % 3 = 0", "_row >= 0"):
+        got = answers._chosen(keyed, keyed, keyed.where(some).select("_row")).collect()
+        assert sorted(tuple(r) for r in got) == sorted(tuple(r) for r in keyed.where(some).collect())
