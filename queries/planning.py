@@ -155,7 +155,11 @@ def plan_counts(spark, sf):
 
 
 def today_focus(spark, sf):
-    return O.today_focus(_fixed_items(spark, sf), today=V.TODAY)
+    # items are counted and their minutes summed: of what a plan and its items are made of, only this is carried and written
+    grade = F.struct(F.col("course.current_grade_pct").alias("current_grade_pct")).alias("course")
+    scored = C.relevant_scored(spark, sf, ("estimated_minutes",))
+    rows = stage(scored.select("student_id", "id", "title", "type", "status", "due_day", "estimated_minutes", "priority_score", grade))
+    return O.today_focus(A.agenda_items(_fixed_plan(rows), rows), today=V.TODAY)
 
 
 def relevant(spark, sf):

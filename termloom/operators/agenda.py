@@ -164,7 +164,7 @@ def plan_agenda(
 
 
 def agenda_items(plan: DataFrame, canonical: DataFrame) -> DataFrame:
-    """One row per (day, assignment). `canonical` carries the course struct, due_at and priority_reasons."""
+    """One row per (day, assignment), with the course code, URL, deadline, reasons and label of `canonical` where it carries them."""
     merged = plan.groupBy("student_id", "agenda_date", "assignment_id").agg(
         F.sum("planned_minutes").alias("planned_minutes"),
         F.max("priority_score").alias("priority_score"),
@@ -174,10 +174,8 @@ def agenda_items(plan: DataFrame, canonical: DataFrame) -> DataFrame:
         "student_id",
         F.col("id").alias("assignment_id"),
         F.col("title").alias("_title"),
-        F.col("course.code").alias("course_code"),
-        "external_url",
-        "due_at",
-        "due_day",
+        *[F.col("course.code").alias("course_code")] * ("code" in canonical.schema["course"].dataType.names),
+        *[c for c in ("external_url", "due_at", "due_day") if c in canonical.columns],
         F.col("status").alias("_status"),
         *[c for c in ("priority_reasons", "due_label") if c in canonical.columns],
     )

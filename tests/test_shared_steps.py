@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 from datetime import date
 from pathlib import Path
 
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from queries import chain, planning, readers
-from termloom import schemas
+from termloom import schemas, session
 from termloom.operators import reconcile
 from tests.conftest import at
 
@@ -69,3 +70,33 @@ def test_documents_are_one_file_each_in_few_folders(spark):
     assert sorted(got.pop("name=7").splitlines()) == ["a ü", "b"]
     assert got == {"name=8": "\n", "name=9": "\n", "name=-3": long + "\n", "name=__HIVE_DEFAULT_PARTITION__": "no name\n"}
     assert readers._one_file_each(docs.limit(0), folder + "-none").count() == 0 and Path(folder.removeprefix("file:") + "-none").is_dir()
+
+
+def shuffled(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for k in range(files.size()) if (name := files.apply(k).getName()).startswith("shuffle_")}
+
+
+def test_a_stage_leaves_no_shuffle_files(spark):
+    before = shuffled(spark)
+    set_before = spark.conf.get(session.CLEANUP, None)
+    held = session.stage(spark.range(1000).selectExpr("id % 7 as k", "id").groupBy("k").agg(F.sum("id").alias("s")))
+    end = time.time() + 20
+    while shuffled(spark) - before and time.time() < end:
+        time.sleep(0.1)
+    assert not shuffled(spark) - before and spark.conf.get(session.CLEANUP, None) == set_before
+    assert held.agg(F.sum("s")).first()[0] == 499500
+
+
+def test_today_focus_writes_what_it_counts(spark, monkeypatch):
+    asked, written = [], []
+    rows = spark.createDataFrame(
+        [(1, "c", f"k{n}", f"i{n}", f"T{n}", "homework", "upcoming", date(1998, 6, 10 + n), 20 * n, float(n)) for n in range(1, 12)],
+        "student_id bigint, course_id string, match_key string, id string, title string, type string, status string, due_day date, estimated_minutes int, priority_score double",
+    ).withColumns({"course": F.struct(F.lit("C").alias("code"), F.lit(70.0).alias("current_grade_pct")), "description": F.lit("d"), "external_url": F.lit("u")})
+    monkeypatch.setattr(chain, "relevant_scored", lambda *args: asked.append(args[2:]) or rows)
+    monkeypatch.setattr(planning, "stage", lambda df: written.append(df.columns) or session.stage(df))
+    got = planning.today_focus(spark, "").collect()
+    # five are due by the 15th, of which none needs more than an hour; the others come on their own days
+    assert [(r["student_id"], r["today_minutes"], r["today_items"]) for r in got] == [(1, 20 + 40 + 60 + 60 + 60 + 20 + 40, 5)]
+    assert asked == [(("estimated_minutes",),)] and not {"description", "external_url", "match_key", "course_id"} & set(written[0])
